@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import urlfilter
+from framewright.llm import licenses, urlfilter
 
 # The rules of the URL query.
 URL_RULES = [
@@ -30,6 +30,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages.select("page_id", "url"), listed, URL_RULES).drop("listed")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP6_SQL = r"""
 WITH p AS (
   SELECT page_id, url,
@@ -55,7 +60,7 @@ FROM c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS
 
 
 def queries() -> dict:
-    return {"op6_url_filter": op6_url_filter}
+    return {"op6_url_filter": op6_url_filter, "op10_license_scan": op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
