@@ -26,7 +26,8 @@ TEMPLATES = [
 ]
 RARE = 3
 LEAST_SCORE = 0.6
-WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what stands between lower-cased words
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before lower-casing
 
 
 def words_of(text: Column) -> Column:
@@ -106,10 +107,25 @@ def scan(docs: DataFrame) -> DataFrame:
     by one; an empty table gives an empty result; other columns are not read. score is the best verified template's
     share of IDF weight, 1 where only base phrases stand and 0 where nothing does.
     """
-    words = docs.select(F.col("doc_id"), words_of(F.col("text")).alias("words"))
-    idf = word_idf(words)
+    idf = word_idf(docs.select(words_of(F.col("text")).alias("words")))
+    # A row goes to the array work only if its text holds every word of some phrase or of some key phrase somewhere:
+    # lower() lowers A-Z as the words do, so the test passes every row that has a place.
+    low = docs.select("doc_id", "text", F.lower("text").alias("low"))
+    split = F.split(F.coalesce("text", F.lit("")), SEPARATORS)
+    found = F.lit(False)
+    for phrase in (*PHRASES, *(key for _, _, key in TEMPLATES)):
+        every = F.lit(True)
+        for word in sorted(set(phrase.split()), key=len, reverse=True):
+            every = every & F.col("low").contains(word)
+        found = found | every
+    counted = low.select("doc_id", "text", split.alias("split"), F.coalesce(found, F.lit(False)).alias("candidate"))
+    ends = [F.when(F.get("split", F.lit(0)) == "", 1).otherwise(0), F.when((F.size("split") > 1) & (F.get("split", F.size("split") - 1) == ""), 1).otherwise(0)]
+    words = counted.select(
+        "doc_id",
+        (F.size("split") - ends[0] - ends[1]).cast("long").alias("n_words"),
+        F.when(F.col("candidate"), words_of(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("words"),
+    )
     w = F.col("words")
-    # A row goes to the array work only if it holds every word of some phrase or of some key phrase.
     terms = F.array(*[F.lit(x) for x in vocabulary()])
 
     def holds_all(text: str) -> Column:
@@ -127,7 +143,7 @@ def scan(docs: DataFrame) -> DataFrame:
     none_hits = F.array().cast("array<struct<label:string,score:double>>")
     out = words.withColumn("terms", F.array_intersect(w, terms)).select(
         "doc_id",
-        F.size(w).cast("long").alias("n_words"),
+        "n_words",
         F.when(has_base, base_places(w)).otherwise(none_base).alias("base"),
         F.when(has_key, method_hits(w, idf)).otherwise(none_hits).alias("hits"),
     )

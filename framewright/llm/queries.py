@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import licenses, urlfilter
+from framewright.llm import licenses, quality, toxicity, urlfilter
 
 # The rules of the URL query.
 URL_RULES = [
@@ -30,6 +30,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages.select("page_id", "url"), listed, URL_RULES).drop("listed")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and learnt quality of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.judge(docs, quality.model_for(docs, labels))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled rows that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.model_for(docs, labels))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every document."""
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -60,7 +72,8 @@ FROM c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS
 
 
 def queries() -> dict:
-    return {"op6_url_filter": op6_url_filter, "op10_license_scan": op10_license_scan}
+    named = [op6_url_filter, op7_quality_rules, op9_toxicity, op10_license_scan]
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

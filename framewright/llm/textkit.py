@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 ODD = U64(0x9E3779B97F4A7C15)
@@ -21,7 +22,7 @@ _table = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | U
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows of at most limit bytes of text (a longer single row stands alone)."""
-    lengths = pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(lengths.tolist()):
         if i > start and total + n > limit:
