@@ -27,7 +27,8 @@ from framewright.llm import textkit as tk
 DECAY = 0.6
 SPAN = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 LANDMARKS = 256
-ROUNDS = 4
+ROUNDS = 5
+PRIOR = 0.4  # share of toxic documents for which the probability is calibrated
 LEAST_ODDS = np.log(7.0)  # of a word among the first guesses
 FEATURES = 1 << 18
 
@@ -205,7 +206,7 @@ def fit(sample: list[tuple[int, int, str]], landmarks: int = LANDMARKS, rounds:
         return w[o[at[keep]]]
 
     marks = np.unique(np.concatenate((order[: landmarks // 2], rng.choice(clean, min(len(clean), landmarks // 2), replace=False))))
-    positive = np.zeros(0, np.int64)
+    positive = seen = np.zeros(0, np.int64)
     for turn in range(rounds):
         # the highest words by the machine so far, and those by the first guess that the machine doesn't contradict
         guess = top(1, 3, odds)
@@ -220,7 +221,8 @@ def fit(sample: list[tuple[int, int, str]], landmarks: int = LANDMARKS, rounds:
         values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
         ok = values > 1e-6 * values[-1]
         root = vectors[:, ok] / np.sqrt(values[ok])
-        negative = np.concatenate((top(0, 3, value), clean))
+        seen = np.concatenate((seen, np.unique(top(0, 3, value))))  # of all rounds, so that none comes back
+        negative = np.concatenate((seen, clean))
         chosen = np.concatenate((positive, negative))
         more = padded([strings[i] for i in positive.tolist()], rng) if turn else []
         z = kernel(spell([strings[i] for i in chosen.tolist()] + more), used, phi) @ root
@@ -232,7 +234,7 @@ def fit(sample: list[tuple[int, int, str]], landmarks: int = LANDMARKS, rounds:
     model = Model(table, 1.0, 0.0, floor)
     chosen = held if held.any() else ~held
     s = model.document_scores(*tk.raw(pa.array([x[2] for x, k in zip(sample, chosen, strict=True) if k], pa.string())))
-    model.a, model.b = linear.platt(s, y[chosen], 0.5)
+    model.a, model.b = linear.platt(s, y[chosen], PRIOR)
     return model
 
 
