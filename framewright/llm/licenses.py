@@ -79,9 +79,12 @@ def method_hits(words: Column, idf: dict[str, float]) -> Column:
     terms = F.array(*[F.lit(w) for w in index])
     # licence words of the file by falling IDF
     ranked = F.array_sort(F.transform(F.array_intersect(words, terms), lambda w: F.struct((-F.element_at(weight, w)).alias("order"), w.alias("word"))))
-    rare = F.transform(F.slice(ranked, 1, RARE), lambda x: x["word"])
-    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.struct(w.alias("word"), i.alias("at")))), lambda x: x.isNotNull())
-    votes = F.array_distinct(F.flatten(F.transform(places, lambda x: F.transform(F.element_at(postings, x["word"]), lambda q: F.struct(q["t"].alias("t"), (x["at"] - q["p"]).alias("off"))))))
+
+    def votes_of(x: Column) -> Column:  # only lambda variables and columns within, so that nothing is computed again
+        at = F.filter(F.transform(words, lambda w, i: F.when(w == x["word"], i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(F.element_at(postings, x["word"]), lambda q: F.transform(at, lambda i: F.struct(q["t"].alias("t"), (i - q["p"]).alias("off")))))
+
+    votes = F.array_distinct(F.flatten(F.transform(F.slice(ranked, 1, RARE), votes_of)))
 
     def verified(v: Column) -> Column:
         out = F.lit(None).cast("struct<label:string,score:double>")
