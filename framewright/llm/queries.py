@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import licenses, quality, toxicity, urlfilter, wordpiece
+from framewright.llm import licenses, packing, quality, toxicity, urlfilter, wordpiece
 
 # The rules of the URL query.
 URL_RULES = [
@@ -29,6 +29,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the fixed rules and, where none fits, by the list of the known bad hosts' pages."""
     pages = table(spark, sf_dir, "pages")
@@ -78,7 +83,7 @@ FROM c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS
 
 
 def queries() -> dict:
-    named = [op2_token_counts, op6_url_filter, op7_quality_rules, op9_toxicity, op10_license_scan]
+    named = [op2_token_counts, op5_packing, op6_url_filter, op7_quality_rules, op9_toxicity, op10_license_scan]
     return {f.__name__: f for f in named}
 
 
