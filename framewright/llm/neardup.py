@@ -69,46 +69,60 @@ def _register(value: np.ndarray) -> np.ndarray:
     return (((64 - exponent).astype(np.uint64) << tk.U64(MANTISSA)) | ((value >> shift) & tk.U64((1 << MANTISSA) - 1))).astype(np.uint16)
 
 
-def signatures(row: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """Registers of n rows, from their distinct shingles sorted by row."""
-    size = np.bincount(row, minlength=n)
-    out = np.zeros((n, REGISTERS), np.uint16)
-    first = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))[:-1]
-    with np.errstate(over="ignore"):
-        small = (size > 0) & (size <= SMALL)
-        of_small = small[row]
-        if of_small.any():
-            h = own[of_small]
-            begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(size[small])))[:-1]
+def _small_signatures(own: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Registers of sets, one hash of all their shingles for each register; own has the shingles set by set."""
+    out = np.zeros((len(size), REGISTERS), np.uint16)
+    if len(size):
+        begin = np.cumsum(size) - size
+        with np.errstate(over="ignore"):
             for k in range(REGISTERS):
-                v = tk.mix((h ^ _SEEDS[k]) * tk.ODD)
-                out[small, k] = _register(np.minimum.reduceat(v, begin))
-        if not of_small.all():
-            r, h = row[~of_small], tk.mix(own[~of_small] * _SEEDS[0])
-            slot = ((h >> tk.U64(32)) * tk.U64(REGISTERS)) >> tk.U64(32)
-            least = np.full(n * REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-            value = tk.mix(h ^ _SEEDS[1])
-            key = r * REGISTERS + slot.astype(np.int64)
-            order = np.lexsort((value, key))
-            key, value = key[order], value[order]
-            new = np.concatenate(([True], key[1:] != key[:-1]))
-            least[key[new]] = value[new]
-            large = np.flatnonzero(size > SMALL)
-            least = least.reshape(n, REGISTERS)[large]
-            empty = least == np.iinfo(np.uint64).max
-            filled = least.copy()
-            for probe in _PROBES:
-                if not empty.any():
-                    break
-                source = least[:, probe]
-                take = empty & (source != np.iinfo(np.uint64).max)
-                filled[take] = source[take]
-                empty &= ~take
-            out[large] = _register(filled)
-    del first
+                out[:, k] = _register(np.minimum.reduceat(tk.mix((own ^ _SEEDS[k]) * tk.ODD), begin))
     return out
 
 
+def _large_signatures(own: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Registers of sets whose shingles are dealt to them; empty ones borrow."""
+    n, none = len(size), np.iinfo(np.uint64).max
+    with np.errstate(over="ignore"):
+        h = tk.mix(own * _SEEDS[0])
+        value = tk.mix(h ^ _SEEDS[1])
+    slot = ((h >> tk.U64(32)) * tk.U64(REGISTERS)) >> tk.U64(32)
+    key = np.repeat(np.arange(n), size) * REGISTERS + slot.astype(np.int64)
+    least = np.full(n * REGISTERS, none, np.uint64)
+    order = np.lexsort((value, key))
+    key, value = key[order], value[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    least[key[new]] = value[new]
+    least = least.reshape(n, REGISTERS)
+    empty, filled = least == none, least.copy()
+    for probe in _PROBES:
+        if not empty.any():
+            break
+        source = least[:, probe]
+        take = empty & (source != none)
+        filled[take] = source[take]
+        empty &= ~take
+    return _register(filled)
+
+
+def signatures(own: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(registers, whose, all registers): each set's registers, and those that are banded with the set they belong to.
+
+    Small and large sets have registers of different kinds; sets that may link across the border have both.
+    """
+    small = (size > 0) & (size <= SMALL)
+    large = 100 * size >= percent * SMALL
+    per = np.repeat(np.arange(len(size)), size)
+    first = _small_signatures(own[small[per]], size[small])
+    second = _large_signatures(own[large[per]], size[large])
+    registers = np.zeros((len(size), REGISTERS), np.uint16)
+    registers[large] = second
+    registers[small] = first
+    whose = np.concatenate((np.flatnonzero(small), np.flatnonzero(large)))
+    return registers, whose, np.concatenate((first, second))
+
+
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band."""
     own = registers[:, : BANDS * ROWS].reshape(len(registers), BANDS, ROWS).astype(np.uint64)
@@ -130,7 +144,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def sign(docs: DataFrame, size: int) -> DataFrame:
+def sign(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, h1 and h2 (hashes of the set), bands, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,8 +152,10 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
             for part in tk.pieces(batch, "text", 1 << 21):
                 n = part.num_rows
                 row, own = shingles(*tk.raw(part.column("text")), size)
-                registers = signatures(row, own, n)
                 sizes = np.bincount(row, minlength=n)
+                registers, whose, banded = signatures(own, sizes, percent)
+                order = np.argsort(whose, kind="stable")
+                keys = band_keys(banded)[order]
                 h1, h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 some = np.flatnonzero(sizes)
                 if len(some):
@@ -154,7 +170,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                         "n_shingles": pa.array(sizes, pa.int64()),
                         "h1": pa.array(h1.view(np.int64)),
                         "h2": pa.array(h2.view(np.int64)),
-                        "bands": _lists(band_keys(registers).ravel(), np.full(n, BANDS), pa.int64()),
+                        "bands": _lists(keys.ravel(), BANDS * np.bincount(whose, minlength=n), pa.int64()),
                         "registers": pa.array([raw[i * width : (i + 1) * width] for i in range(n)], pa.binary()),
                     }
                 )
@@ -170,7 +186,7 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
             for part in tk.pieces(batch, "text", 1 << 21):
                 row, own = shingles(*tk.raw(part.column("text")), size)
                 columns = {c: part.column(c) for c in ("rep", "cluster", "n", "registers")}
-                own = np.sort(own.view(np.int64)[np.argsort(row, kind="stable")]) if part.num_rows == 1 else own.view(np.int64)
+                own = own.view(np.int64)
                 order = np.lexsort((own, row))
                 yield pa.RecordBatch.from_pydict(columns | {"own": _lists(own[order], np.bincount(row, minlength=part.num_rows), pa.int64())})
 
@@ -203,6 +219,7 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("xr", "yr"))
                 nx, ny = part.column("xn").to_numpy(), part.column("yn").to_numpy()
                 likely = estimate(x, y, nx, ny) >= percent / 100 - 0.25  # over six standard deviations below
+                likely |= (nx <= SMALL) != (ny <= SMALL)  # registers of different kinds tell nothing
                 keep = np.zeros(part.num_rows, bool)
                 ex, ey = part.column("xe"), part.column("ye")
                 for i in np.flatnonzero(likely).tolist():
@@ -261,7 +278,7 @@ def links(docs: DataFrame, reps: DataFrame, work: Workspace, size: int, percent:
     x = work.keep(x)
     need = x.groupBy("cluster").agg(F.min("a").alias("need"))
     y = known.join(need, "cluster").where(F.lit(double) * F.col("u") >= F.col("a") + F.col("need"))
-    y = y.select("rep", "cluster", F.slice("shared", F.lit(1), F.least(F.col("u"), F.col("u") - F.greatest(F.ceil((F.col("a") + F.col("need")) / double).cast("int"), F.lit(1)) + 1)).alias("prefix"))
+    y = y.select("rep", "cluster", F.slice("shared", F.lit(1), F.greatest(F.col("u") - F.greatest(F.ceil((F.col("a") + F.col("need")) / double).cast("int"), F.lit(1)) + 1, F.lit(0))).alias("prefix"))
     xs = x.select(F.col("rep").alias("x"), "cluster", F.explode("prefix.s").alias("s"))
     ys = y.select(F.col("rep").alias("y"), "cluster", F.explode("prefix.s").alias("s"))
     pairs = xs.join(ys, ["cluster", "s"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -279,7 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     rows are classes of their own text; an empty table gives an empty result; other columns are not read.
     """
     work = Workspace(docs.sparkSession, "neardup")
-    signed = work.keep(sign(docs, size))
+    signed = work.keep(sign(docs, size, percent))
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     classes = work.keep(classes)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import licenses, packing, quality, toxicity, urlfilter, wordpiece
+from framewright.llm import licenses, neardup, packing, quality, toxicity, urlfilter, wordpiece
 
 # The rules of the URL query.
 URL_RULES = [
@@ -47,6 +47,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.model_for(docs, labels))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents: 3-word shingles, 85 percent of the union in common."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labelled rows that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -83,7 +88,7 @@ FROM c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS
 
 
 def queries() -> dict:
-    named = [op2_token_counts, op5_packing, op6_url_filter, op7_quality_rules, op9_toxicity, op10_license_scan]
+    named = [op2_token_counts, op5_packing, op6_url_filter, op7_quality_rules, op8_near_duplicates, op9_toxicity, op10_license_scan]
     return {f.__name__: f for f in named}
 
 
