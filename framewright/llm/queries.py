@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import licenses, neardup, packing, quality, toxicity, urlfilter, wordpiece
+from framewright.llm import licenses, neardup, neighbours, packing, quality, toxicity, urlfilter, wordpiece
 
 # The rules of the URL query.
 URL_RULES = [
@@ -29,6 +29,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth one."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -88,7 +93,7 @@ FROM c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS
 
 
 def queries() -> dict:
-    named = [op2_token_counts, op5_packing, op6_url_filter, op7_quality_rules, op8_near_duplicates, op9_toxicity, op10_license_scan]
+    named = [op2_token_counts, op3_nearest_neighbours, op5_packing, op6_url_filter, op7_quality_rules, op8_near_duplicates, op9_toxicity, op10_license_scan]
     return {f.__name__: f for f in named}
 
 
