@@ -1,10 +1,65 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+quality rules -> toxicity -> near duplicates -> mixing to target weights -> best-fit packing. Every stage but the last
+returns the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from framewright.llm import mixing, neardup, packing, quality, toxicity
+from framewright.llm.common import Workspace
+
+# The share of tokens that each domain is to have. Near those of the corpus, so that few documents repeat.
+TARGETS = {"de": 0.15, "en": 0.6, "es": 0.1, "fr": 0.15}
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or whose learnt quality is below the threshold go."""
+    return quality.keep(docs, quality.model_for(docs, _labels(spark, sf_dir)))
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted to be toxic go."""
+    return toxicity.keep(docs, toxicity.model_for(docs, _labels(spark, sf_dir)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, 80 percent of the union in common."""
+    return neardup.keep(docs, 5, 80)
+
+
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of domains that have too few tokens repeat, by rates fitted to the targets."""
+    return mixing.mixed(docs, _labels(spark, sf_dir), TARGETS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("near duplicates", near_duplicates),
+    ("target mix", target_mix),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents after all stages."""
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = work.keep(stage(spark, docs, sf_dir))
+        work.keep_only(docs)
+    return docs

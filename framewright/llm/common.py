@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +27,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/framewright-{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -35,15 +35,17 @@ class Workspace:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._framewright_path = path
+        self.tables.append(out)
         return out
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Drops all tables but those given."""
+        self.drop(*[x for x in self.tables if not any(x is y for y in tables)])
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._framewright_path)
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        self.tables = [x for x in self.tables if not any(x is y for y in tables)]
 
-
-def column_or_null(df: DataFrame, name: str, kind: str):
-    """The column cast to kind; NULL where the table has no such column."""
-    return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -29,12 +29,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int =
     return sorted({(r.doc_id, r.label, r.text) for r in found.collect()})
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray, bits: int, chars: tuple[int, ...] = (4,), words: tuple[int, ...] = (1, 2)) -> list[tuple[np.ndarray, np.ndarray]]:
+SIZES = ((4,), (1, 2))  # sizes of character and of word n-grams
+
+
+def ngrams(data: np.ndarray, offsets: np.ndarray, bits: int, sizes: tuple = SIZES) -> list[tuple[np.ndarray, np.ndarray]]:
     """(bucket, row) of every hashed character n-gram (of bytes, within a row) and word n-gram, one pair per size."""
-    out = []
+    out, (chars, words) = [], sizes
     shift = tk.U64(64 - bits)
-    starts, ends, rows = tk.runs(~tk.is_space(data), offsets)
-    h = tk.hashes(data, starts, ends)
+    if words:
+        starts, ends, rows = tk.runs(~tk.is_space(data), offsets)
+        h = tk.hashes(data, starts, ends)
     with np.errstate(over="ignore"):
         for n in words:
             own, at = tk.windows(h, rows, n) if n > 1 else (h, np.arange(len(h)))
@@ -54,11 +58,11 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, bits: int, chars: tuple[int, .
     return out
 
 
-def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bits: int) -> np.ndarray:
+def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bits: int, sizes: tuple = SIZES) -> np.ndarray:
     """For each row the sum over n-gram sizes of the mean weight of its n-grams; weights is (sizes, buckets[, classes])."""
     n = len(offsets) - 1
     total = np.zeros((n, *weights.shape[2:]))
-    for w, (bucket, row) in zip(weights, ngrams(data, offsets, bits), strict=True):
+    for w, (bucket, row) in zip(weights, ngrams(data, offsets, bits, sizes), strict=True):
         count = np.maximum(np.bincount(row, minlength=n), 1)
         if w.ndim == 1:
             total += np.bincount(row, weights=w[bucket], minlength=n) / count
@@ -68,11 +72,11 @@ def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bits: int
     return total
 
 
-def features(texts: list[str], bits: int) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+def features(texts: list[str], bits: int, sizes: tuple = SIZES) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Per n-gram size: (row, bucket, frequency) of the distinct n-grams of each text."""
     data, offsets = tk.raw(pa.array(texts, pa.string()))
     out = []
-    for bucket, row in ngrams(data, offsets, bits):
+    for bucket, row in ngrams(data, offsets, bits, sizes):
         key, count = np.unique(row.astype(np.int64) << bits | bucket, return_counts=True)
         r = key >> bits
         size = np.maximum(np.bincount(r, weights=count, minlength=len(texts)), 1)
@@ -85,9 +89,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], y: np.ndarray, classes: int, bits: int, steps: int = 60, rate: float = 40.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit(texts: list[str], y: np.ndarray, classes: int, bits: int, steps: int = 60, rate: float = 40.0, decay: float = 1e-5, sizes: tuple = SIZES) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression by gradient steps with momentum: weights (sizes, buckets, classes) and bias (classes)."""
-    parts = features(texts, bits)
+    parts = features(texts, bits, sizes)
     w = np.zeros((len(parts), 1 << bits, classes), np.float64)
     v, bias, bv = np.zeros_like(w), np.zeros(classes), np.zeros(classes)
     onehot = np.eye(classes)[y]

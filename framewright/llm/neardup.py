@@ -304,8 +304,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     components = connected(found, work)
     of_class = classes.select("h1", "h2", F.col("n_shingles").alias("n"), "rep").join(components, F.col("rep") == F.col("node"), "left")
     of_class = work.keep(of_class.select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id")))
+    work.keep_only(signed, of_class)
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(
         of_class, (signed.h1 == of_class.h1) & (signed.h2 == of_class.h2) & (signed.n_shingles == of_class.n) & signed.doc_id.isNotNull(), "left"
     )
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates() keeps; of rows that repeat doc_id and text, one stays."""
+    judged = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    stay = docs.where("doc_id is not null").join(judged, "doc_id", "left_semi").withColumn("text__", F.xxhash64("text"))
+    return stay.dropDuplicates(["doc_id", "text__"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

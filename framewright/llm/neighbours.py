@@ -236,4 +236,6 @@ def search(table: DataFrame, every: int = 100, count: int = 10, tables_probes: i
         extra = part if extra is None else extra.unionByName(part)
     if extra is not None:
         found = found.join(left.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(extra)
-    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    out = work.keep(found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    work.keep_only(out)
+    return out

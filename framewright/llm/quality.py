@@ -92,6 +92,10 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
+    return (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * base["n_words"])
+
+
 def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, the five base counts, base_failed, quality (the probability), kept.
 
@@ -106,7 +110,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             for part in tk.pieces(batch, "text"):
                 data, offsets = tk.raw(part.column("text"))
                 base = base_counts(data, offsets)
-                failed = (base["n_words"] < LEAST_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * base["n_words"])
+                failed = base_failed(base)
                 p = m.probability(data, offsets)
                 columns = {"doc_id": part.column("doc_id"), **{k: pa.array(v, pa.int64()) for k, v in base.items()}}
                 columns |= {"base_failed": pa.array(failed), "quality": pa.array(p), "kept": pa.array(~failed & (p >= threshold))}
@@ -119,3 +123,13 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 def model_for(docs: DataFrame, labels: DataFrame) -> Model:
     """Fitted on the labelled rows of docs."""
     return fit(linear.labelled_sample(docs, labels, "quality"))
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return ~base_failed(base_counts(data, offsets)) & (shared.value.probability(data, offsets) >= threshold)
+
+    return tk.passing(docs, good)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import licenses, neardup, neighbours, packing, quality, toxicity, urlfilter, wordpiece
+from framewright.llm import licenses, mixing, neardup, neighbours, packing, quality, toxicity, urlfilter, wordpiece
 
 # The rules of the URL query.
 URL_RULES = [
@@ -34,6 +34,15 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
+# The share of tokens that each domain is to have.
+MIX_TARGETS = {"de": 0.2, "en": 0.5, "es": 0.12, "fr": 0.18}
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of every document at which the domains, as predicted from its text, have their target shares."""
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_TARGETS)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -93,7 +102,7 @@ FROM c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS
 
 
 def queries() -> dict:
-    named = [op2_token_counts, op3_nearest_neighbours, op5_packing, op6_url_filter, op7_quality_rules, op8_near_duplicates, op9_toxicity, op10_license_scan]
+    named = [op2_token_counts, op3_nearest_neighbours, op4_source_mixing, op5_packing, op6_url_filter, op7_quality_rules, op8_near_duplicates, op9_toxicity, op10_license_scan]
     return {f.__name__: f for f in named}
 
 

@@ -111,3 +111,14 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of a value per byte over each row."""
     sums = np.concatenate((np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)))
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def passing(docs, test):
+    """The rows of a DataFrame, all columns, whose text passes: test gets bytes and offsets and returns a mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                yield part.filter(pa.array(test(*raw(part.column("text")))))
+
+    return docs.mapInArrow(run, docs.schema)

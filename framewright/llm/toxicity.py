@@ -265,3 +265,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     own = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score() doesn't predict as toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return tk.passing(docs, lambda data, offsets: shared.value.probability(data, offsets) < 0.5)
