@@ -8,36 +8,33 @@ from pyspark.sql import functions as F
 from framewright.llm.common import Workspace
 
 
-def _least(edges: DataFrame, work: Workspace) -> DataFrame:
-    """Edges (a, b) with b replaced by what a's neighbours, and a, have least: (a, b, least)."""
+def _least(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the least of a's neighbours and a itself: (a, b, least)."""
     low = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
     return edges.join(low, "a")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _finished(edges: DataFrame) -> bool:
+    """Whether every node that hangs to another hangs to one only, to which nothing but such nodes hang."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    mixed = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)")
+    return not mixed.limit(1).count()
 
 
 def connected(edges: DataFrame, work: Workspace) -> DataFrame:
     """(node, component) of every node of edges (a, b); component is the least node that is reachable.
 
     Each round is a large star (neighbours above a node are hung to its least neighbour) and a small star (those below
-    are); rounds end once no edge changes, after about the logarithm of the longest path. A node with very many edges
-    only has its least neighbour joined to them, a join that is split where it is skewed.
+    are); rounds end once all edges form stars, after about the logarithm of the longest path. A node with very many
+    edges only has its least neighbour joined to them, a join that is split where it is skewed.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = work.keep(now)
-    state = _state(now)
-    while state[0]:
+    now = work.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _finished(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _least(both, work).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        large = work.keep(large)
-        hung = _least(large, work)  # a > b on every edge, so least is below both
+        large = work.keep(_least(both).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b"))
+        hung = _least(large)  # a > b on every edge, so least is below both
         small = hung.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(hung.select("a", F.col("least").alias("b")))
         new = work.keep(small.where("a <> b").distinct())
         work.drop(now, large)
-        now, before = new, state
-        state = _state(now)
-        if state == before:
-            break
+        now = new
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -252,11 +252,10 @@ def links(docs: DataFrame, reps: DataFrame, work: Workspace, size: int, percent:
     usual = first.select("cluster", F.explode("e").alias("s")).groupBy("cluster", "s").agg(F.count("*").alias("df"))
     usual = usual.join(common.select("cluster", "members").where("members > 3"), "cluster").where("2 * df > members")
     usual = usual.groupBy("cluster").agg(F.collect_list("s").alias("moved"))  # at most twice the mean difference
-    moved = common.join(usual, "cluster", "left").select(
-        "cluster",
-        F.when(F.col("moved").isNull(), F.col("common")).otherwise(F.array_union(F.array_except("common", "moved"), F.array_except("moved", "common"))).alias("common"),
-    )
-    e = work.keep(_differences(sets, moved))
+    # the difference to the moved set is that to the old one, with what was moved exchanged
+    exchanged = F.array_union(F.array_except("e", "moved"), F.array_except("moved", "e"))
+    e = first.join(usual, "cluster", "left").withColumn("e", F.when(F.col("moved").isNull(), F.col("e")).otherwise(F.array_sort(exchanged)))
+    e = work.keep(e.drop("moved"))
     work.drop(first, sets)
     low, high = 100 - percent, 100 + percent
     e = e.withColumn("a", F.lit(high) * F.size("e") - F.lit(low) * F.col("n"))
