@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import licenses, mixing, neardup, neighbours, packing, quality, toxicity, urlfilter, wordpiece
+from framewright.llm import licenses, mixing, neardup, neighbours, packing, quality, toolcalls, toxicity, urlfilter, wordpiece
 
 # The rules of the URL query.
 URL_RULES = [
@@ -24,6 +24,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# What the arguments of a turn's call must be.
+TURN_SCHEMAS = {
+    "reply": [toolcalls.Argument("text", "string", True, 1, 400), toolcalls.Argument("turn", "integer", True, 0, 99)],
+    "system": [toolcalls.Argument("text", "string", True, 1, 400), toolcalls.Argument("turn", "integer", True, 0, 0)],
+}
+
+
+def turn_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns as calls and results: a user's or system's turn calls for a reply, an assistant's turn gives it.
+
+    The identifier of a call is its conversation and turn; a turn of the assistant has the identifier of the turn before it,
+    and a call needs the call two turns earlier.
+    """
+    of = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    calls = turns.where(F.col("role").isin("user", "system")).select(
+        "conv_id",
+        F.col("turn").alias("place"),
+        F.when(known, of(F.col("turn"))).alias("call_id"),
+        F.when(F.col("role") == "user", "reply").otherwise("system").alias("tool"),
+        F.map_filter(F.create_map(F.lit("text"), F.col("text"), F.lit("turn"), F.col("turn").cast("string")), lambda _, v: v.isNotNull()).alias("arguments"),
+        F.when(known, of(F.col("turn") - 2)).alias("after"),
+    )
+    results = turns.where(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("place"), F.when(known, of(F.col("turn") - 1)).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of all conversations as linked, ordered, validated calls in canonical JSON."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return toolcalls.link(*turn_calls(turns), TURN_SCHEMAS)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of every document."""
     return wordpiece.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -77,6 +110,29 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn AS place, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id, conv_id::VARCHAR || ':' || (turn - 2)::VARCHAR AS after,
+    CASE role WHEN 'user' THEN 'reply' ELSE 'system' END AS tool, text, turn
+  FROM conversations WHERE role IN ('user', 'system')),
+results AS (
+  SELECT conv_id, turn AS place, conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
+depths AS (
+  SELECT call_id, 0::BIGINT AS depth FROM calls WHERE after NOT IN (SELECT call_id FROM calls)
+  UNION ALL SELECT c.call_id, d.depth + 1 FROM calls c JOIN depths d ON c.after = d.call_id),
+checked AS (
+  SELECT *, array_to_string(list_sort(list_filter([
+    CASE WHEN text IS NULL THEN 'text: missing' END, CASE WHEN length(text) < 1 THEN 'text: below 1' END, CASE WHEN length(text) > 400 THEN 'text: above 400' END,
+    CASE WHEN turn < 0 THEN 'turn: below 0' END,
+    CASE WHEN tool = 'reply' AND turn > 99 THEN 'turn: above 99' WHEN tool = 'system' AND turn > 0 THEN 'turn: above 0' END], lambda x: x IS NOT NULL)), '; ') AS errors,
+    '{"arguments":{' || CASE WHEN text IS NOT NULL THEN '"text":' || to_json(text)::VARCHAR || ',' ELSE '' END || '"turn":' || turn || '},"id":' || to_json(call_id)::VARCHAR || ',"name":"' || tool || '","result":' AS head
+  FROM calls)
+SELECT c.conv_id, c.place, c.call_id, d.depth, CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, c.errors,
+  c.head || CASE WHEN r.content IS NULL THEN 'null' ELSE to_json(r.content)::VARCHAR END || '}' AS json
+FROM checked c LEFT JOIN depths d USING (call_id) LEFT JOIN results r USING (call_id)
+UNION ALL
+SELECT conv_id, place, call_id, NULL, 'orphan', NULL, NULL FROM results WHERE call_id NOT IN (SELECT call_id FROM calls)
+"""
 OP6_SQL = r"""
 WITH p AS (
   SELECT page_id, url,
@@ -102,9 +158,9 @@ FROM c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS
 
 
 def queries() -> dict:
-    named = [op2_token_counts, op3_nearest_neighbours, op4_source_mixing, op5_packing, op6_url_filter, op7_quality_rules, op8_near_duplicates, op9_toxicity, op10_license_scan]
+    named = [op1_chat_format, op2_token_counts, op3_nearest_neighbours, op4_source_mixing, op5_packing, op6_url_filter, op7_quality_rules, op8_near_duplicates, op9_toxicity, op10_license_scan]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op1_chat_format": OP1_SQL, "op6_url_filter": OP6_SQL}
