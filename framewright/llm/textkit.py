@@ -20,7 +20,7 @@ _powers: dict[str, np.ndarray] = {}
 _table = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut into runs of rows of at most limit bytes of text (a longer single row stands alone)."""
     lengths = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
     start = total = 0
@@ -70,8 +70,8 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     found = _powers.get(name)
     if found is None or len(found) < n:
         with np.errstate(over="ignore"):
-            found = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 22), base, np.uint64))))
-        if n <= 1 << 22:
+            found = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n, (1 << 20) + 1), base, np.uint64))))
+        if n <= (1 << 20) + 1:
             _powers[name] = found
     return found[:n]
 
