@@ -171,7 +171,9 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
-    ordered = work.keep(ranked(pieces(docs, path, sequence), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)))
+    cut = work.keep(pieces(docs, path, sequence))  # kept first: sampling the ranges would tokenise every text once more
+    ordered = work.keep(ranked(cut, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)))
+    work.drop(cut)
     # at most one row for each length, and one more for each partition, as the partitions are ranges of length
     counts = ordered.groupBy("part", "length").agg(F.count("*").alias("n")).collect()
     histogram: dict[int, int] = {}
