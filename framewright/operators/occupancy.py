@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.ordered import with_neighbours, with_running_sums
 from framewright.schemas import SECOND, Settings
+from framewright.staging import stage
 
 SIDES = ("left", "right")
 
@@ -20,7 +21,7 @@ def finite(c: Column) -> Column:
 def intervals(frames: DataFrame, settings: Settings) -> DataFrame:
     """Pairs of adjacent frames, both valid and counted, whose step is positive and not over the longest one.
 
-    Returns grp, start_t, end_t, start_frame, end_frame, left0, left1, right0, right1, segment (from 1), eff_start and eff_end. A missing
+    The result is staged: later steps read it several times. Returns grp, start_t, end_t, start_frame, end_frame, left0, left1, right0, right1, segment (from 1), eff_start and eff_end. A missing
     validity counts as false; frames without group or time take no part.
     """
     series = frames.where("grp is not null and t is not null").select(
@@ -33,11 +34,13 @@ def intervals(frames: DataFrame, settings: Settings) -> DataFrame:
         "grp", F.col("t").alias("start_t"), F.col("next.t").alias("end_t"), F.col("frame_id").alias("start_frame"), F.col("next.frame_id").alias("end_frame"),
         F.col("l").alias("left0"), F.col("next.l").alias("left1"), F.col("r").alias("right0"), F.col("next.r").alias("right1"),
     )
+    pairs = stage(pairs)
     near = with_neighbours(pairs, ["grp"], ["start_t", "start_frame"], ["end_t"], settings.chunk)
     breaks = F.when(F.col("prev.end_t") == F.col("start_t"), 0).otherwise(1)
     length = F.col("end_t") - F.col("start_t")
-    out = with_running_sums(near.drop("next").withColumn("break", breaks).drop("prev"), ["grp"], ["start_t", "start_frame"], {"segment": F.col("break"), "eff_end": length}, settings.chunk)
-    return out.drop("break").withColumn("eff_start", F.col("eff_end") - length)
+    near = stage(near.withColumn("break", breaks).drop("next", "prev"))
+    out = with_running_sums(near, ["grp"], ["start_t", "start_frame"], {"segment": F.col("break"), "eff_end": length}, settings.chunk)
+    return stage(out.drop("break").withColumn("eff_start", F.col("eff_end") - length))
 
 
 def integrals(pieces: DataFrame, keys: list[str]) -> DataFrame:
@@ -179,7 +182,7 @@ def valid_elapsed(frames: DataFrame, settings: Settings, flags: dict[str, str])
     Counts needn't be finite here, unlike in intervals().
     """
     series = frames.where("grp is not null and t is not null").select("grp", "t", "frame_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in flags.values()])
-    near = with_neighbours(series, ["grp"], ["t", "frame_id"], list(flags.values()), settings.chunk)
+    near = stage(with_neighbours(series, ["grp"], ["t", "frame_id"], list(flags.values()), settings.chunk))
     dt = F.col("t") - F.col("prev.t")
     sums = {n: F.when(F.col(c) & F.col(f"prev.{c}") & (dt > 0) & (dt <= settings.max_gap), dt).otherwise(0) for n, c in flags.items()}
     out = with_running_sums(near.drop("next"), ["grp"], ["t", "frame_id"], sums, settings.chunk)

@@ -129,7 +129,7 @@ o AS (SELECT spine.*, obs, n, ls, rs, spine.b * {us} AS st, least((spine.b + 1)
 
 
 MEASURES = """round(coalesce(obs, 0) / 1e6, 6) AS observed_seconds, round(coalesce(obs, 0) / (en - st), 6) AS coverage, coalesce(n, 0) AS interval_pieces,
-  round(ls / (obs / 1e6), 6) AS left_mean, round(rs / (obs / 1e6), 6) AS right_mean, round(ls / 60, 6) AS left_insect_minutes, round(rs / 60, 6) AS right_insect_minutes,
+  round(ls / (obs / 1e6), 6) AS left_mean, round(rs / (obs / 1e6), 6) AS right_mean, round(ls / 60 + 1e-9, 6) AS left_insect_minutes, round(rs / 60 + 1e-9, 6) AS right_insect_minutes,
   round(ls / nullif(ls + rs, 0), 6) AS left_share, round(rs / nullif(ls + rs, 0), 6) AS right_share"""
 
 
@@ -166,7 +166,7 @@ OVERALL = f"""WITH {FRAMES}, {INTERVALS}, w AS (SELECT grp, sum(end_t - start_t)
 b AS (SELECT grp, count(*) AS n_images, count(*) FILTER (valid) AS n_valid, min(t) AS first_t, max(t) AS last_t FROM frames GROUP BY grp)
 SELECT b.grp, n_images, n_valid, n_images - n_valid AS n_invalid, first_t, last_t, round((last_t - first_t) / 3.6e9, 6) AS actual_hours, round(coalesce(obs, 0) / 3.6e9, 6) AS effective_hours,
   round(coalesce(obs, 0) / nullif(last_t - first_t, 0), 6) AS coverage, round(ls / (obs / 1e6), 6) AS left_mean, round(rs / (obs / 1e6), 6) AS right_mean, round(ls / nullif(ls + rs, 0), 6) AS left_share,
-  round(rs / nullif(ls + rs, 0), 6) AS right_share, round(ls / 60, 6) AS left_insect_minutes, round(rs / 60, 6) AS right_insect_minutes FROM b LEFT JOIN w USING (grp)"""
+  round(rs / nullif(ls + rs, 0), 6) AS right_share, round(ls / 60 + 1e-9, 6) AS left_insect_minutes, round(rs / 60 + 1e-9, 6) AS right_insect_minutes FROM b LEFT JOIN w USING (grp)"""
 
 
 @query(OVERALL)
