@@ -6,21 +6,9 @@ from pyspark.sql import functions as F
 
 from framewright.operators import inventory, occupancy
 from framewright.plans.bindings import FRAMES, INTERVALS, SETTINGS, TIED, frames, rounded, tied_frames
+from framewright.plans.registry import registry
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
+QUERIES, SQL, query = registry()
 STEPS = "steps AS (SELECT grp, frame_id, t, (t - lag(t) OVER (PARTITION BY grp ORDER BY t, frame_id)) / 1e6 AS interval_s FROM frames)"
 
 
