@@ -49,7 +49,7 @@ def reasons(parts: dict[str, DataFrame]) -> DataFrame:
 def priority(frames: DataFrame, settings: Settings, number: int = 3) -> DataFrame:
     """frame_id and reason of the frames to review first; counts are never altered.
 
-    frames: grp, t, frame_id, left_count, right_count, sharpness, suspect_count, and, if checked, error: the larger
+    frames: grp, t, frame_id, left_count, right_count, sharpness, suspect_count, and, if checked, reference_error: the larger
     error against a reference.
     """
     parts = {
@@ -58,8 +58,8 @@ def priority(frames: DataFrame, settings: Settings, number: int = 3) -> DataFram
         "large change between adjacent frames": largest_changes(frames, settings, number),
         "beside an acquisition gap": gap_neighbours(frames, settings),
     }
-    if "error" in frames.columns:
-        parts["off the reference by more than two"] = frames.where(F.abs("error") > 2)
+    if "reference_error" in frames.columns:
+        parts["off the reference by more than two"] = frames.where(F.abs("reference_error") > 2)
     return reasons(parts)
 
 
@@ -87,7 +87,10 @@ def checked(records: DataFrame, known: DataFrame, image: tuple[int, int] = (4416
         .when(F.exists("boxes", lambda b: ~F.coalesce(b["kind"].isin(*KINDS), F.lit(False))), "unknown kind")
         .when(F.exists("boxes", bad), "box outside the image")
     )
-    counts = {f"{k}_count": F.size(F.filter("boxes", lambda b, k=k: b["kind"] == k)) for k in KINDS}
+    def number(kind: str) -> Column:
+        return F.size(F.filter("boxes", lambda b: b["kind"] == kind))
+
+    counts = {f"{k}_count": number(k) for k in KINDS}
     return records.join(ids, "frame_id", "left").withColumn("problem", problem).withColumns(counts).drop("known__")
 
 

@@ -23,7 +23,7 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     ok = F.lower(F.substring_index(name, ".", -1)).isin(*IMAGE_ENDINGS) & name.contains(".") & ~name.startswith("._")
     root = folder.rstrip("/").split("://")[-1]
-    after = F.substring_index(F.col("path"), F.lit(root + "/"), -1) if root else F.col("path")
+    after = F.substring_index("path", root + "/", -1)
     return files.where(ok).select("path", after.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
@@ -58,7 +58,7 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file with a number that rises along it, and whether a line break ends each."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumn("line__", F.monotonically_increasing_id())
     return lines.where(F.trim("value") != "")
 
 
@@ -68,13 +68,13 @@ def record_log(spark: SparkSession, path: str, schema: str, key: str) -> tuple[D
     The tail is what an interrupted writer left, for a backup before the log is cut.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken__"}
-    parsed = _numbered(spark, path).select("value", "n", F.from_json("value", f"{schema}, broken__ string", options).alias("r"))
+    parsed = _numbered(spark, path).select("value", "line__", F.from_json("value", f"{schema}, broken__ string", options).alias("r"))
     broken = parsed.where("r is null or r.broken__ is not null")
-    first = broken.agg(F.min("n").alias("stop"))
+    first = broken.agg(F.min("line__").alias("stop"))
     marked = parsed.crossJoin(F.broadcast(first))  # one row
-    good = marked.where("stop is null or n < stop").select("r.*", "n").drop("broken__")
-    last = good.groupBy(key).agg(F.max_by(F.struct(*[c for c in good.columns if c != "n"]), "n").alias("x")).select("x.*")
-    tail = marked.where("n >= stop").select("value", "n")
+    good = marked.where("stop is null or line__ < stop").select("r.*", "line__").drop("broken__")
+    last = good.groupBy(key).agg(F.max_by(F.struct(*[c for c in good.columns if c != "line__"]), "line__").alias("x")).select("x.*")
+    tail = marked.where("line__ >= stop").select("value", "line__")
     return last, tail
 
 
@@ -84,9 +84,9 @@ def strict_log(spark: SparkSession, path: str, schema: str, key: str, known: Dat
     Where completeness isn't asked for, one broken last line is passed over.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken__"}
-    parsed = _numbered(spark, path).select("n", F.from_json("value", f"{schema}, broken__ string", options).alias("r")).cache()
+    parsed = _numbered(spark, path).select("line__", F.from_json("value", f"{schema}, broken__ string", options).alias("r")).cache()
     broken = F.col("r").isNull() | F.col("r.broken__").isNotNull()
-    state = parsed.agg(F.count_if(broken).alias("broken"), F.max(F.when(broken, F.col("n"))).alias("at"), F.max("n").alias("last")).first()
+    state = parsed.agg(F.count_if(broken).alias("broken"), F.max(F.when(broken, F.col("line__"))).alias("at"), F.max("line__").alias("last")).first()
     if state.broken and (complete or state.broken > 1 or state["at"] != state.last):
         raise ValueError(f"{state.broken} broken lines in the record log; keep the file and find the damage first")
     records = parsed.where(~broken).select("r.*").drop("broken__")
