@@ -100,3 +100,8 @@ def published_nulls(frames: DataFrame, accepted: DataFrame, counts: list[str], n
     some = F.greatest(*[F.col(c).isNotNull() for c in counts], F.lit(False))
     always = F.greatest(*[F.col(c).isNotNull() for c in never], F.lit(False))
     return joined.agg(F.count_if(failed & some).alias("published_of_failed_groups"), F.count_if(always).alias("never_published"))
+
+
+def bad_hashes(df: DataFrame, column: str = "sha256") -> DataFrame:
+    """Rows whose hash isn't 64 lower-case hexadecimal digits; a missing one is bad."""
+    return df.where(~F.coalesce(F.col(column).rlike("^[0-9a-f]{64}$"), F.lit(False)))

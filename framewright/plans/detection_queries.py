@@ -239,3 +239,45 @@ def splice_labels(spark, d):
     iv = occupancy.intervals(f, SETTINGS)
     spans = iv.groupBy("grp").agg((F.max("eff_end") / 1e6 / 3600).alias("hours"))
     return rounded(review.splice_labels(occupancy.splice_map(iv, f), spans))
+
+
+# --- small filters and aggregates ------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE NOT (l_partkey >= 0 AND l_partkey < 4416 AND l_extendedprice / 20 >= 0 AND l_extendedprice / 20 < 2488 AND l_quantity > 0 AND l_partkey + l_quantity <= 4416 AND l_extendedprice / 20 + l_quantity <= 2488)")
+def box_outside(spark, d):
+    li = table(spark, d, "lineitem")
+    ok = detections.inside(F.col("l_partkey"), F.col("l_extendedprice") / 20, F.col("l_quantity"), F.col("l_quantity"))
+    return li.where(~ok).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem WHERE l_discount * 10 >= 0.65 AND l_tax >= 0.07 AND l_quantity / 100 - 0.3 >= -0.055")
+def candidate_acceptance(spark, d):
+    ok = detections.accepted(F.col("l_discount") * 10, F.col("l_tax"), F.col("l_quantity") / 100 - 0.3)
+    return table(spark, d, "lineitem").where(ok).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_extendedprice <= 12000 AND greatest(l_quantity, l_partkey % 60) >= 35 AND least(l_quantity, l_partkey % 60) >= 16 AND l_tax * 100 <= 5 AND l_discount * 10 >= 0.22 AS component,
+  l_quantity >= 20 AND l_quantity <= 135 AND l_partkey % 60 >= 35 AND l_partkey % 60 <= 230 AND l_extendedprice >= 700 AND l_extendedprice <= 7500 AND l_discount * 10 >= 0.22 AS supplement FROM lineitem"""
+)
+def component_filters(spark, d):
+    li = table(spark, d, "lineitem")
+    w, h = F.col("l_quantity"), F.col("l_partkey") % 60
+    first = detections.component_ok(F.col("l_extendedprice"), w, h, F.col("l_tax") * 100, F.col("l_discount") * 10)
+    second = detections.supplement_ok(F.col("l_extendedprice"), w, h, F.col("l_discount") * 10)
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", first.alias("component"), second.alias("supplement"))
+
+
+@query("SELECT n_name, n_nationkey FROM nation WHERE n_nationkey % 4 = 0")
+def hash_format(spark, d):
+    n = table(spark, d, "nation").withColumn("sha256", F.when(F.col("n_nationkey") % 4 == 0, F.upper("n_name")).otherwise(F.sha2(F.col("n_name").cast("binary"), 256)))
+    return integrity.bad_hashes(n).select("n_name", "n_nationkey")
+
+
+@query('SELECT event_type AS "group", count(*) AS records, count(*) FILTER (value < 3) AS errors, round(sum(value), 6) AS seconds, round(count(*) / sum(value), 6) AS images_per_second FROM events GROUP BY event_type')
+def batch_metrics(spark, d):
+    from framewright.operators.counting import batch_metrics as metrics
+
+    e = table(spark, d, "events")
+    return rounded(metrics(e.select(F.col("event_type").alias("group"), F.when(F.col("value") < 3, "error").otherwise("processed").alias("status"), F.col("value").alias("processing_seconds"))))

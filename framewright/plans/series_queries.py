@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framewright.operators import inventory, occupancy
 from framewright.plans.bindings import FRAMES, INTERVALS, SETTINGS, TIED, frames, rounded, tied_frames
 from framewright.plans.registry import registry
+from framewright.sources import writers
 
 QUERIES, SQL, query = registry()
 STEPS = "steps AS (SELECT grp, frame_id, t, (t - lag(t) OVER (PARTITION BY grp ORDER BY t, frame_id)) / 1e6 AS interval_s FROM frames)"
@@ -172,3 +173,16 @@ def conservation_check(spark, d):
     f = frames(spark, d)
     iv = occupancy.intervals(f, SETTINGS)
     return rounded(occupancy.conservation(occupancy.rebin(iv, f, [600, 3600]), occupancy.overall(f, iv)), 4)
+
+
+@query(f"SELECT grp, round(greatest(max(left_mean), max(right_mean)), 6) AS highest FROM ({SQL['rebin_600_effective']}) GROUP BY grp")
+def curve_limit(spark, d):
+    f = frames(spark, d)
+    return rounded(writers.curve_limit(occupancy.rebin(occupancy.intervals(f, SETTINGS), f, [600], ("effective",))))
+
+
+@query(f"SELECT grp, start_hour, end_hour, side, round(CASE side WHEN 'left' THEN left_share ELSE right_share END * 100, 4) AS percent FROM ({SQL['rebin_3600_effective']}), (VALUES ('left'), ('right')) s(side)")
+def heatmap_cells(spark, d):
+    f = frames(spark, d)
+    cells = writers.heatmap(rounded(occupancy.rebin(occupancy.intervals(f, SETTINGS), f, [3600], ("effective",))))
+    return cells.withColumn("percent", F.round("percent", 4))

@@ -139,3 +139,26 @@ def test_review_records_and_server(spark, tmp_path):
     assert (seen["index"], seen["total"], seen["review"]["left_count"], seen["review"]["other_count"]) == (1, 2, 1, 1)
     server.shutdown()
     assert len((tmp_path / "review/corrections.jsonl").read_text().splitlines()) == 1
+
+
+def test_hybrid_detector(spark):
+    rng = np.random.default_rng(3)
+    base = scene(((60, 40), (60, 150), (165, 40)))
+    patch = lambda y, x: vision.grey(base)[y - 32 : y + 32, x - 16 : x + 16]
+    w, b = vision.train([patch(60, 40), patch(60, 150), patch(165, 40)], [np.clip(rng.normal(150, 3, (64, 32)), 0, 255) for _ in range(10)] + [patch(200, 250)], [vision.grey(scene(()))], rounds=1, copies=4)
+    real = vision.windows
+    vision.windows = lambda g, weights, bias, least: real(g, weights, bias, least, (32, 64), 4, 3.0)
+    try:
+        found, _, q = counting.hybrid_detector(scenes(), w, b, ("A",))(base, "A")
+    finally:
+        vision.windows = real
+    assert {d["side"] for d in found} >= {"left", "right"} and q["sharpness"] > 0
+    assert [d["detection_id"] for d in found] == list(range(1, len(found) + 1))
+    for y, x in ((60, 40), (60, 150), (165, 40)):
+        assert any(abs(d["x"] - x) < 25 and abs(d["y"] - y) < 25 for d in found)
+
+
+def test_batch_metrics(spark):
+    rows = spark.createDataFrame([("A", "error", 1.0), ("A", "processed", 3.0), ("B", "processed", 0.0)], "group string, status string, processing_seconds double")
+    got = {r.group: r for r in counting.batch_metrics(rows).collect()}
+    assert (got["A"].errors, got["A"].images_per_second, got["B"].images_per_second) == (1, 0.5, None)

@@ -96,3 +96,20 @@ def test_stream_resumes_and_errors_count_as_done(spark, tmp_path):
     fixed = lambda df: work(df.withColumn("n", F.lit(1)))
     again = logs.process_new(spark, str(src), LOG, fixed, out, f"{out}-c", retry_errors=True)
     assert sorted((r.frame_id, r.status) for r in again.collect()) == [("a", "processed"), ("b", "processed"), ("c", "processed")]
+
+
+def test_sessions_and_progress(spark, tmp_path):
+    from framewright.streaming.progress import Progress
+
+    rows = [("A", f"2024-01-01 00:00:{s:02d}") for s in (0, 5, 14, 40)] + [("B", "2024-01-01 00:00:01"), ("A", "2024-01-01 01:00:00")]
+    spark.createDataFrame(rows, "k string, s string").selectExpr("k", "cast(s as timestamp) ts").write.parquet(str(tmp_path / "in"))
+    said = []
+    listener = Progress(2, said.append)
+    spark.streams.addListener(listener)
+    stream = logs.gap_sessions(logs.file_stream(spark, str(tmp_path / "in"), "k string, ts timestamp"), "k", "ts", "15 seconds", "1 minute")
+    logs.replay(stream, "append", str(tmp_path / "out"), str(tmp_path / "c"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    spark.streams.removeListener(listener)
+    got = sorted((r.k, str(r.start)[11:], r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("A", "00:00:00", 3), ("A", "00:00:40", 1), ("B", "00:00:01", 1)]
+    assert listener.rows == 6
