@@ -44,15 +44,15 @@ def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], column: st
 
     At most SAMPLE_ROWS documents a domain, of at most linear.SAMPLE_BYTES, in the order of a hash of doc_id.
     """
-    sample: list[tuple[int, str, str]] = []
-    own = docs.where(F.octet_length("text") <= linear.SAMPLE_BYTES).select("doc_id", F.col(column).alias("domain"), "text")
-    keys = own.select("doc_id", "domain").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    domain = F.col(column).alias("domain")
+    keys = docs.select("doc_id", domain).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")  # reads no texts
     ids = None
     for name in names:
         part = keys.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
         ids = part if ids is None else ids.unionByName(part)
-    for r in own.join(F.broadcast(ids), ["doc_id", "domain"]).collect():  # SAMPLE_ROWS ids a domain
-        sample.append((r.doc_id, r.domain, r.text))
+    texts = docs.select("doc_id", domain, "text").where(F.octet_length("text") <= linear.SAMPLE_BYTES)
+    found = texts.join(F.broadcast(ids), ["doc_id", "domain"]).collect()  # at most SAMPLE_ROWS ids a domain
+    sample = [(r.doc_id, r.domain, r.text) for r in found]
     sample = sorted(set(sample))
     if not sample:
         return Domains(names, np.zeros((1, 1 << BITS, len(names))), np.zeros(len(names)))
