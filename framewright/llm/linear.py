@@ -80,7 +80,7 @@ def features(texts: list[str], bits: int, sizes: tuple = SIZES) -> list[list[tup
         key, count = np.unique(row.astype(np.int64) << bits | bucket, return_counts=True)
         r = key >> bits
         size = np.maximum(np.bincount(r, weights=count, minlength=len(texts)), 1)
-        out.append((r, key & ((1 << bits) - 1), count / size[r]))
+        out.append((r.astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32), (count / size[r]).astype(np.float32)))
     return out
 
 
