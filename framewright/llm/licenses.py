@@ -1,10 +1,11 @@
 """Licence scan by a positional rare-token index, in DataFrame expressions only.
 
-Templates of licence notices are cut into words; the index maps a word to its postings (template, position). A file's
-licence words are ranked by their inverse document frequency over all files; the rarest RARE distinct ones are looked
-up, each pair of a place in the file and a posting votes for a template at an offset, and an offset is verified by the
-share of the template's IDF weight that stands at its place and by the template's key phrase, which must stand there
-in full. Everything about a file happens within its row; the only shuffle counts licence words over all files.
+Templates of licence notices are cut into words, which are ranked by their inverse document frequency over all files.
+The index maps the rarest word of each template's key phrase to its postings (template, position); each pair of a place
+in the file and a posting votes for a template at an offset, and an offset is verified by the share of the template's
+IDF weight that stands at its place and by the template's key phrase, which must stand there in full. As its rarest
+word stands with it, no key phrase goes without a vote. Everything about a file happens within its row; the only
+shuffle counts licence words over all files.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ TEMPLATES = [
     ("mit", "released under the mit license", "mit license"),
     ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", "mozilla public license version 2 0"),
 ]
-RARE = 3
 LEAST_SCORE = 0.6
 WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what stands between lower-cased words
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same before lower-casing
@@ -71,20 +71,14 @@ def base_places(words: Column) -> Column:
 def method_hits(words: Column, idf: dict[str, float]) -> Column:
     """Array of (label, score) of the templates verified at some offset of the file."""
     index: dict[str, list[tuple[int, int]]] = {}
-    for t, (_, text, _) in enumerate(TEMPLATES):
-        for p, w in enumerate(text.split()):
-            index.setdefault(w, []).append((t, p))
-    weight = F.create_map(*[F.lit(x) for w in index for x in (w, max(idf[w], 1e-6))])
+    for t, (_, text, key) in enumerate(TEMPLATES):
+        parts, own = text.split(), key.split()
+        at = next(i for i in range(len(parts)) if parts[i : i + len(own)] == own)
+        k = max(range(len(own)), key=lambda k: idf[own[k]])  # the rarest word of the key phrase, at one place in it
+        index.setdefault(own[k], []).append((t, at + k))
     postings = F.create_map(*[x for w, ps in index.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
-    terms = F.array(*[F.lit(w) for w in index])
-    # licence words of the file by falling IDF
-    ranked = F.array_sort(F.transform(F.array_intersect(words, terms), lambda w: F.struct((-F.element_at(weight, w)).alias("order"), w.alias("word"))))
-
-    def votes_of(x: Column) -> Column:  # only lambda variables and columns within, so that nothing is computed again
-        at = F.filter(F.transform(words, lambda w, i: F.when(w == x["word"], i)), lambda i: i.isNotNull())
-        return F.flatten(F.transform(F.element_at(postings, x["word"]), lambda q: F.transform(at, lambda i: F.struct(q["t"].alias("t"), (i - q["p"]).alias("off")))))
-
-    votes = F.array_distinct(F.flatten(F.transform(F.slice(ranked, 1, RARE), votes_of)))
+    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*index), F.struct(w.alias("word"), i.alias("i")))), lambda x: x.isNotNull())
+    votes = F.flatten(F.transform(places, lambda x: F.transform(F.element_at(postings, x["word"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("off")))))
 
     def verified(v: Column) -> Column:
         out = F.lit(None).cast("struct<label:string,score:double>")

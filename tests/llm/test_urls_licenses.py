@@ -98,3 +98,15 @@ def test_license_finds_partial_notice_and_needs_key_phrase(spark):
     assert got[1]["labels"] == "gpl,gpl-3.0" and 0.6 <= got[1]["score"] < 1
     assert got[2]["labels"] == "" and got[3]["score"] == 0
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_license_finds_every_notice_of_a_file(spark):
+    notices = [text for _, text, _ in licenses.TEMPLATES]
+    names = [label for label, _, _ in licenses.TEMPLATES]
+    pairs = [(i, j) for i in range(len(names)) for j in range(len(names)) if i != j]
+    docs = [(0, " here ".join(notices))] + [(1 + k, f"{notices[i]} and so on {notices[j]}") for k, (i, j) in enumerate(pairs)]
+    docs += [(1000 + k, "source terms use forms binary nc sa 2 0 " + text) for k, text in enumerate(notices)]
+    got = {k: set(v["labels"].split(",")) for k, v in rows(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"))).items()}
+    assert set(names) <= got[0]
+    assert all({names[i], names[j]} <= got[1 + k] for k, (i, j) in enumerate(pairs))
+    assert all(names[k] in got[1000 + k] for k in range(len(names)))
