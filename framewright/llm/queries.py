@@ -51,10 +51,20 @@ def turn_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
+def format_turns(turns: DataFrame) -> DataFrame:
+    """link() over all turns; a turn whose role is neither a call's nor a result's has a row of status other.
+
+    Its call_id, depth, errors and json are NULL.
+    """
+    linked = toolcalls.link(*turn_calls(turns), TURN_SCHEMAS, copies=True)
+    empty = {"call_id": "string", "depth": "long", "status": "string", "errors": "string", "json": "string"}
+    rest = turns.where(~F.coalesce(F.col("role").isin("user", "system", "assistant"), F.lit(False)))
+    return linked.unionByName(rest.select("conv_id", F.col("turn").alias("place"), *[F.lit("other" if c == "status" else None).cast(t).alias(c) for c, t in empty.items()]))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns of all conversations as linked, ordered, validated calls in canonical JSON."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return toolcalls.link(*turn_calls(turns), TURN_SCHEMAS)
+    return format_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,7 +94,7 @@ def depths(calls: DataFrame, work: Workspace) -> DataFrame:
     return now.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Argument]]) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Argument]], copies: bool = False) -> DataFrame:
     """One row per call, and per result that is no call's first.
 
     calls: conv_id, place, call_id, tool, arguments (map<string,string>), after. results: conv_id, place, call_id,
@@ -102,9 +102,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Argument]
 
     status is linked (to the first result by conv_id and place), unanswered (a call without result), orphan (a result
     without call, whose other columns are NULL), repeated (a result after the first one of its identifier, likewise)
-    or unnamed (a call whose call_id is NULL, which links with nothing). A call_id that several calls share is
-    ambiguous: such calls link all the same, their depth is NULL. A result is later than its call in a topological
-    order by (depth, conv_id, place). Empty tables give what the other one has; other columns are not read.
+    or unnamed (a call whose call_id is NULL, which links with nothing). First is by conv_id, place and content; rows
+    equal to the first in all of them count as one with it, unless copies is set: then each but one is repeated. A
+    call_id that several calls share is ambiguous: such calls link all the same, their depth is NULL. A result is later
+    than its call in a topological order by (depth, conv_id, place). Empty tables give what the other one has; other
+    columns are not read.
     """
     work = Workspace(calls.sparkSession, "toolcalls")
     calls = calls.select("conv_id", "place", "call_id", "tool", "arguments", "after")
@@ -125,7 +127,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Argument]
     orphans = results.join(named.select(F.col("call_id").alias("known")).distinct(), F.col("call_id") == F.col("known"), "left_anti")
     orphans = orphans.select("conv_id", "place", "call_id", F.lit(None).cast("long").alias("depth"), F.lit("orphan").alias("status"), none.alias("errors"), none.alias("json"))
     later = firsts.where("answers > 1").select(F.col("call_id").alias("id"), "one").join(counted.select(F.col("call_id").alias("known")), F.col("id") == F.col("known"), "left_semi")
-    same = F.col("conv_id").eqNullSafe(F.col("one.conv_id")) & F.col("place").eqNullSafe(F.col("one.place"))
-    later = results.join(later, F.col("call_id") == F.col("id")).where(~same)
+    same = F.struct("conv_id", "place", "content").eqNullSafe(F.col("one"))
+    both = results.join(later, F.col("call_id") == F.col("id")).select("conv_id", "place", "call_id", same.alias("same"))
+    later = both.where("not same").drop("same")
+    if copies:  # the rows equal to the first, less one
+        equal = both.where("same").groupBy("conv_id", "place", "call_id").agg(F.count("*").alias("n")).where("n > 1")
+        later = later.unionByName(equal.select("conv_id", "place", "call_id", F.explode(F.sequence(F.lit(2), "n"))).drop("col"))
     later = later.select("conv_id", "place", "call_id", F.lit(None).cast("long").alias("depth"), F.lit("repeated").alias("status"), none.alias("errors"), none.alias("json"))
     return out.unionByName(unnamed).unionByName(orphans).unionByName(later)

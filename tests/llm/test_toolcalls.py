@@ -1,7 +1,7 @@
 import json
 import random
 
-from framewright.llm import toolcalls
+from framewright.llm import queries, toolcalls
 from framewright.llm.common import Workspace
 from framewright.llm.toolcalls import Argument
 
@@ -70,3 +70,13 @@ def test_shared_identifiers_repeated_rows_and_empty_tables(spark):
     assert [r.status for r in linked(spark, [], [(1, 1, "a", "x")]).values()] == ["orphan"]
     long = linked(spark, [(1, 0, "a", "find", {"q": "é" * 100000}, None)], [(1, 1, "a", "z" * 100000)])
     assert len(json.loads(long[1, 0].json)["result"]) == 100000 and long[1, 0].errors == "q: above 5"
+
+
+def test_every_turn_has_a_row(spark):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "assistant", None)]
+    turns += [(1, 2, "tool", "t"), (1, 3, None, "n"), (1, 3, None, "n"), (None, None, None, None), (2, 5, "assistant", "o"), (2, 5, "assistant", "o"), (None, 1, "assistant", "u")]
+    got = queries.format_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    found = sorted(((r.conv_id, r.place, r.status) for r in got), key=repr)
+    want = [(1, 0, "linked")] + [(1, 1, "repeated")] * 3 + [(1, 2, "other")] + [(1, 3, "other")] * 2 + [(None, None, "other")] + [(2, 5, "orphan")] * 2 + [(None, 1, "orphan")]
+    assert found == sorted(want, key=repr)
+    assert all(r.call_id is None and r.json is None for r in got if r.status == "other")
