@@ -26,7 +26,6 @@ from framewright.llm.common import Workspace
 BITS, SIZES = 14, ((3,), ())
 SAMPLE_ROWS = 500  # labelled rows per domain at most
 STEPS, TOLERANCE = 20, 1e-4
-LARGEST_SCALE = 4.0
 
 
 @dataclass
@@ -81,10 +80,11 @@ def with_posteriors(docs: DataFrame, domains: Domains) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def fit_rates(table: DataFrame, targets: list[float]) -> tuple[Column, list[float]]:
+def fit_rates(table: DataFrame, targets: list[float], least: float = 0.0) -> tuple[Column, list[float]]:
     """The rate as an expression over the posteriors, and the share of tokens that was off target before each step.
 
     table has n_tokens__ and the posteriors. Of the tokens, targets (normalised) is the share that each domain gets.
+    No rate falls below least.
     """
     k = len(targets)
     p, tokens = [F.col(f"p{i}__") for i in range(k)], F.col("n_tokens__")
@@ -108,7 +108,7 @@ def fit_rates(table: DataFrame, targets: list[float]) -> tuple[Column, list[floa
         if gaps[-1] < TOLERANCE:
             break
         move = step * weight * gap
-        rate = F.greatest(F.lit(0.0), rate - sum((F.lit(float(m)) * c for m, c in zip(move, p, strict=True)), F.lit(0.0)))
+        rate = F.greatest(F.lit(least), rate - sum((F.lit(float(m)) * c for m, c in zip(move, p, strict=True)), F.lit(0.0)))
     return rate, gaps
 
 
@@ -129,17 +129,16 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], column:
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], column: str = "lang") -> DataFrame:
     """The rows of docs, each as often as its rate says: all columns of docs, whole texts.
 
-    Rates are scaled so that the lowest is 1 (by LARGEST_SCALE at most), so the mix is reached by repeating documents
-    of domains that have too little and, up to that scale, without dropping any. A rate's fraction becomes a copy for
-    the documents whose hash falls below it.
+    Rates are scaled so that the lowest is 1: the mix is reached by repeating documents of domains that have too little,
+    and no document goes. A domain that had all tokens would need its share as rate, so no rate is let fall below the
+    lowest share above 0, and the result has at most one over that share times the tokens, where the targets are met.
+    A rate's fraction becomes a copy for the documents whose hash falls below it.
     """
     domains = fit_domains(docs, labels, sorted(targets), column)
     table = Workspace(docs.sparkSession, "mixing").keep(with_posteriors(docs, domains))
-    rate, _ = fit_rates(table, [targets[d] for d in domains.names])
-    lowest = table.agg(F.min(rate)).first()[0]
-    scale = min(1 / lowest, LARGEST_SCALE) if lowest else LARGEST_SCALE
-    if lowest is None:
-        scale = 1.0
+    least = min((t for t in targets.values() if t > 0), default=0.0) / (sum(targets.values()) or 1.0)
+    rate, _ = fit_rates(table, [targets[d] for d in domains.names], least)
+    scale = 1 / (table.agg(F.min(rate)).first()[0] or 1.0)
     fraction = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(rate * scale + F.lit(1e-9) + fraction).cast("int")
     return table.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("copy__")).drop("copy__")

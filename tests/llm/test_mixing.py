@@ -56,3 +56,18 @@ def test_odd_rows_and_empty_tables(spark):
     assert mixing.rates(docs.limit(0), labels, MIX_TARGETS).count() == 0
     assert mixing.mixed(docs.limit(0), labels, MIX_TARGETS).count() == 0
     assert mixing.mixed(docs, labels, MIX_TARGETS).columns == docs.columns
+
+
+def test_mixed_keeps_every_document_of_a_domain_at_five_times_its_target(spark):
+    docs, labels = tables(spark, "/root/testdata/sf0.01")
+    tokens = {r.lang: r.n for r in docs.groupBy("lang").agg(F.sum("n_chars").alias("n")).collect()}
+    times = round((sum(tokens.values()) - tokens["es"]) / tokens["es"])
+    more = docs.where("lang = 'es'").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times - 1))))
+    more = more.withColumn("doc_id", F.col("doc_id") * 1000 + F.col("k") + 10**9).select(*docs.columns)
+    skewed = docs.unionByName(more)
+    targets = {"de": 0.15, "en": 0.6, "es": 0.1, "fr": 0.15}
+    out = mixing.mixed(skewed, labels, targets).select("doc_id", "lang", "n_chars").cache()
+    assert out.select("doc_id").distinct().count() == skewed.count()
+    got = {r.lang: r.n for r in out.groupBy("lang").agg(F.sum("n_chars").alias("n")).collect()}
+    share = {d: got[d] / sum(got.values()) for d in targets}
+    assert all(abs(share[d] - t) < 0.05 for d, t in targets.items()), share
