@@ -10,6 +10,7 @@ the shared folder; texts are read once.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +24,10 @@ from framewright.llm import linear
 from framewright.llm import textkit as tk
 from framewright.llm.common import Workspace
 
+LOG = logging.getLogger(__name__)
 BITS, SIZES = 14, ((3,), ())
 SAMPLE_ROWS = 500  # labelled rows per domain at most
-STEPS, TOLERANCE = 20, 1e-4
+TOLERANCE, STAGNATION = 1e-4, 1e-3  # share of tokens off target; least fall of the squared gaps in a step
 
 
 @dataclass
@@ -81,10 +83,10 @@ def with_posteriors(docs: DataFrame, domains: Domains) -> DataFrame:
 
 
 def fit_rates(table: DataFrame, targets: list[float], least: float = 0.0) -> tuple[Column, list[float]]:
-    """The rate as an expression over the posteriors, and the share of tokens that was off target before each step.
+    """The rate as an expression over the posteriors, and the share of tokens that is off target before each step.
 
     table has n_tokens__ and the posteriors. Of the tokens, targets (normalised) is the share that each domain gets.
-    No rate falls below least.
+    No rate falls below least. Steps end within TOLERANCE, or when they no longer help; the last share is the rate's own.
     """
     k = len(targets)
     p, tokens = [F.col(f"p{i}__") for i in range(k)], F.col("n_tokens__")
@@ -101,6 +103,27 @@ def fit_rates(table: DataFrame, targets: list[float], least: float = 0.0) -> tup
     weight = 1 / np.maximum(np.diag(gram), 1e-9 * total)  # domains count alike, whatever their size
     root = np.sqrt(weight)
     step = 1 / np.linalg.eigvalsh(root[:, None] * gram * root)[-1]
+    moves, before = [], float("inf")
+    while True:
+        now = table.select(*p, (tokens * rate).alias("t"))
+        sums = now.agg(*[F.sum(F.col("t") * c) for c in p]).first()
+        gap = np.array(sums, float) - share * total
+        gaps.append(float(np.abs(gap).sum() / total))
+        square = float((weight * gap * gap).sum())
+        if gaps[-1] < TOLERANCE or square > (1 - STAGNATION) * before:
+            break
+        before = square
+        moves.append(F.array(*[F.lit(float(m)) for m in step * weight * gap]))
+        # a loop within the expression, as nested ones would be too deep after many steps
+        rate = F.aggregate(F.array(*moves), F.lit(1.0), lambda r, m: F.greatest(F.lit(least), r - sum((m[i] * c for i, c in enumerate(p)), F.lit(0.0))))
+    return rate, gaps
+    share = np.array(targets, float) / sum(targets)
+    gram = np.zeros((k, k))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = first[f"g{i}_{j}"]
+    weight = 1 / np.maximum(np.diag(gram), 1e-9 * total)  # domains count alike, whatever their size
+    root = np.sqrt(weight)
+    step = 1 / np.linalg.eigvalsh(root[:, None] * gram * root)[-1]
     for _ in range(STEPS):
         sums = table.select(*[(tokens * rate * p[i]).alias(f"s{i}") for i in range(k)]).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
         gap = np.array(sums, float) - share * total
@@ -113,7 +136,9 @@ def fit_rates(table: DataFrame, targets: list[float], least: float = 0.0) -> tup
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], column: str = "lang") -> DataFrame:
-    """One row per document: doc_id, n_tokens, domain (of the highest posterior), rate.
+    """One row per document: doc_id, n_tokens, domain (of the highest posterior), rate, gap.
+
+    gap is the same in all rows: the share of the tokens that these rates leave off target, NULL without any tokens.
 
     docs has doc_id, text and the domain column, which is read for labelled rows only; labels has doc_id. NULL and
     empty texts have no tokens and take the rate that their posteriors, the prior ones, get. Without labelled rows all
@@ -121,9 +146,9 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], column:
     """
     domains = fit_domains(docs, labels, sorted(targets), column)
     table = Workspace(docs.sparkSession, "mixing").keep(with_posteriors(docs.select("doc_id", "text"), domains).drop("text"))
-    rate, _ = fit_rates(table, [targets[d] for d in domains.names])
+    rate, gaps = fit_rates(table, [targets[d] for d in domains.names])
     best = F.greatest(*[F.struct(F.col(f"p{i}__").alias("p"), F.lit(d).alias("domain")) for i, d in enumerate(domains.names)])
-    return table.select("doc_id", F.col("n_tokens__").alias("n_tokens"), best["domain"].alias("domain"), rate.alias("rate"))
+    return table.select("doc_id", F.col("n_tokens__").alias("n_tokens"), best["domain"].alias("domain"), rate.alias("rate"), F.lit(gaps[-1] if gaps else None).cast("double").alias("gap"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], column: str = "lang") -> DataFrame:
@@ -137,7 +162,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], column:
     domains = fit_domains(docs, labels, sorted(targets), column)
     table = Workspace(docs.sparkSession, "mixing").keep(with_posteriors(docs, domains))
     least = min((t for t in targets.values() if t > 0), default=0.0) / (sum(targets.values()) or 1.0)
-    rate, _ = fit_rates(table, [targets[d] for d in domains.names], least)
+    rate, gaps = fit_rates(table, [targets[d] for d in domains.names], least)
+    if gaps and gaps[-1] >= TOLERANCE:
+        LOG.warning("the mix leaves %.5f of the tokens off target", gaps[-1])
     scale = 1 / (table.agg(F.min(rate)).first()[0] or 1.0)
     fraction = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(rate * scale + F.lit(1e-9) + fraction).cast("int")

@@ -71,3 +71,17 @@ def test_mixed_keeps_every_document_of_a_domain_at_five_times_its_target(spark):
     got = {r.lang: r.n for r in out.groupBy("lang").agg(F.sum("n_chars").alias("n")).collect()}
     share = {d: got[d] / sum(got.values()) for d in targets}
     assert all(abs(share[d] - t) < 0.05 for d, t in targets.items()), share
+
+
+def test_rates_step_until_targets_are_met_and_report_the_gap(spark):
+    # posteriors of two domains overlap, so that the steps of one direction are short
+    rows = [(i, 100, 0.5 + (0.06 if i % 2 else -0.06)) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, n_tokens__ long, p0__ double").withColumn("p1__", 1 - F.col("p0__"))
+    rate, gaps = mixing.fit_rates(table, [0.54, 0.46])
+    got = table.select((F.col("n_tokens__") * rate * F.col("p0__")).alias("a"), (F.col("n_tokens__") * rate).alias("b")).agg(F.sum("a"), F.sum("b")).first()
+    assert abs(got[0] / 4000 - 0.54) + abs((got[1] - got[0]) / 4000 - 0.46) < 2 * mixing.TOLERANCE and gaps[-1] < mixing.TOLERANCE
+    out, unmet = mixing.fit_rates(table, [0.99, 0.01])  # can't be met: the nearest is reached
+    assert unmet[-1] > mixing.TOLERANCE and table.select(out.alias("r")).where("r is null or r < 0").count() == 0
+    docs, labels = tables(spark, "/root/testdata/sf0.001")
+    found = mixing.rates(docs, labels, MIX_TARGETS).select("gap").distinct().collect()
+    assert len(found) == 1 and 0 <= found[0].gap < 0.01
