@@ -8,10 +8,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it none of the columns, in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode.
+
+    On a cluster a machine's own folder would lose rows, so there the setting is required.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="framewright-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -5,7 +5,8 @@ domains. Rates r >= 0 of the documents are fitted so that the expected tokens of
 tokens times posterior, match the targets: projected-gradient least squares, started at rate 1, whose every step is one
 aggregation over all documents to as many numbers as there are domains. Steps are scaled by the documents' tokens, so a
 rate depends on the posteriors alone, and by the domains' Gram matrix, so few steps are needed. Posteriors are kept in
-the shared folder; texts are read once.
+the shared folder; texts are read once. Tokens are the greedy pieces of a public vocabulary, counted by the automaton
+of wordpiece.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from framewright.llm import linear
+from framewright.llm import linear, wordpiece
 from framewright.llm import textkit as tk
-from framewright.llm.common import Workspace
+from framewright.llm.common import Workspace, unused
 
 LOG = logging.getLogger(__name__)
 BITS, SIZES = 14, ((3,), ())
@@ -40,6 +41,15 @@ class Domains:
         return linear.softmax(linear.scores(data, offsets, self.weights, BITS, SIZES) + self.bias)
 
 
+@dataclass
+class Membership:
+    """A table with one column of tokens and one of posteriors for each domain, under names that its others don't have."""
+
+    table: DataFrame
+    tokens: str
+    posteriors: list[str]
+
+
 def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], column: str = "lang") -> Domains:
     """The classifier of the named domains, from labelled documents whose column names their domain.
 
@@ -62,110 +72,111 @@ def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], column: st
     return Domains(names, w.astype(np.float32), bias)
 
 
-def with_posteriors(docs: DataFrame, domains: Domains) -> DataFrame:
-    """docs with n_tokens__ (words of the text) and p0__, p1__ ...: the posteriors."""
-    shared = docs.sparkSession.sparkContext.broadcast(domains)  # buckets * domains weights
-    names = [f"p{i}__" for i in range(len(domains.names))]
+def with_posteriors(docs: DataFrame, domains: Domains, path: str) -> Membership:
+    """docs with their texts' tokens and posteriors in further columns."""
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((domains, wordpiece.automaton(path)))  # buckets * domains weights, and the vocabulary
+    tokens, *posteriors = unused(docs.columns, "n_tokens", *[f"posterior_{i}" for i in range(len(domains.names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, machine = shared.value
         for batch in batches:
             for part in tk.pieces(batch, "text"):
                 data, offsets = tk.raw(part.column("text"))
-                p = shared.value.posteriors(data, offsets)
-                tokens = np.bincount(tk.runs(~tk.is_space(data), offsets)[2], minlength=part.num_rows)
+                p = own.posteriors(data, offsets)
+                starts, ends, rows = tk.runs(~tk.is_space(data), offsets)
+                found = machine.pieces(data, starts, ends)
+                n = np.bincount(rows, weights=np.where(found < 0, 1, found), minlength=part.num_rows).astype(np.int64)
                 columns = {c: part.column(i) for i, c in enumerate(part.schema.names)}
-                yield pa.RecordBatch.from_pydict(columns | {"n_tokens__": pa.array(tokens, pa.int64())} | {c: pa.array(p[:, i]) for i, c in enumerate(names)})
+                yield pa.RecordBatch.from_pydict(columns | {tokens: pa.array(n, pa.int64())} | {c: pa.array(p[:, i]) for i, c in enumerate(posteriors)})
 
-    schema = StructType(list(docs.schema.fields))
-    for c, kind in (("n_tokens__", "long"), *((c, "double") for c in names)):
-        schema = schema.add(c, kind)
-    return docs.mapInArrow(run, schema)
+    schema = StructType(list(docs.schema.fields)).add(tokens, "long")
+    for c in posteriors:
+        schema = schema.add(c, "double")
+    return Membership(docs.mapInArrow(run, schema), tokens, posteriors)
 
 
-def fit_rates(table: DataFrame, targets: list[float], least: float = 0.0) -> tuple[Column, list[float]]:
+def fit_rates(m: Membership, targets: list[float], least: float = 0.0) -> tuple[Column, list[float]]:
     """The rate as an expression over the posteriors, and the share of tokens that is off target before each step.
 
-    table has n_tokens__ and the posteriors. Of the tokens, targets (normalised) is the share that each domain gets.
-    No rate falls below least. Steps end within TOLERANCE, or when they no longer help; the last share is the rate's own.
+    Of the tokens, targets (normalised) is the share that each domain gets. No rate falls below least. Steps end within
+    TOLERANCE, or when they no longer help; the last share is the rate's own.
     """
     k = len(targets)
-    p, tokens = [F.col(f"p{i}__") for i in range(k)], F.col("n_tokens__")
+    p, tokens = [F.col(c) for c in m.posteriors], F.col(m.tokens)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = table.agg(F.sum(tokens).alias("total"), *[F.sum(tokens * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    total = float(first["total"] or 0)
+    total, *found = m.table.agg(F.sum(tokens), *[F.sum(tokens * p[i] * p[j]) for i, j in pairs]).first()
+    total = float(total or 0)
     rate, gaps = F.lit(1.0), []
     if not total:
         return rate, gaps
     share = np.array(targets, float) / sum(targets)
     gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = first[f"g{i}_{j}"]
+    for (i, j), g in zip(pairs, found, strict=True):
+        gram[i, j] = gram[j, i] = g
     weight = 1 / np.maximum(np.diag(gram), 1e-9 * total)  # domains count alike, whatever their size
     root = np.sqrt(weight)
     step = 1 / np.linalg.eigvalsh(root[:, None] * gram * root)[-1]
     moves, before = [], float("inf")
     while True:
-        now = table.select(*p, (tokens * rate).alias("t"))
-        sums = now.agg(*[F.sum(F.col("t") * c) for c in p]).first()
+        now = m.table.select(*[c.alias(f"p{i}") for i, c in enumerate(p)], (tokens * rate).alias("t"))
+        sums = now.agg(*[F.sum(F.col("t") * F.col(f"p{i}")) for i in range(k)]).first()
         gap = np.array(sums, float) - share * total
         gaps.append(float(np.abs(gap).sum() / total))
         square = float((weight * gap * gap).sum())
         if gaps[-1] < TOLERANCE or square > (1 - STAGNATION) * before:
             break
         before = square
-        moves.append(F.array(*[F.lit(float(m)) for m in step * weight * gap]))
+        moves.append(F.array(*[F.lit(float(x)) for x in step * weight * gap]))
         # a loop within the expression, as nested ones would be too deep after many steps
-        rate = F.aggregate(F.array(*moves), F.lit(1.0), lambda r, m: F.greatest(F.lit(least), r - sum((m[i] * c for i, c in enumerate(p)), F.lit(0.0))))
-    return rate, gaps
-    share = np.array(targets, float) / sum(targets)
-    gram = np.zeros((k, k))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = first[f"g{i}_{j}"]
-    weight = 1 / np.maximum(np.diag(gram), 1e-9 * total)  # domains count alike, whatever their size
-    root = np.sqrt(weight)
-    step = 1 / np.linalg.eigvalsh(root[:, None] * gram * root)[-1]
-    for _ in range(STEPS):
-        sums = table.select(*[(tokens * rate * p[i]).alias(f"s{i}") for i in range(k)]).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).first()
-        gap = np.array(sums, float) - share * total
-        gaps.append(float(np.abs(gap).sum() / total))
-        if gaps[-1] < TOLERANCE:
-            break
-        move = step * weight * gap
-        rate = F.greatest(F.lit(least), rate - sum((F.lit(float(m)) * c for m, c in zip(move, p, strict=True)), F.lit(0.0)))
+        rate = F.aggregate(F.array(*moves), F.lit(1.0), lambda r, x: F.greatest(F.lit(least), r - sum((x[i] * c for i, c in enumerate(p)), F.lit(0.0))))
     return rate, gaps
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], column: str = "lang") -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], path: str, column: str = "lang") -> DataFrame:
     """One row per document: doc_id, n_tokens, domain (of the highest posterior), rate, gap.
 
     gap is the same in all rows: the share of the tokens that these rates leave off target, NULL without any tokens.
+    path is a tokenizer file, read on the driver.
 
     docs has doc_id, text and the domain column, which is read for labelled rows only; labels has doc_id. NULL and
-    empty texts have no tokens and take the rate that their posteriors, the prior ones, get. Without labelled rows all
-    posteriors are equal. Repeated rows count each; an empty table gives an empty result; other columns are not read.
+    empty texts have no tokens and take the rate that their posteriors, the prior ones, get; texts of any length are
+    read whole. Equal posteriors get equal rates; between domains of equal posterior the last in alphabetical order is
+    named. Without labelled rows all posteriors are equal. A NULL doc_id or domain is as good as another, but isn't
+    learnt from. Repeated rows count each; an empty table gives an empty result; other columns are not read, whatever
+    their names.
     """
     domains = fit_domains(docs, labels, sorted(targets), column)
-    table = Workspace(docs.sparkSession, "mixing").keep(with_posteriors(docs.select("doc_id", "text"), domains).drop("text"))
-    rate, gaps = fit_rates(table, [targets[d] for d in domains.names])
-    best = F.greatest(*[F.struct(F.col(f"p{i}__").alias("p"), F.lit(d).alias("domain")) for i, d in enumerate(domains.names)])
-    return table.select("doc_id", F.col("n_tokens__").alias("n_tokens"), best["domain"].alias("domain"), rate.alias("rate"), F.lit(gaps[-1] if gaps else None).cast("double").alias("gap"))
+    m = with_posteriors(docs.select("doc_id", "text"), domains, path)
+    m.table = Workspace(docs.sparkSession, "mixing").keep(m.table.drop("text"))
+    rate, gaps = fit_rates(m, [targets[d] for d in domains.names])
+    best = F.greatest(*[F.struct(F.col(c).alias("p"), F.lit(d).alias("domain")) for c, d in zip(m.posteriors, domains.names, strict=True)]) if len(domains.names) > 1 else F.struct(F.lit(domains.names[0]).alias("domain"))
+    gap = F.lit(gaps[-1] if gaps else None).cast("double")
+    return m.table.select("doc_id", F.col(m.tokens).alias("n_tokens"), best["domain"].alias("domain"), rate.alias("rate"), gap.alias("gap"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], column: str = "lang") -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], path: str, column: str = "lang") -> DataFrame:
     """The rows of docs, each as often as its rate says: all columns of docs, whole texts.
 
     Rates are scaled so that the lowest is 1: the mix is reached by repeating documents of domains that have too little,
     and no document goes. A domain that had all tokens would need its share as rate, so no rate is let fall below the
-    lowest share above 0, and the result has at most one over that share times the tokens, where the targets are met.
-    A rate's fraction becomes a copy for the documents whose hash falls below it.
+    lowest share above 0, and the result has at most one over that share times the tokens, where the targets are met;
+    where they can't be, a warning in the log names the share of tokens that stays off target. A rate's fraction
+    becomes a copy for the documents whose hash falls below it.
+
+    NULL and empty texts and NULL ids stay, with the rate of their posteriors; texts of any length are read whole;
+    repeated rows are mixed one by one, all alike, as their hashes tie; an empty table gives an empty one; columns of
+    any name pass through.
     """
     domains = fit_domains(docs, labels, sorted(targets), column)
-    table = Workspace(docs.sparkSession, "mixing").keep(with_posteriors(docs, domains))
+    m = with_posteriors(docs, domains, path)
+    m.table = Workspace(docs.sparkSession, "mixing").keep(m.table)
     least = min((t for t in targets.values() if t > 0), default=0.0) / (sum(targets.values()) or 1.0)
-    rate, gaps = fit_rates(table, [targets[d] for d in domains.names], least)
+    rate, gaps = fit_rates(m, [targets[d] for d in domains.names], least)
     if gaps and gaps[-1] >= TOLERANCE:
         LOG.warning("the mix leaves %.5f of the tokens off target", gaps[-1])
-    scale = 1 / (table.agg(F.min(rate)).first()[0] or 1.0)
+    scale = 1 / (m.table.agg(F.min(rate)).first()[0] or 1.0)
     fraction = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor(rate * scale + F.lit(1e-9) + fraction).cast("int")
-    return table.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("copy__")).drop("copy__")
+    (copy,) = unused(docs.columns, "copy")
+    return m.table.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), copies)).alias(copy)).drop(copy)

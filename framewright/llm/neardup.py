@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import textkit as tk
-from framewright.llm.common import Workspace
+from framewright.llm.common import Workspace, unused
 from framewright.llm.components import connected
 
 REGISTERS, BANDS, ROWS, MANTISSA = 125, 25, 5, 10
@@ -312,7 +312,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
 
 
 def keep(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that near_duplicates() keeps; of rows that repeat doc_id and text, one stays."""
+    """The rows of docs, all columns, that near_duplicates() keeps; of rows that repeat doc_id and text, one stays.
+
+    A doc_id with several texts stays with each of them that differs, if one is kept. Rows without doc_id stay, as do
+    texts that are NULL, empty or without words, which are nothing's copies; texts of any length are compared whole; of
+    a group the least doc_id stays; an empty table gives an empty one; columns of any name pass through.
+    """
     judged = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.where("doc_id is not null").join(judged, "doc_id", "left_semi").withColumn("text__", F.xxhash64("text"))
-    return stay.dropDuplicates(["doc_id", "text__"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    (same,) = unused(docs.columns, "same_text")
+    stay = docs.where("doc_id is not null").join(judged, "doc_id", "left_semi").withColumn(same, F.xxhash64("text"))
+    return stay.dropDuplicates(["doc_id", same]).drop(same).unionByName(docs.where("doc_id is null"))

@@ -83,7 +83,7 @@ MIX_TARGETS = {"de": 0.2, "en": 0.5, "es": 0.12, "fr": 0.18}
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate of every document at which the domains, as predicted from its text, have their target shares."""
-    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_TARGETS)
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX_TARGETS, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

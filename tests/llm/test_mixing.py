@@ -1,9 +1,14 @@
+import logging
+
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from framewright.llm import mixing
+from framewright.llm import mixing, wordpiece
 from framewright.llm.queries import MIX_TARGETS
 
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def tables(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -12,12 +17,15 @@ def tables(spark, sf):
 def test_rates_meet_targets_and_equal_brute_force(spark):
     docs, labels = tables(spark, "/root/testdata/sf0.01")
     domains = mixing.fit_domains(docs, labels, sorted(MIX_TARGETS))
-    table = mixing.with_posteriors(docs.select("doc_id", "text"), domains).drop("text").cache()
+    m = mixing.with_posteriors(docs.select("doc_id", "text"), domains, PATH)
+    m.table = m.table.drop("text").cache()
     targets = [MIX_TARGETS[d] for d in domains.names]
-    rate, gaps = mixing.fit_rates(table, targets)
-    rows = table.withColumn("rate", rate).collect()
-    tokens = np.array([r.n_tokens__ for r in rows], float)
-    p = np.array([[r[f"p{i}__"] for i in range(len(targets))] for r in rows])
+    rate, gaps = mixing.fit_rates(m, targets)
+    rows = m.table.withColumn("rate", rate).collect()
+    tokens = np.array([r[m.tokens] for r in rows], float)
+    counted = {r.doc_id: r.n_tokens for r in wordpiece.count(docs, PATH).collect()}
+    assert all(r[m.tokens] == counted[r.doc_id] for r in rows)
+    p = np.array([[r[c] for c in m.posteriors] for r in rows])
     gram = (p * tokens[:, None]).T @ p
     weight = 1 / np.diag(gram)
     step = 1 / np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight))[-1]
@@ -32,14 +40,14 @@ def test_rates_meet_targets_and_equal_brute_force(spark):
 
 def test_classifier_is_right_on_rows_it_has_not_seen(spark):
     docs, labels = tables(spark, "/root/testdata/sf0.01")
-    got = mixing.rates(docs, labels, MIX_TARGETS).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").join(labels, "doc_id", "left_anti")
+    got = mixing.rates(docs, labels, MIX_TARGETS, PATH).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").join(labels, "doc_id", "left_anti")
     rows = got.where("n_chars > 100").collect()
     assert sum(r.domain == r.lang for r in rows) >= 0.97 * len(rows)
 
 
 def test_mixed_rows_follow_rates_and_keep_every_document(spark):
     docs, labels = tables(spark, "/root/testdata/sf0.01")
-    out = mixing.mixed(docs, labels, MIX_TARGETS)
+    out = mixing.mixed(docs, labels, MIX_TARGETS, PATH)
     assert out.columns == docs.columns
     assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     tokens = {r.lang: r.n for r in out.groupBy("lang").agg(F.sum("n_chars").alias("n")).collect()}
@@ -51,11 +59,11 @@ def test_mixed_rows_follow_rates_and_keep_every_document(spark):
 def test_odd_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, None, "en", 5), (2, "", None, 6), (2, "", None, 6), (None, "the x", "en", 7)], "doc_id long, text string, lang string, rate int")
     labels = spark.createDataFrame([], "doc_id long")
-    got = mixing.rates(docs, labels, MIX_TARGETS)
+    got = mixing.rates(docs, labels, MIX_TARGETS, PATH)
     assert got.count() == 4 and got.where("rate is null or rate < 0").count() == 0
-    assert mixing.rates(docs.limit(0), labels, MIX_TARGETS).count() == 0
-    assert mixing.mixed(docs.limit(0), labels, MIX_TARGETS).count() == 0
-    assert mixing.mixed(docs, labels, MIX_TARGETS).columns == docs.columns
+    assert mixing.rates(docs.limit(0), labels, MIX_TARGETS, PATH).count() == 0
+    assert mixing.mixed(docs.limit(0), labels, MIX_TARGETS, PATH).count() == 0
+    assert mixing.mixed(docs, labels, MIX_TARGETS, PATH).columns == docs.columns
 
 
 def test_mixed_keeps_every_document_of_a_domain_at_five_times_its_target(spark):
@@ -66,7 +74,7 @@ def test_mixed_keeps_every_document_of_a_domain_at_five_times_its_target(spark):
     more = more.withColumn("doc_id", F.col("doc_id") * 1000 + F.col("k") + 10**9).select(*docs.columns)
     skewed = docs.unionByName(more)
     targets = {"de": 0.15, "en": 0.6, "es": 0.1, "fr": 0.15}
-    out = mixing.mixed(skewed, labels, targets).select("doc_id", "lang", "n_chars").cache()
+    out = mixing.mixed(skewed, labels, targets, PATH).select("doc_id", "lang", "n_chars").cache()
     assert out.select("doc_id").distinct().count() == skewed.count()
     got = {r.lang: r.n for r in out.groupBy("lang").agg(F.sum("n_chars").alias("n")).collect()}
     share = {d: got[d] / sum(got.values()) for d in targets}
@@ -76,12 +84,31 @@ def test_mixed_keeps_every_document_of_a_domain_at_five_times_its_target(spark):
 def test_rates_step_until_targets_are_met_and_report_the_gap(spark):
     # posteriors of two domains overlap, so that the steps of one direction are short
     rows = [(i, 100, 0.5 + (0.06 if i % 2 else -0.06)) for i in range(40)]
-    table = spark.createDataFrame(rows, "doc_id long, n_tokens__ long, p0__ double").withColumn("p1__", 1 - F.col("p0__"))
+    table = spark.createDataFrame(rows, "doc_id long, n long, p double").withColumn("q", 1 - F.col("p"))
+    table = mixing.Membership(table, "n", ["p", "q"])
     rate, gaps = mixing.fit_rates(table, [0.54, 0.46])
-    got = table.select((F.col("n_tokens__") * rate * F.col("p0__")).alias("a"), (F.col("n_tokens__") * rate).alias("b")).agg(F.sum("a"), F.sum("b")).first()
+    table = table.table
+    got = table.select((F.col("n") * rate * F.col("p")).alias("a"), (F.col("n") * rate).alias("b")).agg(F.sum("a"), F.sum("b")).first()
     assert abs(got[0] / 4000 - 0.54) + abs((got[1] - got[0]) / 4000 - 0.46) < 2 * mixing.TOLERANCE and gaps[-1] < mixing.TOLERANCE
-    out, unmet = mixing.fit_rates(table, [0.99, 0.01])  # can't be met: the nearest is reached
+    out, unmet = mixing.fit_rates(mixing.Membership(table, "n", ["p", "q"]), [0.99, 0.01])  # can't be met: the nearest is reached
     assert unmet[-1] > mixing.TOLERANCE and table.select(out.alias("r")).where("r is null or r < 0").count() == 0
     docs, labels = tables(spark, "/root/testdata/sf0.001")
-    found = mixing.rates(docs, labels, MIX_TARGETS).select("gap").distinct().collect()
+    found = mixing.rates(docs, labels, MIX_TARGETS, PATH).select("gap").distinct().collect()
     assert len(found) == 1 and 0 <= found[0].gap < 0.01
+
+
+def test_columns_of_any_name_pass_through(spark):
+    names = ["n_tokens", "n_tokens__", "p0__", "posterior_0", "Posterior_1", "copy", "copy__", "rate", "t", "col"]
+    docs = spark.createDataFrame([(i, f"the words of {i}", "en", *range(len(names))) for i in range(5)], "doc_id long, text string, lang string, " + ", ".join(f"{n} int" for n in names))
+    labels = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    out = mixing.mixed(docs, labels, MIX_TARGETS, PATH)
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in docs.collect()}
+    assert {r.n_tokens for r in mixing.rates(docs, labels, MIX_TARGETS, PATH).collect()} == {4}
+
+
+def test_targets_out_of_reach_are_reported(spark, caplog):
+    docs, labels = tables(spark, "/root/testdata/sf0.001")
+    german = docs.where("lang = 'de'")
+    with caplog.at_level(logging.WARNING):
+        out = mixing.mixed(german, labels, {"de": 0.01, "en": 0.99}, PATH)
+    assert "off target" in caplog.text and out.select("doc_id").distinct().count() == german.select("doc_id").distinct().count()

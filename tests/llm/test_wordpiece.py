@@ -60,3 +60,17 @@ def test_unknown_words():
     assert machine.word(b"abc") == 2 and machine.word(b"a") == -1 and machine.word(b"") == 0
     with pytest.raises(FileNotFoundError):
         wordpiece.byte_vocabulary("/nowhere")
+
+
+def test_long_words_are_linear():
+    import time
+
+    machine = wordpiece.automaton(public_tokenizers.path("byte_bpe_50k.json"))
+    random.seed(4)
+    text = "".join(random.choice("abcdeé") for _ in range(400_000)).encode()
+    data, ends = np.frombuffer(text * 2, np.uint8), np.array([len(text), 2 * len(text)])
+    began = time.monotonic()
+    got = machine.counts(data, ends - len(text), ends)
+    assert time.monotonic() - began < 5 and got[0] == got[1]
+    pieces = set(wordpiece.byte_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    assert machine.counts(data, np.array([0]), np.array([5000])).tolist() == [greedy(text[:5000], pieces)]
