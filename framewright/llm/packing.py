@@ -14,6 +14,7 @@ place without another shuffle.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,6 +32,8 @@ from framewright.llm.common import Workspace
 SEQUENCE = 1024
 END_ID = 2
 SPECIAL = "<|endoftext|>"
+LONGEST_BLANK = 10_000
+BLANK = re.compile(rf"\s{{{LONGEST_BLANK}}}")
 KEPT = ["doc_id", "piece", "start", "length", "ids_crc32"]
 KIND = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,7 +41,8 @@ KIND = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class Encoder:
     """Ids of a byte-level tokenizer file, by the faster of two libraries that share its vocabulary.
 
-    Texts with the file's special token, or with characters for which the libraries' letter classes may differ, are
+    Texts with the file's special token, with characters for which the libraries' letter classes may differ, or with
+    more than LONGEST_BLANK characters of white space on end, over which the faster one's pattern would recurse, are
     encoded by the file's own library.
     """
 
@@ -60,7 +64,7 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         if text.isascii() or max(text) < "ɐ":  # Latin letters, the same in every Unicode version
-            if SPECIAL not in text:
+            if SPECIAL not in text and not (len(text) > LONGEST_BLANK and BLANK.search(text)):
                 return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -165,9 +169,11 @@ def ranked(cut: DataFrame, partitions: int) -> DataFrame:
 def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    docs has doc_id and text. A NULL text is an empty one, whose only id is the closing one; repeated rows are packed
-    each for itself; an empty table gives an empty result; other columns are not read. Pieces of the sequence's length
-    fill one each. path is a tokenizer file on every worker.
+    docs has doc_id and text. A NULL text is an empty one, whose only id is the closing one; texts of any length, and
+    of any characters, are cut whole, a worker holding one text's ids at a time; pieces of equal length are placed in
+    the order of doc_id and piece; a NULL doc_id is as good as another; repeated rows are packed each for itself; an
+    empty table gives an empty result; other columns are not read, whatever their names. Pieces of the sequence's
+    length fill one each. path is a tokenizer file on every worker.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")

@@ -73,3 +73,14 @@ def test_pack_round_trip(spark, sf):
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False)) and own[-1][0] + own[-1][1] <= 1024
     assert len(sequences) <= 1.02 * -(-total // 1024) + 1
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_very_long_runs_through_spark(spark):
+    texts = [" " * 2_000_000 + "x", "\n" * 2_000_000, "x" * 2_000_000, "a" + "\t " * 600_000 + "b", "short", None, " " * 9_999 + "x", "x" + " " * 10_001]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    exact = Tokenizer.from_file(PATH)
+    n = [len(exact.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]
+    got = defaultdict(int)
+    for r in packing.pack(docs, PATH).collect():
+        got[r.doc_id] += r.length
+    assert [got[i] for i in range(len(texts))] == n
