@@ -99,8 +99,10 @@ def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
 def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, the five base counts, base_failed, quality (the probability), kept.
 
-    docs has doc_id and text. A NULL text is an empty one: no words, base_failed, not kept. Repeated rows are judged
-    one by one, an empty table gives an empty result, other columns are not read.
+    docs has doc_id and text. A NULL text is an empty one: no words, base_failed, not kept. Texts of any length are
+    judged whole, a long one alone, in some 150 bytes of memory a byte; a probability at the threshold is kept; a NULL
+    doc_id is as good as another. Repeated rows are judged one by one, an empty table gives an empty result, other
+    columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets * sizes floats, whatever the corpus
 
@@ -126,7 +128,11 @@ def model_for(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
+    """The rows of docs that judge() keeps, with all their columns, whatever their names.
+
+    NULL, empty and wordless texts go, as they fail the base rules; texts of any length are judged whole; repeated rows
+    go or stay together; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def good(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

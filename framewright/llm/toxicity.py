@@ -1,13 +1,16 @@
 """Toxicity: a subsequence string kernel, a support vector machine on Nystroem landmarks, and whole-text scoring.
 
 The kernel compares words by their subsequences of three characters within a span of five, a gap costing a factor
-DECAY a character; gapped or padded insults keep most of their subsequences. Each word is divided by the root of its
-number of weighted subsequences. Landmarks are words of the labelled sample; the machine is linear in the Nystroem
+DECAY a character; gapped or padded insults keep most of their subsequences. Values are normalised: each word is divided
+by the root of its kernel value with itself, in which a subsequence that occurs several times counts by the square of
+its summed weights. Landmarks are words of the labelled sample; the machine is linear in the Nystroem
 features K(x, landmarks) K(landmarks, landmarks)^-1/2. As the kernel is an explicit sum over subsequences, the fitted
 machine is one weight for each of the 64^3 possible ones, and a word costs six lookups a character, whatever the
 number of landmarks. A document's labels stand for some word in it: the fit alternates between choosing the highest
 word of each toxic document and separating these words from the words of clean documents. A document scores as
-its two highest words, calibrated: toxic texts rarely hold one insult alone, and a clean one may resemble one by chance. Runs of single-character words count as one word, so that spaced-out words are compared too.
+its two highest words, calibrated: toxic texts rarely hold one insult alone, and a clean one may resemble one by
+chance. Runs of single-character words count as one word, so that spaced-out words are compared too. Each distinct word
+of a batch is compared once.
 """
 
 from __future__ import annotations
@@ -71,36 +74,47 @@ def occurrences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Itera
         yield DECAY ** (b - 2), (code[at] << 12) | (code[at + a] << 6) | code[at + b], word[at]
 
 
-def norms(lengths: np.ndarray) -> np.ndarray:
-    """Root of the summed squared weights of a word's subsequences, by its length."""
-    total = sum(DECAY ** (2 * (b - 2)) * np.maximum(lengths - b, 0) for _, b in SPAN)
-    return np.sqrt(np.maximum(total, 1.0))
+def subsequences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence, summed weight) of the distinct subsequences of each word, by word and subsequence."""
+    found = list(occurrences(data, starts, ends))
+    key = np.concatenate([word * FEATURES + sub for _, sub, word in found])
+    weight = np.concatenate([np.full(len(sub), w) for w, sub, _ in found])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(weight[order], begin) if len(begin) else np.zeros(0)
+    return key[begin] // FEATURES, key[begin] % FEATURES, total
+
+
+def norms(word: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Root of each word's kernel value with itself, 1 at least."""
+    return np.sqrt(np.maximum(np.bincount(word, weights=weight * weight, minlength=n), 1.0))
 
 
 def raw_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The machine's value for each word, without bias."""
-    total = np.zeros(len(starts))
-    for weight, sub, word in occurrences(data, starts, ends):
-        total += weight * np.bincount(word, weights=table[sub], minlength=len(starts))
-    return total / norms(ends - starts)
+    """The machine's value for each word, without bias; start to end are all of data, one after the other."""
+    word, sub, weight = subsequences(data, starts, ends)
+    return np.bincount(word, weights=weight * table[sub], minlength=len(starts)) / norms(word, weight, len(starts))
 
 
-def kernel(words: tuple, used: np.ndarray, landmarks: np.ndarray, step: int = 1000) -> np.ndarray:
+def kernel(words: tuple, used: np.ndarray, landmarks: np.ndarray, step: int = 500) -> np.ndarray:
     """Kernel values of words against landmarks, whose rows are dense over the subsequences in used."""
     place = np.full(FEATURES, -1, np.int32)
     place[used] = np.arange(len(used))
-    dense = np.ascontiguousarray(landmarks.T)
+    dense = np.ascontiguousarray(landmarks.T, dtype=np.float32)
     data, starts, ends = words
     out = np.zeros((len(starts), len(landmarks)))
     for lo in range(0, len(starts), step):
         s, e = starts[lo : lo + step], ends[lo : lo + step]
-        part = data[s[0] : e[-1]]
-        mat = np.zeros(len(s) * len(used), np.float32)
-        for weight, sub, word in occurrences(part, s - s[0], e - s[0]):
-            at = place[sub]
-            ok = at >= 0
-            np.add.at(mat, word[ok] * len(used) + at[ok], np.float32(weight))
-        out[lo : lo + step] = (mat.reshape(len(s), len(used)) @ dense) / norms(e - s)[:, None]
+        word, sub, weight = subsequences(data[s[0] : e[-1]], s - s[0], e - s[0])
+        norm = norms(word, weight, len(s))
+        at = place[sub]
+        ok = at >= 0
+        word, at, weight = word[ok], at[ok], weight[ok]
+        if len(word):
+            begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            out[lo + word[begin]] = np.add.reduceat(dense[at] * weight[:, None].astype(np.float32), begin)
+        out[lo : lo + step] /= norm[:, None]
     return out
 
 
@@ -112,13 +126,11 @@ def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def explicit(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The subsequences that the words have, and their normalised weights: one dense row a word."""
-    data, starts, ends = spell(words)
-    found = list(occurrences(data, starts, ends))
-    used = np.unique(np.concatenate([sub for _, sub, _ in found]))
+    word, sub, weight = subsequences(*spell(words))
+    used, at = np.unique(sub, return_inverse=True)
     out = np.zeros((len(words), len(used)), np.float32)
-    for weight, sub, word in found:
-        np.add.at(out, (word, np.searchsorted(used, sub)), np.float32(weight))
-    return used, out / norms(ends - starts)[:, None].astype(np.float32)
+    out[word, at] = weight / norms(word, weight, len(words))[word]
+    return used, out
 
 
 def padded(words: list[bytes], rng: np.random.Generator) -> list[bytes]:
@@ -130,16 +142,35 @@ def padded(words: list[bytes], rng: np.random.Generator) -> list[bytes]:
     return out
 
 
-def machine(z: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, classes balanced, by accelerated gradient steps."""
+def machine(z: np.ndarray, y: np.ndarray, steps: int = 50, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, classes balanced, by Newton steps.
+
+    Within a set of rows that miss the margin the loss is quadratic; a step solves for its least, halved until the loss
+    falls, and steps end once that set stays the same.
+    """
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     x = np.hstack((z, np.ones((len(z), 1))))
-    limit = 2 * np.linalg.eigvalsh((x * weight[:, None]).T @ x)[-1] + decay
-    w = old = np.zeros(x.shape[1])
-    for k in range(steps):
-        v = w + (k / (k + 3)) * (w - old)
-        slack = np.maximum(0, 1 - y * (x @ v))
-        old, w = w, v - (decay * v - 2 * x.T @ (weight * y * slack)) / limit
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        slack = np.maximum(0, 1 - y * (x @ w))
+        return 0.5 * decay * w @ w + (weight * slack * slack).sum(), slack > 0
+
+    w = np.zeros(x.shape[1])
+    now, missed = loss(w)
+    for _ in range(steps):
+        own, scaled = x[missed], x[missed] * (2 * weight[missed])[:, None]
+        move = np.linalg.solve(scaled.T @ own + decay * np.eye(len(w)), scaled.T @ y[missed]) - w
+        size = 1.0
+        after, still = loss(w + move)
+        while after > now and size > 1e-6:
+            size /= 2
+            after, still = loss(w + size * move)
+        if after > now:
+            break
+        w, same = w + size * move, size == 1.0 and np.array_equal(still, missed)
+        now, missed = after, still
+        if same:
+            break
     return w[:-1], w[-1]
 
 
@@ -150,12 +181,20 @@ class Model:
     b: float
     floor: float  # the value of a text without words
 
+    def word_scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """raw_scores(), each distinct word compared once."""
+        _, first, which = np.unique(tk.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        lengths = (ends - starts)[first]
+        close = np.cumsum(lengths)
+        take = np.repeat(starts[first] - (close - lengths), lengths) + np.arange(close[-1] if len(close) else 0)
+        return raw_scores(data[take], close - lengths, close, self.table)[which]
+
     def document_scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The mean of a text's two highest words, or its only word's value."""
         text, starts, ends, rows = words_of(data, offsets)
         out = np.full(len(offsets) - 1, self.floor)
         if len(starts):
-            value = raw_scores(text, starts, ends, self.table)
+            value = self.word_scores(text, starts, ends)
             begin = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
             first = np.maximum.reduceat(value, begin)
             top = np.flatnonzero(value == np.repeat(first, np.diff(np.append(begin, len(rows)))))
@@ -259,7 +298,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     docs has doc_id and text; NULL and empty texts and texts without words get the score of the least toxic word.
-    Repeated rows are scored one by one; an empty table gives an empty result; other columns are not read.
+    Texts of any length are scored whole, a long one alone, in some 200 bytes of memory a byte of its distinct words;
+    of words that tie for a text's highest one is its second. A NULL doc_id is scored and isn't held out. Repeated
+    rows are scored one by one; an empty table gives an empty result; other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 64^3 weights, whatever the corpus
 
@@ -275,6 +316,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that score() doesn't predict as toxic, with all their columns."""
+    """The rows of docs that score() doesn't predict as toxic, with all their columns, whatever their names.
+
+    NULL, empty and wordless texts stay; texts of any length are scored whole; a score of 0.5 goes; repeated rows go or
+    stay together; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return tk.passing(docs, lambda data, offsets: shared.value.probability(data, offsets) < 0.5)
