@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from framewright.llm.common import Workspace
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with the least of a's neighbours and a itself: (a, b, least)."""
-    low = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-    return edges.join(low, "a")
+HUBS = 1000  # nodes that are too crowded to be dealt by hash: at most as many as this, whatever the number of edges
 
 
-def _finished(edges: DataFrame) -> bool:
-    """Whether every node that hangs to another hangs to one only, to which nothing but such nodes hang."""
+def _least(edges: DataFrame, number: int) -> DataFrame:
+    """Edges (a, b) with the least of a's neighbours and a itself: (a, b, least); number is how many edges there are.
+
+    Nodes with more than one in HUBS of the edges, HUBS - 1 at most, are broadcast, so that their edges stay where they
+    are; all others' edges meet their least in a shuffled join, in which no node has more than that share.
+    """
+    low = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("n"))
+    crowded = F.col("n") > number / HUBS
+    marked = edges.join(F.broadcast(low.where(crowded).select("a", "least")), "a", "left")
+    rest = marked.where("least is null").select("a", "b").join(low.where(~crowded).select("a", "least"), "a")
+    return marked.where("least is not null").select("a", "b", "least").unionByName(rest.select("a", "b", "least"))
+
+
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges, and whether every node that hangs to another hangs to one only, to which only such nodes hang."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
-    mixed = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)")
-    return not mixed.limit(1).count()
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    found = nodes.agg(F.sum("up").alias("n"), F.count_if(F.expr("up > 1 or (up = 1 and root = 1)")).alias("mixed")).first()
+    return found.n or 0, not found.mixed
 
 
 def connected(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -26,13 +37,16 @@ def connected(edges: DataFrame, work: Workspace) -> DataFrame:
 
     Each round is a large star (neighbours above a node are hung to its least neighbour) and a small star (those below
     are); rounds end once all edges form stars, after about the logarithm of the longest path. A node with very many
-    edges only has its least neighbour joined to them, a join that is split where it is skewed.
+    edges only has its least neighbour joined to them, without a shuffle of its edges.
     """
     now = work.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while not _finished(now):
+    while True:
+        number, finished = _state(now)
+        if finished:
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = work.keep(_least(both).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b"))
-        hung = _least(large)  # a > b on every edge, so least is below both
+        large = work.keep(_least(both, 2 * number).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b"))
+        hung = _least(large, number)  # a > b on every edge, so least is below both
         small = hung.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(hung.select("a", F.col("least").alias("b")))
         new = work.keep(small.where("a <> b").distinct())
         work.drop(now, large)

@@ -2,12 +2,18 @@
 
 A document's set holds its distinct word shingles, as 64-bit hashes. A signature has REGISTERS registers: the set is
 dealt to them by hash and each keeps the leading zeros of its least value and the MANTISSA bits that follow (an empty
-register borrows another one's, chosen by hash; small sets hash once for each register instead). BANDS bands of ROWS registers
-are hashed to keys; documents that share a key become candidates.
+register borrows another one's, chosen by hash, so that sets of every size have the same kind of registers). BANDS
+bands of ROWS registers are hashed to keys; documents that share a key are candidates.
 
-Exact copies are one class from the start. Candidates that hang together form a cluster. Links inside a cluster are
-found whole, yet without listing pairs: with a common set P of the cluster (a central member, moved to what most members hold)
-and the difference E of each member to P, two members x and y link if and only if
+Exact copies are one class from the start. Each candidate is first compared with its bucket's leader, the least one, by
+the corrected estimate from their registers: what the leader resembles at all (loose) hangs to it. What it doesn't
+resemble closely (tight) may still link with another such member of the bucket, so these hang together by the least of
+them. Two members that link are at most 1 - percent apart; if one is close to the leader, the other can't be unlike it,
+as distances of sets add up, so every linked pair of a bucket hangs together.
+
+Candidates that hang together form a cluster. Links inside a cluster are found whole, yet without listing pairs: with a
+common set P of the cluster (a central member, moved to what most members hold) and the difference E of each member to
+P, two members x and y link if and only if
 
     37 * |E_x| - 3 * n_x + 37 * |E_y| - 3 * n_y  <=  74 * |E_x and E_y in common|         (for 85 percent)
 
@@ -31,9 +37,9 @@ from framewright.llm.common import Workspace, unused
 from framewright.llm.components import connected
 
 REGISTERS, BANDS, ROWS, MANTISSA = 125, 25, 5, 10
-SMALL = 96  # sets up to this size hash once for each register
+TIGHT, MARGIN = 0.7, 0.25  # a close resemblance; what estimates may err by, six to eight of their standard deviations
 _rng = np.random.default_rng(20)
-_SEEDS = _rng.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) | tk.U64(1)
+_SEEDS = _rng.integers(1, 1 << 63, 2, dtype=np.uint64) | tk.U64(1)
 _PROBES = _rng.integers(0, REGISTERS, (256, REGISTERS))
 
 
@@ -69,19 +75,8 @@ def _register(value: np.ndarray) -> np.ndarray:
     return (((64 - exponent).astype(np.uint64) << tk.U64(MANTISSA)) | ((value >> shift) & tk.U64((1 << MANTISSA) - 1))).astype(np.uint16)
 
 
-def _small_signatures(own: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Registers of sets, one hash of all their shingles for each register; own has the shingles set by set."""
-    out = np.zeros((len(size), REGISTERS), np.uint16)
-    if len(size):
-        begin = np.cumsum(size) - size
-        with np.errstate(over="ignore"):
-            for k in range(REGISTERS):
-                out[:, k] = _register(np.minimum.reduceat(tk.mix((own ^ _SEEDS[k]) * tk.ODD), begin))
-    return out
-
-
-def _large_signatures(own: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Registers of sets whose shingles are dealt to them; empty ones borrow."""
+def signatures(own: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The registers of sets, whose shingles are dealt to them; empty ones borrow. own has the shingles set by set."""
     n, none = len(size), np.iinfo(np.uint64).max
     with np.errstate(over="ignore"):
         h = tk.mix(own * _SEEDS[0])
@@ -95,34 +90,16 @@ def _large_signatures(own: np.ndarray, size: np.ndarray) -> np.ndarray:
     new[1:] = key[1:] != key[:-1]
     least[key[new]] = value[new]
     least = least.reshape(n, REGISTERS)
-    empty, filled = least == none, least.copy()
+    filled = least.copy()
+    row, register = np.nonzero((least == none) & (size > 0)[:, None])
     for probe in _PROBES:
-        if not empty.any():
-            break
-        source = least[:, probe]
-        take = empty & (source != none)
-        filled[take] = source[take]
-        empty &= ~take
+        source = least[row, probe[register]]
+        found = source != none
+        filled[row[found], register[found]] = source[found]
+        row, register = row[~found], register[~found]
     return _register(filled)
 
 
-def signatures(own: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(registers, whose, all registers): each set's registers, and those that are banded with the set they belong to.
-
-    Small and large sets have registers of different kinds; sets that may link across the border have both.
-    """
-    small = (size > 0) & (size <= SMALL)
-    large = 100 * size >= percent * SMALL
-    per = np.repeat(np.arange(len(size)), size)
-    first = _small_signatures(own[small[per]], size[small])
-    second = _large_signatures(own[large[per]], size[large])
-    registers = np.zeros((len(size), REGISTERS), np.uint16)
-    registers[large] = second
-    registers[small] = first
-    whose = np.concatenate((np.flatnonzero(small), np.flatnonzero(large)))
-    return registers, whose, np.concatenate((first, second))
-
-
 def band_keys(registers: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band."""
     own = registers[:, : BANDS * ROWS].reshape(len(registers), BANDS, ROWS).astype(np.uint64)
@@ -144,7 +121,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def sign(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def sign(docs: DataFrame, size: int) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, h1 and h2 (hashes of the set), bands, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +130,7 @@ def sign(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n = part.num_rows
                 row, own = shingles(*tk.raw(part.column("text")), size)
                 sizes = np.bincount(row, minlength=n)
-                registers, whose, banded = signatures(own, sizes, percent)
-                order = np.argsort(whose, kind="stable")
-                keys = band_keys(banded)[order]
+                registers = signatures(own, sizes)
                 h1, h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 some = np.flatnonzero(sizes)
                 if len(some):
@@ -170,7 +145,7 @@ def sign(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         "n_shingles": pa.array(sizes, pa.int64()),
                         "h1": pa.array(h1.view(np.int64)),
                         "h2": pa.array(h2.view(np.int64)),
-                        "bands": _lists(keys.ravel(), BANDS * np.bincount(whose, minlength=n), pa.int64()),
+                        "bands": _lists(band_keys(registers[some]).ravel(), BANDS * (sizes > 0), pa.int64()),
                         "registers": pa.array([raw[i * width : (i + 1) * width] for i in range(n)], pa.binary()),
                     }
                 )
@@ -208,6 +183,18 @@ def _differences(sets: DataFrame, common: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "rep long, cluster long, n long, registers binary, e array<long>")
 
 
+def _estimated(pairs: DataFrame) -> DataFrame:
+    """rep, leader, central and the estimate of their resemblance, from both registers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("xr", "yr"))
+            found = estimate(x, y, batch.column("xn").to_numpy(), batch.column("yn").to_numpy())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("rep", "leader", "central")} | {"estimate": pa.array(found, pa.float64())})
+
+    return pairs.select("rep", "leader", "central", "xn", "yn", "xr", "yr").mapInArrow(run, "rep long, leader long, central long, estimate double")
+
+
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: estimated from their registers, then counted on their full differences."""
     low, high = 100 - percent, 100 + percent  # 100 (s - d) >= percent (s + d), d the symmetric difference, s both sizes
@@ -218,8 +205,7 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
                 part = batch.slice(lo, 512)
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("xr", "yr"))
                 nx, ny = part.column("xn").to_numpy(), part.column("yn").to_numpy()
-                likely = estimate(x, y, nx, ny) >= percent / 100 - 0.25  # over six standard deviations below
-                likely |= (nx <= SMALL) != (ny <= SMALL)  # registers of different kinds tell nothing
+                likely = estimate(x, y, nx, ny) >= percent / 100 - MARGIN
                 keep = np.zeros(part.num_rows, bool)
                 ex, ey = part.column("xe"), part.column("ye")
                 for i in np.flatnonzero(likely).tolist():
@@ -237,10 +223,18 @@ def links(docs: DataFrame, reps: DataFrame, work: Workspace, size: int, percent:
     """
     exploded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    met = exploded.join(buckets, "key").groupBy("rep").agg(F.collect_set("leader").alias("leaders"), F.sum("n").alias("central"))
-    met = work.keep(met)  # leaders: one for each band at most
-    clusters = connected(met.select(F.col("rep").alias("a"), F.explode("leaders").alias("b")), work)
-    members = met.select("rep", "central").join(clusters, F.col("rep") == F.col("node")).select("rep", F.col("component").alias("cluster"), "central")
+    met = exploded.join(buckets, "key").groupBy("rep", "leader").agg(F.sum("n").alias("central"))
+    side = reps.select("rep", "n", "registers")
+    pairs = met.join(side.toDF("rep", "xn", "xr"), "rep").join(side.toDF("leader", "yn", "yr"), "leader")
+    met = work.keep(_estimated(pairs))  # a leader for each band of a candidate at most
+    hung = met.where(F.col("estimate") >= TIGHT - (1 - percent / 100) - MARGIN).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    unlike = met.where(F.col("estimate") < TIGHT).select("rep", "leader")
+    again = exploded.join(unlike.select("rep").distinct(), "rep", "left_semi").join(buckets, "key").join(unlike, ["rep", "leader"], "left_semi")
+    second = again.groupBy("key").agg(F.min("rep").alias("second"), F.count("*").alias("n")).where("n > 1")
+    others = again.join(second.select("key", "second"), "key").select(F.col("rep").alias("a"), F.col("second").alias("b"))
+    clusters = connected(hung.unionByName(others).distinct(), work)
+    centrals = met.groupBy("rep").agg(F.sum("central").alias("central"))
+    members = centrals.join(clusters, F.col("rep") == F.col("node")).select("rep", F.col("component").alias("cluster"), "central")
     members = work.keep(members)
     texts = docs.select("doc_id", "text").join(members.join(reps.select("rep", "n", "registers"), "rep"), F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
     sets = work.keep(_sets(texts, size))
@@ -291,11 +285,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
 
     docs has doc_id and text; A-Z are lower-cased and words are what white space separates; size words make a shingle,
     and documents link if percent of the union of their sets is in common. NULL and empty texts and texts without
-    words have an empty set and link with nothing; a row whose doc_id is NULL links with nothing and is kept. Repeated
-    rows are classes of their own text; an empty table gives an empty result; other columns are not read.
+    words have an empty set and link with nothing; a row whose doc_id is NULL links with nothing and is kept. Texts of
+    any length are read whole, a long one alone, in some 100 bytes of memory a byte. Of documents that link the least
+    doc_id names the component; a doc_id with several texts links by each of them. Repeated rows are one class; an
+    empty table gives an empty result; other columns are not read, whatever their names.
     """
     work = Workspace(docs.sparkSession, "neardup")
-    signed = work.keep(sign(docs, size, percent))
+    signed = work.keep(sign(docs, size))
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     classes = work.keep(classes)

@@ -53,7 +53,7 @@ def test_families_of_copies_and_odd_texts(spark, seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(3000)]
     rows = []
-    for size in (12, 60, 96, 100, 300):  # around the border of small sets, too
+    for size in (8, 12, 30, 60, 100, 300, 1500):
         base = [rng.choice(words) for _ in range(size)]
         for _ in range(40):
             copy = list(base)
@@ -91,11 +91,35 @@ def test_connected_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_keep_passes_columns_of_any_name(spark):
+    names = ["text__", "same_text", "Rep", "key", "leader", "component_id", "h1"]
+    docs = spark.createDataFrame([(i, t, *["x"] * len(names)) for i, t in [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, "other words than these are")]], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = neardup.keep(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+
+
+def test_families_that_share_a_long_passage_stay_apart(spark):
+    # unlike texts meet in many buckets by what they share; those that link must be found all the same
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    common = [rng.choice(words) for _ in range(60)]
+    rows = []
+    for _ in range(30):
+        base = common + [rng.choice(words) for _ in range(70)]
+        for _ in range(5):
+            copy = list(base)
+            copy[rng.randrange(60, len(copy))] = rng.choice(words)
+            rows.append(" ".join(copy))
+    table = list(enumerate(rows))
+    got = result(neardup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")))
+    assert got == brute(table) and sum(k for *_, k in got) == 30
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(3)
-    for n in (60, 2000):
+    for n in (16, 60, 2000):
         both, x, y = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, n // 8, n // 8))
         own = np.concatenate((np.sort(np.concatenate((both, x))), np.sort(np.concatenate((both, y)))))
         size = np.full(2, n + n // 8)
-        r, _, _ = neardup.signatures(own, size, 85)
+        r = neardup.signatures(own, size)
         assert abs(neardup.estimate(r[:1], r[1:], size[:1], size[1:])[0] - 0.8) < 0.2
