@@ -34,6 +34,7 @@ ROUNDS = 5
 PRIOR = 0.4  # share of toxic documents for which the probability is calibrated
 LEAST_ODDS = np.log(7.0)  # of a word among the first guesses
 FEATURES = 1 << 18
+CHUNK = 1 << 16  # bytes of words that are compared at once
 
 
 def _codes() -> np.ndarray:
@@ -64,13 +65,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return data[inside], kept[starts[first]], kept[ends[last]], rows[first]
 
 
-def occurrences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """(weight, subsequence, word) of all three-character subsequences, for each pattern of gaps."""
+def occurrences(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: int | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+    """(weight, subsequence, word) of all three-character subsequences (that start before a place), for each pattern of gaps."""
     code = CODES[data]
     word = np.repeat(np.arange(len(starts)), ends - starts)
     room = np.repeat(ends, ends - starts) - np.arange(len(data))
     for a, b in SPAN:
-        at = np.flatnonzero(room > b)
+        at = np.flatnonzero(room[:before] > b)
         yield DECAY ** (b - 2), (code[at] << 12) | (code[at + a] << 6) | code[at + b], word[at]
 
 
@@ -92,9 +93,28 @@ def norms(word: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
 
 
 def raw_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The machine's value for each word, without bias; start to end are all of data, one after the other."""
-    word, sub, weight = subsequences(data, starts, ends)
-    return np.bincount(word, weights=weight * table[sub], minlength=len(starts)) / norms(word, weight, len(starts))
+    """The machine's value for each word, without bias; start to end are all of data, one after the other.
+
+    Words go in runs of at most CHUNK bytes, so that memory is bounded; a longer word's subsequences are summed by
+    slices into one dense row.
+    """
+    out = np.zeros(len(starts))
+    lo = 0
+    while lo < len(starts):
+        hi = max(int(np.searchsorted(ends, starts[lo] + CHUNK, side="right")), lo + 1)
+        own = data[starts[lo] : ends[hi - 1]]
+        if len(own) > CHUNK:
+            row = np.zeros(FEATURES)
+            for at in range(0, len(own), CHUNK):
+                part = own[at : at + CHUNK + SPAN[-1][1]]  # patterns that start in the slice may end behind it
+                for weight, sub, _ in occurrences(part, np.zeros(1, np.int64), np.array([len(part)]), CHUNK):
+                    row += weight * np.bincount(sub, minlength=FEATURES)
+            out[lo] = row @ table / np.sqrt(max(row @ row, 1.0))
+        else:
+            word, sub, weight = subsequences(own, starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo])
+            out[lo:hi] = np.bincount(word, weights=weight * table[sub], minlength=hi - lo) / norms(word, weight, hi - lo)
+        lo = hi
+    return out
 
 
 def kernel(words: tuple, used: np.ndarray, landmarks: np.ndarray, step: int = 500) -> np.ndarray:
@@ -298,8 +318,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     docs has doc_id and text; NULL and empty texts and texts without words get the score of the least toxic word.
-    Texts of any length are scored whole, a long one alone, in some 200 bytes of memory a byte of its distinct words;
-    of words that tie for a text's highest one is its second. A NULL doc_id is scored and isn't held out. Repeated
+    Texts of any length are scored whole, a long one alone, in some 100 bytes of memory a byte; of words that tie for a text's highest one is its second. A NULL doc_id is scored and isn't held out. Repeated
     rows are scored one by one; an empty table gives an empty result; other columns are not read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 64^3 weights, whatever the corpus

@@ -92,6 +92,12 @@ def test_kernel_table_equals_direct_sum():
     table = np.zeros(toxicity.FEATURES, np.float32)
     table[used] = phi[0]
     assert np.allclose(toxicity.raw_scores(*toxicity.spell(words), table), got[:, 0], atol=1e-5) and abs(got[0, 0] - 1) < 1e-5
+    rng = np.random.default_rng(2)
+    table[:] = rng.normal(size=len(table))
+    long = [b"short", bytes(rng.integers(97, 123, 3 * toxicity.CHUNK + 11, dtype=np.uint8)), b"end", bytes(rng.integers(97, 100, toxicity.CHUNK + 1, dtype=np.uint8))]
+    word, sub, weight = toxicity.subsequences(*toxicity.spell(long))
+    whole = np.bincount(word, weights=weight * table[sub]) / toxicity.norms(word, weight, 4)
+    assert np.allclose(toxicity.raw_scores(*toxicity.spell(long), table), whole)
     text = np.frombuffer(b"x".join([b"ab", *words]), np.uint8)  # word_scores() takes ranges anywhere, some of them equal
     starts, ends = np.array([2, 3, 2, 5]), np.array([9, 6, 9, 8])
     spelled = [text.tobytes()[a:b] for a, b in zip(starts, ends, strict=True)]
