@@ -19,7 +19,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,6 @@ class Encoder:
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         from framewright.llm.wordpiece import byte_symbols
 
@@ -60,7 +59,14 @@ class Encoder:
         ranks = {bytes(table[c] for c in piece): i for piece, i in vocabulary.items() if piece != SPECIAL}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
+
+    @cached_property
+    def exact(self):
+        """The file's own library, loaded by the workers that meet a text for it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> np.ndarray:
         if text.isascii() or max(text) < "ɐ":  # Latin letters, the same in every Unicode version
