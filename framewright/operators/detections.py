@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,9 +47,19 @@ def supplement_ok(area: Column, width: Column, height: Column, peak: Column) ->
     return width.between(20, 135) & height.between(35, 230) & area.between(700, 7500) & (peak >= 0.22)
 
 
+def component_suspect(divided: Column, peak: Column, distance: Column, width: Column, height: Column, top: Column, y: Column, floor: Column) -> Column:
+    """Whether a contrast component is doubtful: part of a large one, faint, off the plant, thin, cut off or low."""
+    return divided | (peak < 0.12) | (distance > 25) | (F.least(width, height) < 15) | (top < 5) | (y > floor - 100)
+
+
+def within(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """Whether a box lies within an image of some width and height."""
+    return (x >= 0) & (y >= 0) & (w > 0) & (h > 0) & (x + w <= width) & (y + h <= height)
+
+
 def inside(x: Column, y: Column, w: Column, h: Column, image: tuple[int, int] = (4416, 2488)) -> Column:
-    """Whether a box lies within the image."""
-    return (x >= 0) & (x < image[0]) & (y >= 0) & (y < image[1]) & (w > 0) & (h > 0) & (x + w <= image[0]) & (y + h <= image[1])
+    """Whether a box lies within an image of the usual size."""
+    return within(x, y, w, h, F.lit(image[0]), F.lit(image[1]))
 
 
 def with_neighbours(points: DataFrame, dx: float, dy: float) -> DataFrame:
@@ -59,9 +71,9 @@ def with_neighbours(points: DataFrame, dx: float, dy: float) -> DataFrame:
     p = points.select("frame", "id", "x", "y", F.floor(F.col("x") / dx).alias("cx"), F.floor(F.col("y") / dy).alias("cy"))
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = p.select("frame", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.explode(around).alias("o"))
-    spread = spread.select("frame", "id2", "x2", "y2", (F.col("ox") + F.col("o.i")).alias("cx"), (F.col("oy") + F.col("o.j")).alias("cy"))
+    spread = spread.select(F.col("frame").alias("f2"), "id2", "x2", "y2", (F.col("ox") + F.col("o.i")).alias("cx2"), (F.col("oy") + F.col("o.j")).alias("cy2"))
     near = (F.abs(F.col("x") - F.col("x2")) < dx) & (F.abs(F.col("y") - F.col("y2")) < dy) & (F.col("id") != F.col("id2"))
-    on = [p[c] == spread[c] for c in ("frame", "cx", "cy")]
+    on = [F.col(a) == F.col(b) for a, b in (("frame", "f2"), ("cx", "cx2"), ("cy", "cy2"))]
     found = p.join(spread, [*on, near], "left_semi").select("frame", "id", F.lit(True).alias("found"))
     return points.select("frame", "id", "x", "y").join(found, ["frame", "id"], "left").select("frame", "id", "x", "y", F.coalesce("found", F.lit(False)).alias("has_neighbour"))
 
@@ -116,47 +128,81 @@ def rescale(points: Column, preview_width: Column, full_width: int = 4416) -> Co
     return F.transform(points, lambda p: F.transform(p, lambda v: v * (F.lit(float(full_width)) / preview_width)))
 
 
+def _typed(points: DataFrame, *columns: str) -> str:
+    """DDL of the columns, with their own types."""
+    return ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in columns)
+
+
+class Cells:
+    """Places dealt to cells of dx by dy, so that one only meets those of its own and the eight cells around."""
+
+    def __init__(self, dx: float, dy: float):
+        self.dx, self.dy, self.of = dx, dy, {}
+
+    def add(self, x: float, y: float) -> None:
+        self.of.setdefault((int(x // self.dx), int(y // self.dy)), []).append((x, y))
+
+    def around(self, x: float, y: float) -> Iterator[tuple[float, float]]:
+        cx, cy = int(x // self.dx), int(y // self.dy)
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                yield from self.of.get((cx + i, cy + j), ())
+
+
 def greedy(points: DataFrame, rx: float, ry: float) -> DataFrame:
     """frame, id, kept: points in falling score (ties by id), each kept unless a kept one lies within its ellipse rx, ry.
 
-    The order decides, so a frame is handled as one by pandas; kept points are hashed to cells of the radii, so that a
-    point meets only those near it.
+    The order decides, so a frame, which is one image's points, is handled as one by pandas; kept points are dealt to
+    cells of the radii, so that a point meets only those near it.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
-        kept = []
+        taken, kept = Cells(rx, ry), []
         for x, y in zip(pdf.x, pdf.y, strict=True):
-            cx, cy = int(x // rx), int(y // ry)
-            free = all(((x - a) / rx) ** 2 + ((y - b) / ry) ** 2 >= 1 for i in (-1, 0, 1) for j in (-1, 0, 1) for a, b in cells.get((cx + i, cy + j), ()))
+            free = all(((x - a) / rx) ** 2 + ((y - b) / ry) ** 2 >= 1 for a, b in taken.around(x, y))
             if free:
-                cells.setdefault((cx, cy), []).append((x, y))
+                taken.add(x, y)
             kept.append(free)
         return pd.DataFrame({"frame": pdf.frame, "id": pdf.id, "kept": kept})
 
-    return points.select("frame", "id", "x", "y", "score").groupBy("frame").applyInPandas(run, "frame long, id long, kept boolean")
+    return points.select("frame", "id", "x", "y", "score").groupBy("frame").applyInPandas(run, f"{_typed(points, 'frame', 'id')}, kept boolean")
 
 
 def supplement(selected: DataFrame, blobs: DataFrame, dx: float = 65.0, dy: float = 100.0) -> DataFrame:
-    """frame, id of the blobs that are added, in order of id: each unless a selected point or an earlier blob is near."""
+    """frame, id of the blobs that are added, in order of id: each unless a selected point or an earlier blob is near.
 
-    def run(key: tuple, own: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        taken = list(zip(own.x, own.y, strict=True))
-        out = []
-        for i, x, y in new.sort_values("id")[["id", "x", "y"]].itertuples(index=False):
-            if not any(abs(x - a) < dx and abs(y - b) < dy for a, b in taken):
-                taken.append((x, y))
-                out.append((key[0], i))
-        return pd.DataFrame(out, columns=["frame", "id"]).astype({"frame": "int64", "id": "int64"})
+    A frame is one image's points; places that are taken are dealt to cells, as in greedy().
+    """
+    kind = _typed(blobs, "frame", "id")
+
+    def run(own: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        taken, added = Cells(dx, dy), []
+        for x, y in zip(own.x2, own.y2, strict=True):
+            taken.add(x, y)
+        new = new.sort_values("id")
+        for x, y in zip(new.x, new.y, strict=True):
+            free = not any(abs(x - a) < dx and abs(y - b) < dy for a, b in taken.around(x, y))
+            if free:
+                taken.add(x, y)
+            added.append(free)
+        return new.loc[added, ["frame", "id"]]
 
-    return selected.groupBy("frame").cogroup(blobs.groupBy("frame")).applyInPandas(run, "frame long, id long")
+    own = selected.select(F.col("frame").alias("f2"), F.col("x").alias("x2"), F.col("y").alias("y2")).groupBy("f2")
+    return own.cogroup(blobs.select("frame", "id", "x", "y").groupBy("frame")).applyInPandas(run, kind)
 
 
 def top_edge(candidates: DataFrame, chosen: DataFrame, radius: float = 100.0) -> DataFrame:
-    """Candidates at the image's top edge, large enough, dark and brown enough, without an accepted point within radius."""
+    """Candidates at the image's top edge, large enough, dark and brown enough, without an accepted point within radius.
+
+    Accepted points are dealt to squares of the radius; a candidate meets those of the nine squares around it.
+    """
     ok = (F.col("box_y") == 0) & (F.col("area") >= 400) & F.col("width").between(16, 140) & (F.col("peak") >= 0.15) & (F.col("chroma_median") >= -0.025) & (F.col("plant_distance") <= 50)
     c = candidates.where(ok)
-    p = chosen.select(F.col("frame").alias("f2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    near = (c.frame == F.col("f2")) & (F.hypot(c.x - F.col("x2"), c.y - F.col("y2")) < radius)
+    square = lambda v: F.floor(v / F.lit(radius))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    p = chosen.select(F.col("frame").alias("f2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("o"))
+    p = p.select("f2", "x2", "y2", (square(F.col("x2")) + F.col("o.i")).alias("i2"), (square(F.col("y2")) + F.col("o.j")).alias("j2"))
+    same = (F.col("frame") == F.col("f2")) & (square(F.col("x")) == F.col("i2")) & (square(F.col("y")) == F.col("j2"))
+    near = same & (F.hypot(F.col("x") - F.col("x2"), F.col("y") - F.col("y2")) < radius)
     return c.join(p, near, "left_anti")

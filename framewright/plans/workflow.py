@@ -2,7 +2,7 @@
 
     python -m framewright.plans.workflow doctor
     ... init-new --config study.json --output DIR      a new study: configuration and reference template only
-    ... prepare --images DIR --output DIR              inventory of images with groups by folder
+    ... prepare --images DIR --output DIR              inventory of images with groups by folder, and samples
     ... run --workspace DIR                            counts images that have no record yet
     ... smoke --workspace DIR --limit N                counts the first N only
     ... verify --workspace DIR [--baseline TABLE]      completeness and agreement of the records
@@ -16,6 +16,8 @@ Expected failures are printed and end with status 1.
 from __future__ import annotations
 
 import argparse
+import hashlib
+import importlib.metadata
 import importlib.util
 import json
 import platform
@@ -32,6 +34,7 @@ from framewright.sources import readers, writers
 
 TOOL = Path(__file__).resolve().parents[2]
 MARKER = "study.json"
+CODE = [TOOL / "framewright" / f for f in ("functions/vision.py", "operators/counting.py", "operators/detections.py")]  # what a count depends on
 
 
 def create_output(output: str, mode: str, sources: list[str] = ()) -> Path:
@@ -89,7 +92,14 @@ def prepare(spark: SparkSession, images: str, output: str, settings: Settings |
         F.col("relative_path").alias("frame_id"), F.substring_index("relative_path", "/", 1).alias("grp"), F.col("path").alias("source_path"), "relative_path", "size_bytes", "modified",
         "width", "height", "orientation", "timestamp", "metadata_error", F.col("sha256").alias("source_sha256"), F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"),
     )
+    rows.write.mode("overwrite").parquet(f"{path}/data/inventory_plain")
+    plain = spark.read.parquet(f"{path}/data/inventory_plain")
+    timed = plain.where("t is not null")
+    rows = plain.join(inventory.ranks(timed, settings).select("frame_id", "rank"), "frame_id", "left")
     rows.write.mode("overwrite").parquet(f"{path}/data/inventory")
+    inventory.samples(timed, settings).write.mode("overwrite").parquet(f"{path}/data/samples")
+    marker = json.loads((path / MARKER).read_text())
+    writers.write_json(marker | {"images": str(Path(images).resolve())}, str(path / MARKER))
     rows = spark.read.parquet(f"{path}/data/inventory")
     if integrity.not_unique(rows, ["frame_id"]).limit(1).count():
         raise ValueError("frame identifiers repeat")
@@ -98,11 +108,42 @@ def prepare(spark: SparkSession, images: str, output: str, settings: Settings |
     return path
 
 
-def run(spark: SparkSession, workspace: str, detector, limit: int | None = None) -> int:
-    """Counts images without a record and appends their records; an error record counts as done. Returns how many."""
+def assets(spark: SparkSession, workspace: str, scenes: str | None = None) -> dict:
+    """The detector's recorded assets: hashes of its files and the software's versions. Written by the first run.
+
+    Every later command checks them: a changed or missing file is an error, other software versions are reported in
+    qa/runtime.json and don't stop anything.
+    """
+    kept = Path(workspace) / "data/detector.json"
+    now = {m: importlib.metadata.version(m) for m in ("pyspark", "pyarrow", "numpy", "pandas")} | {"python": platform.python_version()}
+    if not kept.exists():
+        if scenes is None:
+            return {}
+        files = {str(Path(f).resolve()): hashlib.sha256(Path(f).read_bytes()).hexdigest() for f in (scenes, *CODE)}
+        recorded = spark.createDataFrame(list(files.items()), "path string, sha256 string")
+        writers.write_json({"files": files, "fingerprint": integrity.fingerprint(recorded).first().fingerprint, "runtime": now}, str(kept))
+    found = json.loads(kept.read_text())
+    have = [(f, hashlib.sha256(Path(f).read_bytes()).hexdigest()) for f in found["files"] if Path(f).exists()]
+    kind = "path string, sha256 string"
+    wrong = integrity.manifest_check(spark.createDataFrame(list(found["files"].items()), kind), spark.createDataFrame(have, kind)).orderBy("path").collect()  # a few files
+    if scenes is not None and str(Path(scenes).resolve()) not in found["files"]:
+        raise ValueError(f"{scenes} isn't the recorded scenes file")
+    if wrong:
+        raise ValueError("assets differ from those recorded: " + "; ".join(f"{r.path} {r.problem}" for r in wrong))
+    drift = {m: [v, now.get(m)] for m, v in found["runtime"].items() if now.get(m) != v}
+    writers.write_json({"drift": drift}, f"{workspace}/qa/runtime.json")
+    return found
+
+
+def run(spark: SparkSession, workspace: str, scenes: dict[str, dict], machine=None, limit: int | None = None, strategies=None) -> int:
+    """Counts images without a record and appends their records; an error record counts as done. Returns how many.
+
+    Only paths and sizes are joined; each task reads the images of its rows itself.
+    """
     from framewright.operators.counting import count_images
 
     project(workspace, "replay")
+    assets(spark, workspace)
     log = Path(workspace) / "data/records"
     rows = spark.read.parquet(f"{workspace}/data/inventory")
     if log.exists():
@@ -110,17 +151,35 @@ def run(spark: SparkSession, workspace: str, detector, limit: int | None = None)
         rows = integrity.remaining(rows, done, "frame_id")
     if limit is not None:
         rows = readers.first_rows(rows, limit, "grp", "t", "frame_id")
-    todo = rows.select("frame_id", F.col("grp").alias("group"), "source_path", "size_bytes", "modified")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(Path(rows.first().source_path.split(":", 1)[-1]).parents[1])) if rows.limit(1).count() else None
-    if content is None:
+    n = rows.count()
+    if not n:
         return 0
-    same = (F.col("length") == F.col("size_bytes")) & (F.col("modificationTime") == F.col("modified"))
-    images = todo.join(content, todo.source_path == content.path).select("frame_id", "group", "source_path", F.lit(None).cast("int").alias("sequence_index"), F.lit(None).cast("string").alias("sample_id"), same.alias("source_unchanged"), "content")
-    n = todo.count()
-    writers.append_records(count_images(images, detector), str(log))
+    listed = readers.list_images(spark, project(workspace, "replay")["images"]).select(F.col("path").alias("source_path"), F.col("size_bytes").alias("size_now"), F.col("modified").alias("modified_now"))
+    of_sample = spark.read.parquet(f"{workspace}/data/samples").groupBy("frame_id").agg(F.min("sample_id").alias("sample_id"))
+    todo = rows.join(listed, "source_path", "left").join(of_sample, "frame_id", "left")
+    same = F.coalesce((F.col("size_now") == F.col("size_bytes")) & (F.col("modified_now") == F.col("modified")), F.lit(False))
+    images = todo.select("frame_id", F.col("grp").alias("group"), "source_path", F.col("rank").cast("int").alias("sequence_index"), "sample_id", same.alias("source_unchanged"))
+    images = images.repartition(min(n, 16 * spark.sparkContext.defaultParallelism), "frame_id")  # some seconds an image: many small tasks
+    writers.append_records(count_images(images, scenes, strategies, machine), str(log))
     return n
 
 
+def annotation_paths(spark: SparkSession, workspace: str, annotations: DataFrame) -> DataFrame:
+    """annotations, which have sample_id, with the source_path of their samples' frames; an unknown sample is an error."""
+    inventory_ = spark.read.parquet(f"{workspace}/data/inventory").select("frame_id", "source_path")
+    known = spark.read.parquet(f"{workspace}/data/samples").select("sample_id", "frame_id").join(inventory_, "frame_id")
+    if odd := annotations.join(known, "sample_id", "left_anti").limit(1).collect():
+        raise ValueError(f"sample {odd[0].sample_id} is unknown")
+    return annotations.join(known, "sample_id")
+
+
+def audit(frames: DataFrame, coordinates: DataFrame) -> dict:
+    """Scalars of an export: frames by group, coordinates, published and unpublished frames, duplicates."""
+    by_group = {r.grp: r.n for r in frames.groupBy("grp").agg(F.count("*").alias("n")).collect()}  # a row a group
+    one = frames.agg(F.count_if(F.col("left_count").isNotNull()).alias("published"), F.count_if("valid_candidate_summary").alias("usable"), F.count_distinct("source_sha256").alias("contents")).first()
+    return {"images": sum(by_group.values()), "groups": by_group, "coordinates": coordinates.count(), "published": one.published, "usable": one.usable, "distinct_contents": one.contents}
+
+
 def records(spark: SparkSession, workspace: str) -> DataFrame:
     return spark.read.schema(CHECKPOINT).json(f"{workspace}/data/records")
 
@@ -128,6 +187,7 @@ def records(spark: SparkSession, workspace: str) -> DataFrame:
 def verify(spark: SparkSession, workspace: str, baseline: DataFrame | None = None, complete: bool = True) -> dict:
     """Whether records are unique, known, complete and in agreement with a baseline; the result is saved before an error is raised."""
     project(workspace, "replay")
+    assets(spark, workspace)
     got, rows = records(spark, workspace), spark.read.parquet(f"{workspace}/data/inventory")
     if integrity.not_unique(got, ["frame_id"]).limit(1).count():
         raise ValueError("a record is repeated")
@@ -191,9 +251,10 @@ def integrity_of_bins(tables: dict[str, DataFrame]) -> bool:
 
 def export(spark: SparkSession, workspace: str, accepted: list[str], settings: Settings | None = None) -> Path:
     """Gated frames, coordinates, duplicates, priorities and both sets of statistics of a workspace whose records are complete."""
-    from framewright.operators.detections import coordinates
+    from framewright.operators.detections import coordinates, within
 
     settings = settings or Settings()
+    assets(spark, workspace)
     verify(spark, workspace)
     got = records(spark, workspace)
     rows = spark.read.parquet(f"{workspace}/data/inventory").select("frame_id", "grp", "t", "source_sha256").join(got.drop("group", "source_path"), "frame_id")
@@ -202,7 +263,14 @@ def export(spark: SparkSession, workspace: str, accepted: list[str], settings: S
     rows = gates.published(rows.withColumn("valid_candidate_summary", usable), usable, F.col("grp").isin(*accepted) if accepted else F.lit(False), counts)
     rows.drop("detections", "candidates").write.mode("overwrite").parquet(f"{workspace}/data/frames")
     frames = spark.read.parquet(f"{workspace}/data/frames")
-    writers.to_csv(coordinates(got), f"{workspace}/data/coordinates", gzip=True)
+    points = coordinates(got)
+    size = spark.read.parquet(f"{workspace}/data/inventory").select("frame_id", F.col("width").alias("w"), F.col("height").alias("h"))
+    box = [F.col(f"bbox_{c}") for c in ("x", "y", "width", "height")]
+    outside = points.join(size, "frame_id").where(~F.coalesce(within(*box, F.col("w"), F.col("h")), F.lit(False)))
+    if bad := outside.limit(1).collect():
+        raise ValueError(f"a detection of {bad[0].frame_id} lies outside its image")
+    writers.to_csv(points, f"{workspace}/data/coordinates", gzip=True)
+    writers.write_json(audit(frames, points), f"{workspace}/qa/audit.json")
     writers.to_csv(integrity.exact_duplicates(frames, "frame_id", F.col("source_sha256")), f"{workspace}/data/duplicates")
     writers.to_csv(review.priority(frames, settings), f"{workspace}/data/priority")
     primary = statistics(frames.withColumn("valid", F.col("valid_primary")), settings)
@@ -226,7 +294,7 @@ def main(args: list[str] | None = None) -> int:
         for option in needed:
             p.add_argument(f"--{option}", required=True)
         if name in ("run", "smoke"):
-            p.add_argument("--scenes", required=True, help="npz file: for each group, group/calm, group/plant, group/floor, group/divider")
+            p.add_argument("--scenes", required=True, help="npz file: for each group, group/calm, group/plant, group/floor, group/divider; for windows, machine/weights and machine/bias")
             p.add_argument("--limit", type=int, default=7 if name == "smoke" else None)
         if name == "verify":
             p.add_argument("--baseline")
@@ -248,9 +316,10 @@ def main(args: list[str] | None = None) -> int:
         elif a.command == "replot":
             print(replot(session(), a.frames, a.output, settings))
         elif a.command in ("run", "smoke"):
-            from framewright.operators.counting import component_detector, load_scenes
+            from framewright.operators.counting import load_scenes
 
-            print(run(session(), a.workspace, component_detector(load_scenes(a.scenes)), a.limit))
+            assets(session(), a.workspace, a.scenes)
+            print(run(session(), a.workspace, *load_scenes(a.scenes), a.limit))
         elif a.command == "verify":
             spark = session()
             print(json.dumps(verify(spark, a.workspace, spark.read.parquet(a.baseline) if a.baseline else None)))

@@ -31,6 +31,10 @@ DETECTION = (
     "detection_id: int, x: double, y: double, bbox: array<int>, side: string, zone: string, score: double, origin: string, suspect: boolean, accepted: boolean, "
     "area: int, peak: double, plant_distance: double, review_reasons: array<string>"
 )
+CANDIDATE = (
+    "kind: string, x: double, y: double, bbox: array<int>, score: double, gray_q95: double, chroma_median: double, area: int, peak: double, elongation: double, extent: double, "
+    "plant_distance: double, divided: boolean, whole_top: int"
+)
 CHECKPOINT = (
     "frame_id string, group string, source_path string, sequence_index int, sample_id string, processed_at string, status string, error string, sha256 string, "
     "source_unchanged boolean, quality_ok boolean, quality_reasons array<string>, scene_overlap double, brightness double, sharpness double, "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +28,16 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(ok).select("path", after.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 
 
+def file_bytes(uri: str) -> bytes:
+    """A file's bytes, read where this is called, from any file system that Arrow knows."""
+    from pyarrow import fs
+
+    plain = "file://" + uri.removeprefix("file:").removeprefix("//") if uri.startswith(("file:", "/")) else uri
+    where, path = fs.FileSystem.from_uri(quote(plain, safe=":/%"))
+    with where.open_input_stream(path) as f:
+        return f.read()
+
+
 def image_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """path, sha256, width, height, orientation, timestamp, metadata_error of every image under folder.
 
@@ -57,9 +68,12 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with a number that rises along it, and whether a line break ends each."""
-    lines = spark.read.text(path).withColumn("line__", F.monotonically_increasing_id())
-    return lines.where(F.trim("value") != "")
+    """Lines of a log with line__, which rises along a file and from file to file in the order of their times of change.
+
+    A log is a file, or a folder to which each append adds files; those of one append don't hold a key twice.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+    return lines.where(F.trim("value") != "").select("value", F.struct("at", "file", "n").alias("line__"))
 
 
 def record_log(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from framewright.functions import vision
 from framewright.operators import counting, review
 from framewright.plans import review_server, workflow
-from framewright.schemas import SECOND, Settings
+from framewright.schemas import CANDIDATE, SECOND, Settings
+
+NAMES = [f.split(":")[0] for f in CANDIDATE.split(", ")]
 
 
 def scene(spots=((60, 40), (60, 150)), size=(240, 300)):
@@ -24,8 +26,16 @@ def scene(spots=((60, 40), (60, 150)), size=(240, 300)):
 
 def scenes():
     empty = scene(())
-    p = vision.Params(min_area=200, blur=12)
-    return {"A": counting.prepare_scene([empty] * 3, 210, 100, [(0, 300)], 500) | {"params": p, "calm": vision.contrast(empty, 12)} | {"colour": None}}
+    return {"A": counting.prepare_scene([empty] * 3, 210, 100, [(0, 300)], 500) | {"calm": vision.contrast(empty, 12)} | {"colour": None}}
+
+
+SMALL = vision.Params(min_area=200, blur=12)
+PLANS = {"A": counting.Strategy(False, "all", SMALL)}
+
+
+def pictures(spark, *images):
+    rows = [(f"f{i}", "A", None, i, None, True, bytearray(vision.png_bytes(im))) for i, im in enumerate(images)]
+    return spark.createDataFrame(rows, "frame_id string, group string, source_path string, sequence_index int, sample_id string, source_unchanged boolean, content binary")
 
 
 def test_kernels():
@@ -57,10 +67,34 @@ def test_gradient_machine_separates():
     assert all(vision.hog(window(True)) @ w + b > vision.hog(window(False)) @ w + b for _ in range(10))
 
 
-def test_detector_counts_spots_by_side():
-    found, _, q = counting.component_detector(scenes())(scene(), "A")
-    assert sorted(d["side"] for d in found) == ["left", "right"] and [d["detection_id"] for d in found] == [1, 2]
-    assert q["scene_overlap"] > 0.9
+def test_regions_equal_sums_over_each():
+    rng = np.random.default_rng(5)
+    labels, n = vision.components(rng.random((60, 70)) < 0.3)
+    value = rng.random((60, 70))
+    m = vision.regions(labels, n, value)
+    for k in range(n):
+        ys, xs = np.nonzero(labels == k + 1)
+        w = np.maximum(value[ys, xs], 1e-3)
+        spread = np.linalg.eigvalsh(np.cov(np.stack((xs, ys)))) if len(xs) > 1 else np.zeros(2)
+        want = [len(xs), value[ys, xs].max(), (xs * w).sum() / w.sum(), (ys * w).sum() / w.sum(), xs.min(), ys.min(), np.ptp(xs) + 1, np.ptp(ys) + 1, len(xs) / ((np.ptp(xs) + 1) * (np.ptp(ys) + 1)), np.sqrt((spread[1] + 1) / (spread[0] + 1))]
+        assert np.allclose([m[c][k] for c in ("area", "peak", "x", "y", "left", "top", "width", "height", "extent", "elongation")], want)
+    assert all(len(v) == 0 for v in vision.regions(np.zeros((4, 4), np.int32), 0, np.zeros((4, 4))).values())
+
+
+def test_large_regions_are_divided_among_their_peaks():
+    y, x = np.mgrid[:60, :140]
+    value = np.exp(-((x - 30) ** 2 + (y - 30) ** 2) / 300) + np.exp(-((x - 100) ** 2 + (y - 30) ** 2) / 300)
+    labels, n = vision.components(value > 0.01)
+    parts, origin = vision.divided(labels, n, value, vision.Params(min_area=20, split_area=100, split_smooth=2, peak_distance=20))
+    assert n == 1 and origin.tolist() == [0, 0] and ((parts > 0) == (labels > 0)).all() and parts[30, 30] != parts[30, 100]
+    assert vision.divided(labels, n, value, vision.Params(min_area=10**6))[1].size == 0
+
+
+def test_components_count_spots_by_side(spark):
+    rec = counting.count_images(pictures(spark, scene()), scenes(), PLANS).first()
+    assert sorted(d.side for d in rec.detections) == ["left", "right"] and [d.detection_id for d in rec.detections] == [1, 2]
+    assert (rec.auto_left_count, rec.auto_right_count, rec.status) == (1, 1, "processed") and rec.scene_overlap > 0.9
+    found = [d.asDict() for d in rec.detections]
     assert vision.overlay(scene(), found, 210).shape == scene().shape and vision.contact_sheet([scene()] * 3, 2, (20, 30)).shape == (40, 60, 3)
 
 
@@ -71,13 +105,19 @@ def test_prepare_run_verify_export(spark, tmp_path):
     (tmp_path / "images/A/9.png").write_bytes(b"broken")
     out = tmp_path / "work"
     workflow.prepare(spark, str(tmp_path / "images"), str(out))
-    detector = counting.component_detector(scenes())
-    assert workflow.run(spark, str(out), detector, 1) == 1
+    own = {f"A/{k}": v for k, v in scenes()["A"].items() if v is not None}
+    np.savez(tmp_path / "scenes.npz", **own)
+    read, machine = counting.load_scenes(str(tmp_path / "scenes.npz"))
+    assert machine is None and read["A"]["floor"] == 210 and (read["A"]["calm"] == own["A/calm"]).all()
+    plan = (scenes(), None)
+    assert workflow.assets(spark, str(out), str(tmp_path / "scenes.npz"))["fingerprint"]
+    assert workflow.run(spark, str(out), *plan, 1, PLANS) == 1
     with pytest.raises(ValueError):
         workflow.verify(spark, str(out))
-    assert workflow.run(spark, str(out), detector) == 3 and workflow.run(spark, str(out), detector) == 0
+    assert workflow.run(spark, str(out), *plan, None, PLANS) == 3 and workflow.run(spark, str(out), *plan, None, PLANS) == 0
     got = {r.frame_id: r for r in workflow.records(spark, str(out)).collect()}
     assert [got[f"A/{i}.png"].auto_left_count for i in range(3)] == [1, 1, 1] and got["A/9.png"].status == "error"
+    assert all(r.source_unchanged for k, r in got.items() if k != "A/9.png")
     assert workflow.verify(spark, str(out))["missing"] == 0
     with pytest.raises(ValueError):
         workflow.verify(spark, str(out), workflow.records(spark, str(out)).withColumn("sha256", F.lit("0" * 64)))
@@ -85,6 +125,20 @@ def test_prepare_run_verify_export(spark, tmp_path):
     frames = {r.frame_id: r for r in spark.read.parquet(f"{out}/data/frames").collect()}
     assert frames["A/9.png"].left_count is None and frames["A/9.png"].primary_missing_reason == "image not usable"
     assert (out / "data/primary/report.md").exists() and (out / "manifest.csv").exists()
+    audit = json.loads((out / "qa/audit.json").read_text())
+    assert audit["images"] == 4 and audit["groups"] == {"A": 4} and audit["coordinates"] == sum(r.auto_left_count + r.auto_right_count for k, r in got.items() if k != "A/9.png")
+    (tmp_path / "scenes.npz").write_bytes(b"other")
+    with pytest.raises(ValueError, match="scenes.npz changed"):
+        workflow.verify(spark, str(out))
+
+
+def test_annotations_find_their_images(spark, tmp_path):
+    spark.createDataFrame([("a", "file:/x"), ("b", "file:/y")], "frame_id string, source_path string").write.parquet(str(tmp_path / "data/inventory"))
+    spark.createDataFrame([("A_cal_01", "b")], "sample_id string, frame_id string").write.parquet(str(tmp_path / "data/samples"))
+    notes = spark.createDataFrame([("A_cal_01", 3)], "sample_id string, n int")
+    assert [(r.source_path, r.n) for r in workflow.annotation_paths(spark, str(tmp_path), notes).collect()] == [("file:/y", 3)]
+    with pytest.raises(ValueError, match="unknown"):
+        workflow.annotation_paths(spark, str(tmp_path), spark.createDataFrame([("A_cal_09", 3)], "sample_id string, n int"))
 
 
 def test_guards(tmp_path):
@@ -146,16 +200,63 @@ def test_hybrid_detector(spark):
     base = scene(((60, 40), (60, 150), (165, 40)))
     patch = lambda y, x: vision.grey(base)[y - 32 : y + 32, x - 16 : x + 16]
     w, b = vision.train([patch(60, 40), patch(60, 150), patch(165, 40)], [np.clip(rng.normal(150, 3, (64, 32)), 0, 255) for _ in range(10)] + [patch(200, 250)], [vision.grey(scene(()))], rounds=1, copies=4)
-    real = vision.windows
-    vision.windows = lambda g, weights, bias, least: real(g, weights, bias, least, (32, 64), 4, 3.0)
+    # the machine's windows are small here, so they are measured by hand
+    sc, hits = scenes()["A"], vision.windows(vision.grey(base), w, b, 0.3, (32, 64), 4, 3.0)
+    sure = vision.measured_windows.__globals__
+    real = sure["windows"]
+    sure["windows"] = lambda g, weights, bias, least: hits
     try:
-        found, _, q = counting.hybrid_detector(scenes(), w, b, ("A",))(base, "A")
+        _, found = counting.measurer(scenes(), {"A": counting.Strategy(True, "supplement", SMALL)}, (w, b))(base, "A")
     finally:
-        vision.windows = real
-    assert {d["side"] for d in found} >= {"left", "right"} and q["sharpness"] > 0
-    assert [d["detection_id"] for d in found] == list(range(1, len(found) + 1))
+        sure["windows"] = real
+    assert {"window", "blob"} <= {d["kind"] for d in found} and all(d["gray_q95"] is not None for d in found if d["kind"] == "window")
+    # the patches whose colour counts are larger than these spots, and would be as green as the stem
+    rows = [("f", i, "A", *[(d | {"chroma_median": 0.0}).get(c) for c in NAMES]) for i, d in enumerate(found)]
+    got = counting.decided(spark.createDataFrame(rows, f"frame string, id int, group string, {CANDIDATE.replace(':', '')}"), {"A": sc}, {"A": counting.Strategy(True, "supplement", SMALL)})
+    got = sorted((r for r in got.collect() if r.accepted), key=lambda r: r.detection_id)
+    assert {r.side for r in got} >= {"left", "right"} and [r.detection_id for r in got] == list(range(1, len(got) + 1))
     for y, x in ((60, 40), (60, 150), (165, 40)):
-        assert any(abs(d["x"] - x) < 25 and abs(d["y"] - y) < 25 for d in found)
+        assert any(abs(r.x - x) < 25 and abs(r.y - y) < 25 for r in got)
+
+
+def candidates(spark, rows):
+    base = {"kind": "window", "x": 0.0, "y": 0.0, "bbox": [0, 0, 60, 100], "score": 2.0, "gray_q95": 0.2, "chroma_median": 0.0, "area": 2000, "peak": 0.5, "elongation": 2.0, "extent": 0.5, "plant_distance": 5.0, "divided": False, "whole_top": 100}
+    full = [base | r for r in rows]
+    return spark.createDataFrame([("f", i, r.get("group", "B"), *[r[c] for c in NAMES]) for i, r in enumerate(full)], f"frame string, id int, group string, {CANDIDATE.replace(':', '')}")
+
+
+def judged(spark, *rows, group="B"):
+    place = {g: {"floor": 2000, "divider": 1000} for g in "ABC"}
+    got = counting.decided(candidates(spark, [r | {"group": group} for r in rows]), place).collect()
+    return {r.id: r for r in got}
+
+
+def test_windows_hide_weaker_ones_even_if_rejected(spark):
+    got = judged(spark, {"x": 500.0, "y": 500.0, "score": 3.0, "gray_q95": 0.01}, {"x": 520.0, "y": 540.0, "score": 2.0}, {"x": 700.0, "y": 500.0, "score": 0.9}, {"x": 1500.0, "y": 1990.0, "plant_distance": 60.0}, {"x": 1500.0, "y": 2100.0})
+    assert set(got) == {0, 2, 3, 4} and not got[0].accepted and got[0].detection_id is None
+    assert (got[2].side, got[2].review_reasons) == ("left", ["low shape score"])
+    assert (got[3].zone, got[3].side, got[4].zone) == ("bottom", "", "reflection_or_bottom")
+    assert [got[i].detection_id for i in (2, 3, 4)] == [1, 2, 3]
+
+
+def test_top_edge_and_supplements_keep_clear_of_what_is_accepted(spark):
+    edge = {"kind": "edge", "bbox": [100, 0, 40, 30], "area": 500, "score": None, "gray_q95": None}
+    blob = {"kind": "blob", "bbox": [900, 600, 60, 100], "score": None, "gray_q95": None}
+    got = judged(
+        spark, {"x": 120.0, "y": 80.0}, edge | {"x": 130.0, "y": 15.0}, edge | {"x": 400.0, "y": 15.0}, edge | {"x": 450.0, "y": 15.0}, edge | {"x": 800.0, "y": 15.0, "chroma_median": -0.03}, edge | {"x": 1200.0, "y": 15.0, "bbox": [1200, 1, 40, 30]},
+        blob | {"x": 930.0, "y": 650.0}, blob | {"x": 960.0, "y": 700.0, "bbox": [930, 650, 60, 100]}, blob | {"x": 130.0, "y": 120.0}, blob | {"x": 1500.0, "y": 650.0, "chroma_median": -0.06, "bbox": [1470, 600, 60, 100]},
+    )
+    assert set(got) == {0, 2, 6} and [got[i].origin for i in (0, 2, 6)] == ["gradients", "top_edge", "contrast_supplement"]
+    assert got[2].review_reasons == ["cut off at the top"] and got[6].review_reasons == ["seen by contrast only"]
+
+
+def test_strategies_by_group(spark):
+    blob = {"kind": "blob", "x": 500.0, "y": 500.0, "score": None, "gray_q95": None}
+    only = judged(spark, blob, blob | {"x": 580.0, "y": 600.0, "bbox": [90, 90, 60, 100], "peak": 0.1}, blob | {"extent": 0.1}, group="A")
+    assert set(only) == {0, 1} and only[0].review_reasons == ["adjacent or overlapping"] and only[1].review_reasons == ["shape or edge", "adjacent or overlapping"] and only[0].suspect
+    assert judged(spark, blob, group="C") == {}
+    assert {g: (s.windows, s.components, s.params.threshold) for g, s in counting.STRATEGIES.items()} == {"A": (False, "all", 0.09), "B": (True, "supplement", 0.075)}
+    assert counting.Strategy().hit == 0.3
 
 
 def test_batch_metrics(spark):
