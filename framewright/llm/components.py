@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.common import Workspace
 
 
-HUBS = 1000  # nodes that are too crowded to be dealt by hash: at most as many as this, whatever the number of edges
+HUBS = 1000  # keys that are too crowded to be dealt by hash: at most as many as this, whatever the number of rows
+
+
+def matched(rows: DataFrame, table: DataFrame, key: str, crowded: Column) -> DataFrame:
+    """rows joined with table, in which key is unique. What crowded says of table's rows must hold for HUBS of them at most.
+
+    These are broadcast, so that their rows stay where they are; all others meet in a shuffled join.
+    """
+    columns = [c for c in table.columns if c != key]
+    marked = rows.join(F.broadcast(table.where(crowded).withColumn("stays", F.lit(True))), key, "left")
+    stay = marked.where("stays").drop("stays")
+    rest = marked.where("stays is null").drop("stays", *columns).join(table.where(~crowded), key)
+    return stay.unionByName(rest)
 
 
 def _least(edges: DataFrame, number: int) -> DataFrame:
     """Edges (a, b) with the least of a's neighbours and a itself: (a, b, least); number is how many edges there are.
 
-    Nodes with more than one in HUBS of the edges, HUBS - 1 at most, are broadcast, so that their edges stay where they
-    are; all others' edges meet their least in a shuffled join, in which no node has more than that share.
+    A node is crowded if it has more than one in HUBS of the edges.
     """
-    low = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("n"))
-    crowded = F.col("n") > number / HUBS
-    marked = edges.join(F.broadcast(low.where(crowded).select("a", "least")), "a", "left")
-    rest = marked.where("least is null").select("a", "b").join(low.where(~crowded).select("a", "least"), "a")
-    return marked.where("least is not null").select("a", "b", "least").unionByName(rest.select("a", "b", "least"))
+    low = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("own"))
+    return matched(edges, low, "a", F.col("own") > number / HUBS).select("a", "b", "least")
 
 
 def _state(edges: DataFrame) -> tuple[int, bool]:

@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 
 from framewright.llm import textkit as tk
 from framewright.llm.common import Workspace, unused
-from framewright.llm.components import connected
+from framewright.llm.components import HUBS, connected, matched
 
 REGISTERS, BANDS, ROWS, MANTISSA = 125, 25, 5, 10
+PART = 128  # members of a cluster that are handled together
 TIGHT, MARGIN = 0.7, 0.25  # a close resemblance; what estimates may err by, six to eight of their standard deviations
 _rng = np.random.default_rng(20)
 _SEEDS = _rng.integers(1, 1 << 63, 2, dtype=np.uint64) | tk.U64(1)
@@ -160,12 +161,12 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part in tk.pieces(batch, "text"):
                 row, own = shingles(*tk.raw(part.column("text")), size)
-                columns = {c: part.column(c) for c in ("rep", "cluster", "n", "registers")}
+                columns = {c: part.column(c) for c in ("rep", "cluster", "part", "parts", "n", "registers")}
                 own = own.view(np.int64)
                 order = np.lexsort((own, row))
                 yield pa.RecordBatch.from_pydict(columns | {"own": _lists(own[order], np.bincount(row, minlength=part.num_rows), pa.int64())})
 
-    return texts.select("rep", "cluster", "n", "registers", "text").mapInArrow(run, "rep long, cluster long, n long, registers binary, own array<long>")
+    return texts.select("rep", "cluster", "part", "parts", "n", "registers", "text").mapInArrow(run, "rep long, cluster long, part int, parts int, n long, registers binary, own array<long>")
 
 
 def _differences(sets: DataFrame, common: DataFrame) -> DataFrame:
@@ -176,11 +177,16 @@ def _differences(sets: DataFrame, common: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 found = [np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True) for x, y in zip(part.column("own"), part.column("common"), strict=True)]
-                columns = {c: part.column(c) for c in ("rep", "cluster", "n", "registers")}
+                columns = {c: part.column(c) for c in ("rep", "cluster", "part", "parts", "n", "registers")}
                 yield pa.RecordBatch.from_pydict(columns | {"e": _lists(np.concatenate(found), np.array([len(x) for x in found]), pa.int64())})
 
-    joined = sets.join(common, "cluster").select("rep", "cluster", "n", "registers", "own", "common")
-    return joined.mapInArrow(run, "rep long, cluster long, n long, registers binary, e array<long>")
+    joined = sets.join(common, ["cluster", "part"]).select("rep", "cluster", "part", "parts", "n", "registers", "own", "common")
+    return joined.mapInArrow(run, "rep long, cluster long, part int, parts int, n long, registers binary, e array<long>")
+
+
+def _for_parts(clusters: DataFrame) -> DataFrame:
+    """clusters with a row for each of their parts: members are dealt to parts, so that a large cluster isn't one task."""
+    return clusters.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
 
 
 def _estimated(pairs: DataFrame) -> DataFrame:
@@ -223,54 +229,60 @@ def links(docs: DataFrame, reps: DataFrame, work: Workspace, size: int, percent:
     """
     exploded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    met = exploded.join(buckets, "key").groupBy("rep", "leader").agg(F.sum("n").alias("central"))
+    hits = work.keep(exploded.join(buckets, "key"))
     side = reps.select("rep", "n", "registers")
-    pairs = met.join(side.toDF("rep", "xn", "xr"), "rep").join(side.toDF("leader", "yn", "yr"), "leader")
+    pairs = hits.groupBy("rep", "leader").agg(F.sum("n").alias("central")).join(side.toDF("rep", "xn", "xr"), "rep").join(side.toDF("leader", "yn", "yr"), "leader")
     met = work.keep(_estimated(pairs))  # a leader for each band of a candidate at most
-    hung = met.where(F.col("estimate") >= TIGHT - (1 - percent / 100) - MARGIN).select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    unlike = met.where(F.col("estimate") < TIGHT).select("rep", "leader")
-    again = exploded.join(unlike.select("rep").distinct(), "rep", "left_semi").join(buckets, "key").join(unlike, ["rep", "leader"], "left_semi")
-    second = again.groupBy("key").agg(F.min("rep").alias("second"), F.count("*").alias("n")).where("n > 1")
-    others = again.join(second.select("key", "second"), "key").select(F.col("rep").alias("a"), F.col("second").alias("b"))
-    clusters = connected(hung.unionByName(others).distinct(), work)
-    centrals = met.groupBy("rep").agg(F.sum("central").alias("central"))
-    members = centrals.join(clusters, F.col("rep") == F.col("node")).select("rep", F.col("component").alias("cluster"), "central")
-    members = work.keep(members)
+    first = met.where(F.col("estimate") >= TIGHT - (1 - percent / 100) - MARGIN).select("rep", "leader", "central")
+    again = hits.join(met.where(F.col("estimate") < TIGHT).select("rep", "leader"), ["rep", "leader"]).select("rep", "key")
+    second = again.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    others = again.join(second, "key").select("rep", "leader", F.lit(0).cast("long").alias("central"))
+    hung = first.unionByName(others).groupBy("rep").agg(F.array_sort(F.collect_set("leader")).alias("leaders"), F.sum("central").alias("central"))  # two for each band at most
+    hung = work.keep(hung.select("rep", F.get("leaders", F.lit(0)).alias("top"), "leaders", "central"))
+    work.drop(hits, met)
+    # leaders of one document are one cluster's; documents follow their least leader
+    between = connected(hung.where(F.size("leaders") > 1).select(F.explode("leaders").alias("a"), F.col("top").alias("b")), work)
+    named = hung.groupBy("top").agg(F.count("*").alias("own")).join(between, F.col("top") == F.col("node"), "left").select("top", "own", F.coalesce("component", "top").alias("cluster"))
+    sizes = named.groupBy("cluster").agg(F.sum("own").alias("members")).where("members > 1")
+    named = work.keep(named.join(sizes, "cluster").withColumn("parts", F.ceil(F.col("members") / PART).cast("int")))
+    number = hung.count()
+    members = matched(hung.select("rep", "top", "central"), named, "top", F.col("own") > number / HUBS)
+    members = work.keep(members.select("rep", "cluster", "central", "members", "parts", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part")))
     texts = docs.select("doc_id", "text").join(members.join(reps.select("rep", "n", "registers"), "rep"), F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
     sets = work.keep(_sets(texts, size))
-    pivots = members.groupBy("cluster").agg(F.max_by("rep", F.struct("central", (-F.col("rep")).alias("r"))).alias("pivot"), F.count("*").alias("members"))
-    common = pivots.join(sets.select(F.col("rep").alias("pivot"), F.col("own").alias("common")), "pivot").select("cluster", "members", "common")
+    pivots = members.groupBy("cluster").agg(F.max_by("rep", F.struct("central", (-F.col("rep")).alias("r"))).alias("pivot"), F.first("members").alias("members"), F.first("parts").alias("parts"))
+    common = pivots.join(sets.select(F.col("rep").alias("pivot"), F.col("own").alias("common")), "pivot").select("cluster", "members", "parts", "common")
     common = work.keep(common)
-    first = work.keep(_differences(sets, common))
+    first = work.keep(_differences(sets, _for_parts(common.select("cluster", "parts", "common"))))
     # the common set moves to what more than half of the members hold
     usual = first.select("cluster", F.explode("e").alias("s")).groupBy("cluster", "s").agg(F.count("*").alias("df"))
-    usual = usual.join(common.select("cluster", "members").where("members > 3"), "cluster").where("2 * df > members")
-    usual = usual.groupBy("cluster").agg(F.collect_list("s").alias("moved"))  # at most twice the mean difference
+    usual = usual.join(common.select("cluster", "members", "parts").where("members > 3"), "cluster").where("2 * df > members")
+    usual = usual.groupBy("cluster").agg(F.collect_list("s").alias("moved"), F.first("parts").alias("parts"))  # at most twice the mean difference
     # the difference to the moved set is that to the old one, with what was moved exchanged
     exchanged = F.array_union(F.array_except("e", "moved"), F.array_except("moved", "e"))
-    e = first.join(usual, "cluster", "left").withColumn("e", F.when(F.col("moved").isNull(), F.col("e")).otherwise(F.array_sort(exchanged)))
+    e = first.join(_for_parts(usual), ["cluster", "part"], "left").withColumn("e", F.when(F.col("moved").isNull(), F.col("e")).otherwise(F.array_sort(exchanged)))
     e = work.keep(e.drop("moved"))
     work.drop(first, sets)
     low, high = 100 - percent, 100 + percent
     e = e.withColumn("a", F.lit(high) * F.size("e") - F.lit(low) * F.col("n"))
-    lows = e.groupBy("cluster").agg(F.min(F.struct("a", "rep")).alias("hub"))
-    table = work.keep(e.join(lows, "cluster").select("rep", "cluster", "n", "a", F.col("hub.a").alias("least"), F.col("hub.rep").alias("hub")))
+    lows = e.groupBy("cluster").agg(F.min(F.struct("a", "rep")).alias("hub"), F.first("parts").alias("parts"))
+    place = ["cluster", "part"]
+    table = work.keep(e.join(_for_parts(lows), place).select("rep", *place, "parts", "n", "a", F.col("hub.a").alias("least"), F.col("hub.rep").alias("hub")))
     star = table.where("a + least <= 0 and rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     # whoever hangs to no hub: only in clusters that have some
-    rest = table.where("a + least > 0").select("rep", "cluster")
-    open_clusters = rest.select("cluster").distinct()
-    items = e.join(open_clusters, "cluster", "left_semi").select("rep", "cluster", F.explode("e").alias("s"))
+    open_clusters = table.where("a + least > 0").groupBy("cluster").agg(F.first("parts").alias("parts"))
+    items = e.join(_for_parts(open_clusters), place, "left_semi").select("rep", "cluster", F.explode("e").alias("s"))
     df = items.groupBy("cluster", "s").agg(F.count("*").alias("df")).where("df > 1")
     items = items.join(df, ["cluster", "s"])
     shared = work.keep(items.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared")))  # part of one set
     double = 2 * high
     known = table.join(shared, "rep").withColumn("u", F.size("shared"))
-    bound = known.groupBy("cluster").agg(F.max(F.lit(double) * F.col("u") - F.col("a")).alias("most"))
-    x = known.where("a + least > 0").join(bound, "cluster").where((F.col("a") <= F.col("most")) & (F.lit(double) * F.col("u") >= F.col("a") + F.col("least")))
-    x = x.select("rep", "cluster", "a", F.slice("shared", F.lit(1), F.greatest(F.col("u") - F.ceil((F.col("a") + F.col("least")) / double).cast("int") + 1, F.lit(0))).alias("prefix"))
+    bound = known.groupBy("cluster").agg(F.max(F.lit(double) * F.col("u") - F.col("a")).alias("most"), F.first("parts").alias("parts"))
+    x = known.where("a + least > 0").join(_for_parts(bound), place).where((F.col("a") <= F.col("most")) & (F.lit(double) * F.col("u") >= F.col("a") + F.col("least")))
+    x = x.select("rep", "cluster", "parts", "a", F.slice("shared", F.lit(1), F.greatest(F.col("u") - F.ceil((F.col("a") + F.col("least")) / double).cast("int") + 1, F.lit(0))).alias("prefix"))
     x = work.keep(x)
-    need = x.groupBy("cluster").agg(F.min("a").alias("need"))
-    y = known.join(need, "cluster").where(F.lit(double) * F.col("u") >= F.col("a") + F.col("need"))
+    need = x.groupBy("cluster").agg(F.min("a").alias("need"), F.first("parts").alias("parts"))
+    y = known.join(_for_parts(need), place).where(F.lit(double) * F.col("u") >= F.col("a") + F.col("need"))
     y = y.select("rep", "cluster", F.slice("shared", F.lit(1), F.greatest(F.col("u") - F.greatest(F.ceil((F.col("a") + F.col("need")) / double).cast("int"), F.lit(1)) + 1, F.lit(0))).alias("prefix"))
     xs = x.select(F.col("rep").alias("x"), "cluster", F.explode("prefix.s").alias("s"))
     ys = y.select(F.col("rep").alias("y"), "cluster", F.explode("prefix.s").alias("s"))
@@ -287,7 +299,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     and documents link if percent of the union of their sets is in common. NULL and empty texts and texts without
     words have an empty set and link with nothing; a row whose doc_id is NULL links with nothing and is kept. Texts of
     any length are read whole, a long one alone, in some 100 bytes of memory a byte. Of documents that link the least
-    doc_id names the component; a doc_id with several texts links by each of them. Repeated rows are one class; an
+    doc_id names the component. Rows of one doc_id are one document; where their texts differ, each has its exact copies
+    and one of them its near ones. Repeated rows are one class; an
     empty table gives an empty result; other columns are not read, whatever their names.
     """
     work = Workspace(docs.sparkSession, "neardup")
