@@ -45,7 +45,7 @@ def turn_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(known, of(F.col("turn"))).alias("call_id"),
         F.when(F.col("role") == "user", "reply").otherwise("system").alias("tool"),
         F.map_filter(F.create_map(F.lit("text"), F.col("text"), F.lit("turn"), F.col("turn").cast("string")), lambda _, v: v.isNotNull()).alias("arguments"),
-        F.when(known, of(F.col("turn") - 2)).alias("after"),
+        F.array(F.when(known, of(F.col("turn") - 2))).alias("after"),
     )
     results = turns.where(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("place"), F.when(known, of(F.col("turn") - 1)).alias("call_id"), F.col("text").alias("content"))
     return calls, results

@@ -1,9 +1,9 @@
 """Chat records with tool calls: linked by identifier, topologically ordered, validated and serialised.
 
-Only DataFrame expressions are used. Calls and results meet in a hash join on their identifier, split where one is
-skewed. A call may name one earlier call that it needs (after); the depth of a call in this forest comes from pointer
-doubling: each round every call learns the ancestor twice as far away, so a chain of n calls takes log2(n) joins, each
-written to the shared folder. Depth, then place, is a topological order. Arguments are validated against a table of
+Only DataFrame expressions are used. Calls and results meet in a shuffled hash join on their identifier, split where
+one is skewed. A call may name earlier calls that it needs (after); its depth is the longest way through them, found by
+pointer doubling along chains and in rounds over the calls that need several. Depth, then place, is a topological
+order. Arguments are validated against a table of
 schemas, and each record becomes canonical JSON: keys in alphabetical order, no white space.
 """
 
@@ -72,32 +72,48 @@ def canonical(arguments: Column, tool: Column, call_id: Column, result: Column,
 
 
 def depths(calls: DataFrame, work: Workspace) -> DataFrame:
-    """(call_id, depth): 0 for a call that needs none, else one more than the call it needs; NULL within a cycle.
+    """(call_id, depth): 0 for a call that needs none, else one more than the deepest that it needs; NULL if that is a cycle.
 
-    calls has call_id, not NULL and unique, and after; an after that names no call counts as none.
+    calls has call_id, not NULL and unique, and after, an array; what names no call doesn't count. Calls that need one
+    other are pointers: each round every call takes over the pointer of the call that it points to, so a chain of n
+    calls takes log2(n) joins, to the first call that needs none or several. Those that need several follow in rounds,
+    as many as lie behind one another: each is placed once all that it needs are.
     """
     known = calls.select(F.col("call_id").alias("up"))
-    own = calls.select("call_id", "after")
-    linked = own.join(known, own.after == known.up, "left").select("call_id", F.col("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    now = work.keep(linked)
-    left = n = now.where("up is not null").count()
+    needs = calls.select("call_id", F.explode("after").alias("up")).distinct().join(known, "up", "left_semi")
+    needs = work.keep(needs)
+    ups = needs.groupBy("call_id").agg(F.count("*").alias("n"), F.first("up").alias("up"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    start = calls.select("call_id").join(ups, "call_id", "left")
+    now = work.keep(start.select("call_id", F.when(single, F.col("up")).otherwise(F.col("call_id")).alias("at"), F.when(single, 1).otherwise(0).cast("long").alias("far"), (~single).alias("ended"), F.coalesce("n", F.lit(0)).alias("n")))
+    total, left, joints = now.agg(F.count("*"), F.count_if(~F.col("ended")), F.count_if(F.col("n") > 1)).first()
     rounds = 0
-    while left and (1 << rounds) <= 2 * n:
-        # pointers to calls without a pointer are final; the others take over the pointer of the call they point to
-        above = now.select(F.col("call_id").alias("at"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        step = now.join(above, F.col("up") == F.col("at"), "left")
-        step = step.select("call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+    while left and (1 << rounds) <= 2 * total:
+        above = now.select(F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"), F.col("ended").alias("end"))
+        step = now.join(above, "at").select("call_id", F.col("next").alias("at"), (F.col("far") + F.col("more")).alias("far"), F.col("end").alias("ended"), "n")
         new = work.keep(step)
         work.drop(now)
         now, rounds = new, rounds + 1
-        left = now.where("up is not null").count()
-    return now.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+        left = now.agg(F.count_if(~F.col("ended"))).first()[0]
+    placed = now.where("ended and at = call_id and n = 0").select(F.col("call_id").alias("at"), F.lit(0).cast("long").alias("base"))
+    if joints:
+        ends = now.where("ended").select(F.col("call_id").alias("up"), "at", (F.col("far") + 1).alias("far"))
+        joined = needs.join(now.where("n > 1").select("call_id"), "call_id", "left_semi").join(ends, "up", "left")
+        waiting, placed = work.keep(joined.select("call_id", "at", "far")), work.keep(placed)
+        while True:
+            found = waiting.join(placed, "at", "left").groupBy("call_id").agg(F.count_if(F.col("base").isNull()).alias("open"), F.max(F.col("base") + F.col("far")).alias("base"))
+            fresh = work.keep(found.where("open = 0").select(F.col("call_id").alias("at"), "base"))
+            if not fresh.limit(1).count():
+                break
+            rest = work.keep(waiting.join(fresh.select(F.col("at").alias("call_id")), "call_id", "left_anti"))
+            placed, waiting = work.keep(placed.unionByName(fresh)), rest
+    return now.join(placed, "at", "left").select("call_id", F.when(F.col("ended"), F.col("base") + F.col("far")).alias("depth"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Argument]], copies: bool = False) -> DataFrame:
     """One row per call, and per result that is no call's first.
 
-    calls: conv_id, place, call_id, tool, arguments (map<string,string>), after. results: conv_id, place, call_id,
+    calls: conv_id, place, call_id, tool, arguments (map<string,string>), after (array of call_ids). results: conv_id, place, call_id,
     content. Returns conv_id, place, call_id, depth, status, errors (joined by '; '), json:
 
     status is linked (to the first result by conv_id and place), unanswered (a call without result), orphan (a result
@@ -105,8 +121,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Argument]
     or unnamed (a call whose call_id is NULL, which links with nothing). First is by conv_id, place and content; rows
     equal to the first in all of them count as one with it, unless copies is set: then each but one is repeated. A
     call_id that several calls share is ambiguous: such calls link all the same, their depth is NULL. A result is later
-    than its call in a topological order by (depth, conv_id, place). Empty tables give what the other one has; other
-    columns are not read.
+    than its call in a topological order by (depth, conv_id, place). NULLs in after count for nothing; NULL arguments
+    are an error of the call, NULL contents a null in its JSON; texts of any length are kept whole. Empty tables give
+    what the other one has; other columns are not read, whatever their names.
     """
     work = Workspace(calls.sparkSession, "toolcalls")
     calls = calls.select("conv_id", "place", "call_id", "tool", "arguments", "after")
@@ -116,7 +133,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[Argument]
     # one result for each identifier, the first, so that a shared identifier doesn't multiply its calls by its results
     firsts = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("conv_id", "place", "content")).alias("one"), F.count("*").alias("answers"))
     answered = firsts.select(F.col("call_id").alias("result_id"), F.col("one.content").alias("content"), F.lit(True).alias("answered"))
-    joined = named.join(answered, F.col("call_id") == F.col("result_id"), "left").join(depth, "call_id", "left")
+    joined = named.join(answered.hint("shuffle_hash"), F.col("call_id") == F.col("result_id"), "left").join(depth.hint("shuffle_hash"), "call_id", "left")
     wrong = problems(F.col("arguments"), F.col("tool"), schemas)
     json = canonical(F.col("arguments"), F.col("tool"), F.col("call_id"), F.col("content"), schemas)
     errors = F.array_join(wrong, "; ")

@@ -1,9 +1,9 @@
 """URL filter: host and path rules, then a blocked Bloom filter before an exact join with a URL list.
 
-Only DataFrame expressions are used. Every distinct listed URL sets BITS bits within one 256-bit block. The filter
-has at most MAX_BLOCKS blocks (MAX_BLOCKS * 40 bytes, so broadcasting it is bounded whatever the list's length); a
-longer list only raises the share of possible hits, which the exact join then settles. Pages that the filter
-excludes never enter a shuffle.
+Only DataFrame expressions are used. Every distinct listed URL sets BITS bits within one 256-bit block, and there are
+blocks for BITS_PER_URL bits a URL, however long the list. Up to BROADCAST_BLOCKS blocks (of 40 bytes) the filter is
+broadcast, and pages that it excludes never enter a shuffle; a larger one meets the pages' canonical URLs in a join on
+the block. Possible hits are settled by an exact join.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = 6
-MAX_BLOCKS = 1 << 14
+BROADCAST_BLOCKS = 1 << 17
 BITS_PER_URL = 12
 
 
@@ -78,7 +78,7 @@ def bloom(listed: DataFrame, url: str = "url") -> tuple[DataFrame, int]:
     """The filter as rows (block, w0..w3), one per block that has a bit, and the number of blocks."""
     n = listed.count()
     blocks = 1
-    while blocks < MAX_BLOCKS and blocks * 256 < n * BITS_PER_URL:
+    while blocks * 256 < n * BITS_PER_URL:
         blocks *= 2
     masks = [F.bit_or(_mask(F.col(url), w)).alias(f"w{w}") for w in range(4)]
     return listed.groupBy(_block(F.col(url), blocks).alias("block")).agg(*masks), blocks
@@ -89,7 +89,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
 
     pages has page_id and url; listed has url. The longest rule that fits decides; else a page is blocked if its
     canonical URL is among the canonical URLs of listed, and allowed otherwise. A NULL url has an empty host and path
-    and is allowed. Repeated rows are judged one by one; an empty list blocks nothing; other columns are not read.
+    and is allowed; urls of any length are read whole; of rules of equal length the last in alphabetical order decides;
+    a NULL page_id is as good as another. Repeated rows are judged one by one; an empty list blocks nothing, an empty
+    table gives an empty result; other columns are not read, whatever their names.
     """
     known = listed.select(canonical(F.col("url")).alias("listed_url")).where("listed_url is not null").distinct()
     blocks_df, blocks = bloom(known, "listed_url")
@@ -101,13 +103,16 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
         mask = _mask(F.col("canonical_url"), w)
         probe = probe & (F.col(f"w{w}").bitwiseAND(mask) == mask)
     needed = F.col("found").isNull() & F.col("canonical_url").isNotNull()
-    probed = (
-        seen.withColumn("block", F.when(needed, _block(F.col("canonical_url"), blocks)))
-        .join(F.broadcast(blocks_df), "block", "left")
-        .withColumn("possible", F.coalesce(F.col("w0").isNotNull() & probe, F.lit(False)))
-    )
     columns = ["page_id", "host", "path", "found", "canonical_url"]
+    block = _block(F.col("canonical_url"), blocks)
+    if blocks <= BROADCAST_BLOCKS:
+        probed, ruled = seen.withColumn("block", F.when(needed, block)).join(F.broadcast(blocks_df), "block", "left"), None
+    else:  # only pages that need the filter are shuffled
+        probed, ruled = seen.where(needed).withColumn("block", block).join(blocks_df, "block", "left"), seen.where(~needed)
+    probed = probed.withColumn("possible", F.coalesce(F.col("w0").isNotNull() & probe, F.lit(False)))
     passed = probed.where(~F.col("possible")).select(*columns, F.lit(False).alias("listed"))
+    if ruled is not None:
+        passed = passed.unionByName(ruled.select(*columns, F.lit(False).alias("listed")))
     hits = probed.where("possible").select(*columns)
     exact = hits.join(known.withColumn("is_listed", F.lit(True)), F.col("canonical_url") == F.col("listed_url"), "left")
     exact = exact.select(*columns, F.coalesce("is_listed", F.lit(False)).alias("listed"))

@@ -45,7 +45,7 @@ def test_copies_ties_and_unusable_rows(spark):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 rank", "2 score", "3 v")
     want = brute([r for r in rows if r[0] not in (1500, 1600)])
     got = result(neighbours.search(table))
-    assert set(got) == set(want) == {0, 100, 200}
+    assert set(got) == set(want) == {0, 100, 200}  # 1500 is the only one of its dimension
     for q in want:
         assert [v for v, _ in got[q]] == [v for v, _ in want[q]]
 
@@ -57,8 +57,30 @@ def test_few_rows_and_far_queries(spark):
     assert neighbours.search(table.limit(0)).count() == 0
 
 
-def test_probe_order_is_complete_and_rising():
+def test_probes_are_complete_and_rising():
     x = np.array([0.1, 0.6, 0.45])
-    found = neighbours.probe_order(x, 1000)
-    score = [sum((x[f] if s < 0 else 1 - x[f]) ** 2 for f, s in moves) for moves in found]
-    assert len(found) == len(set(found)) == 27 and score == sorted(score)
+    found = neighbours.probes(x, 27)
+    score = [sum((x[f] if s < 0 else 1 - x[f]) ** 2 for f, s in enumerate(moves) if s) for moves in found]
+    assert len(found) == len({tuple(m) for m in found.tolist()}) == 27 and np.allclose(score, sorted(score)) and not found[0].any()
+    rng = np.random.default_rng(1)
+    for _ in range(20):  # of eight functions the chosen ones are nearly the best of all
+        x = rng.random(8)
+        moves = np.array(np.meshgrid(*[[-1, 0, 1]] * 8)).reshape(8, -1).T
+        best = np.sort(np.where(moves < 0, x**2, np.where(moves > 0, (1 - x) ** 2, 0)).sum(axis=1))[:30]
+        own = neighbours.probes(x, 30)
+        got = np.where(own < 0, x**2, np.where(own > 0, (1 - x) ** 2, 0)).sum(axis=1)
+        assert len(own) == 30 and (got <= best[-1] + 1e-9).sum() >= 27
+
+
+def test_dimensions_keep_apart_and_crowded_buckets_split(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 20)
+    monkeypatch.setattr(neighbours, "HUBS", 10)
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=4) * 0.01 + 1).tolist()) for i in range(500)] + [(1000 + i, rng.normal(size=6).tolist()) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = result(neighbours.search(table))
+    kept = [(r.vec_id, r.embedding) for r in table.collect()]
+    want = brute([r for r in kept if len(r[1]) == 4]) | brute([r for r in kept if len(r[1]) == 6])
+    assert set(got) == set(want) and all(len(own) == 10 for own in got.values())
+    assert sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+    assert {v for v, _ in got[1000]} == {v for v, _ in want[1000]} and all(v >= 1000 for v, _ in got[1000])

@@ -6,11 +6,16 @@ from framewright.llm.common import Workspace
 from framewright.llm.toolcalls import Argument
 
 SCHEMAS = {"find": [Argument("q", "string", True, 1, 5), Argument("n", "integer", False, 0, 9)], "stop": []}
-CALL = "conv_id long, place long, call_id string, tool string, arguments map<string,string>, after string"
+CALL = "conv_id long, place long, call_id string, tool string, arguments map<string,string>, after array<string>"
 RESULT = "conv_id long, place long, call_id string, content string"
 
 
+def listed(calls):
+    return [(*c[:-1], [c[-1]] if isinstance(c[-1], str) else c[-1]) for c in calls]
+
+
 def linked(spark, calls, results):
+    calls = listed(calls)
     return {(r.conv_id, r.place): r for r in toolcalls.link(spark.createDataFrame(calls, CALL), spark.createDataFrame(results, RESULT), SCHEMAS).collect()}
 
 
@@ -46,7 +51,7 @@ def test_depths_of_long_chains_and_trees(spark):
     up = {i: i - 1 for i in range(1, 300)} | {1000 + i: 1000 + rng.randrange(i) for i in range(1, 300)}
     calls = [(str(k), str(v)) for k, v in up.items()] + [("0", None), ("1000", "nowhere")]
     rng.shuffle(calls)
-    got = dict(toolcalls.depths(spark.createDataFrame(calls, "call_id string, after string"), Workspace(spark, "test")).collect())
+    got = dict(toolcalls.depths(spark.createDataFrame(listed(calls), "call_id string, after array<string>"), Workspace(spark, "test")).collect())
 
     def depth(i):
         n = 0
@@ -57,9 +62,22 @@ def test_depths_of_long_chains_and_trees(spark):
     assert got == {k: depth(int(k)) for k, _ in calls}
 
 
+def test_calls_that_need_several(spark):
+    rng = random.Random(2)
+    needs = {i: sorted(rng.sample(range(i), min(i, rng.choice([0, 1, 1, 1, 2, 3])))) for i in range(120)}
+    needs |= {200: [5, 200], 201: [200], 202: [203, 7], 203: [202], 204: [203, 3], 205: [9, 9, 999]}  # cycles, and what follows them
+    calls = [(str(k), [str(u) for u in v] + [None]) for k, v in needs.items()]
+    rng.shuffle(calls)
+    got = dict(toolcalls.depths(spark.createDataFrame(calls, "call_id string, after array<string>"), Workspace(spark, "test")).collect())
+    depth = {}
+    for i in range(120):
+        depth[i] = max((depth[u] + 1 for u in needs[i]), default=0)
+    assert got == {str(k): d for k, d in depth.items()} | {"200": None, "201": None, "202": None, "203": None, "204": None, "205": depth[9] + 1}
+
+
 def test_shared_identifiers_repeated_rows_and_empty_tables(spark):
     got = toolcalls.link(
-        spark.createDataFrame([(1, 0, "a", "stop", {}, None), (1, 0, "a", "stop", {}, None), (2, 0, "b", "stop", {}, "a")], CALL).selectExpr("*", "1 status", "2 depth", "3 n"),
+        spark.createDataFrame(listed([(1, 0, "a", "stop", {}, None), (1, 0, "a", "stop", {}, None), (2, 0, "b", "stop", {}, "a")]), CALL).selectExpr("*", "1 status", "2 depth", "3 n"),
         spark.createDataFrame([(1, 3, "a", "y"), (1, 1, "a", "x"), (1, 1, "a", "x")], RESULT).selectExpr("*", "1 json"),
         SCHEMAS,
     ).collect()

@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+import pytest
+
 from framewright.llm import licenses, queries, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,10 +56,13 @@ def test_url_empty_tables_and_clashing_columns(spark):
     assert [r.verdict for r in urlfilter.judge(pages, pages.select("url"), queries.URL_RULES).collect()] == ["block"]
 
 
-def test_bloom_has_no_false_negative(spark):
+@pytest.mark.parametrize("blocks", [1, 1 << 17])
+def test_bloom_has_no_false_negative(spark, monkeypatch, blocks):
+    monkeypatch.setattr(urlfilter, "BROADCAST_BLOCKS", blocks)
     listed = spark.range(3000).selectExpr("concat('http://h', id, '.org/p') url")
     pages = spark.range(6000).selectExpr("id page_id", "concat('http://h', id, '.org/p') url")
     got = urlfilter.judge(pages, listed, [])
+    assert urlfilter.bloom(listed)[1] == 256 and got.count() == 6000
     assert got.where("verdict = 'block'").count() == 3000 == got.where("verdict = 'block' and page_id < 3000").count()
 
 
