@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def exact_duplicates(df: DataFrame, key: str, content: Column) -> DataFrame:
-    """sha256, n and the ids joined by ';' in rising order, of contents that occur more than once; NULL content doesn't count."""
+    """sha256, n, first_id and id: a row for each row whose content occurs n times, more than once; NULL content doesn't count.
+
+    A group of copies may hold much of the table, so its ids stay rows; first_id, the least, stands for the group.
+    """
     hashed = df.select(F.col(key).alias("id"), F.sha2(content.cast("binary"), 256).alias("sha256")).where("sha256 is not null")
-    many = hashed.groupBy("sha256").agg(F.count("*").alias("n")).where("n > 1")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ";")
-    return hashed.join(many, "sha256").groupBy("sha256").agg(F.count("*").alias("n"), ids.alias("ids"))
+    many = hashed.groupBy("sha256").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
+    return hashed.join(many, "sha256").select("sha256", "n", "first_id", "id")
 
 
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators.ordered import with_neighbours, with_running_sums
 from framewright.schemas import SECOND, Settings
-from framewright.staging import stage
+from framewright.staging import discard, stage
 
 SIDES = ("left", "right")
 
@@ -40,7 +40,9 @@ def intervals(frames: DataFrame, settings: Settings) -> DataFrame:
     length = F.col("end_t") - F.col("start_t")
     near = stage(near.withColumn("break", breaks).drop("next", "prev"))
     out = with_running_sums(near, ["grp"], ["start_t", "start_frame"], {"segment": F.col("break"), "eff_end": length}, settings.chunk)
-    return stage(out.drop("break").withColumn("eff_start", F.col("eff_end") - length))
+    done = stage(out.drop("break").withColumn("eff_start", F.col("eff_end") - length))
+    discard(pairs, near)
+    return done
 
 
 def integrals(pieces: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators.inventory import ranks
 from framewright.operators.ordered import with_neighbours
 from framewright.schemas import SECOND, Settings
 
@@ -94,29 +95,35 @@ def checked(records: DataFrame, known: DataFrame, image: tuple[int, int] = (4416
     return records.join(ids, "frame_id", "left").withColumn("problem", problem).withColumns(counts).drop("known__")
 
 
-def page(frames: DataFrame, group: str, index: int) -> DataFrame:
+def page(frames: DataFrame, group: str, index: int, settings: Settings) -> DataFrame:
     """The frame at a place of its group by time and id, the place moved into the group's range, with place and total.
 
-    A point query of the review page: the group is read with its ids only, and one row comes back.
+    A point query of the review page: places are counted within chunks of time and the chunks before, so that the group
+    is never ordered as a whole, and one row comes back.
     """
     own = frames.where(F.col("grp") == group)
     n = own.count()
     at = max(0, min(n - 1, index))
-    head = own.orderBy("t", "frame_id").limit(at + 1).orderBy(F.desc("t"), F.desc("frame_id")).limit(1)
-    return head.withColumns({"place": F.lit(at).cast("long"), "total": F.lit(n).cast("long")})
+    here = ranks(own, settings).where(F.col("rank") == at).select("frame_id")
+    return own.join(here, "frame_id", "left_semi").withColumns({"place": F.lit(at).cast("long"), "total": F.lit(n).cast("long")})
 
 
 def splice_labels(splices: DataFrame, spans: DataFrame) -> DataFrame:
     """grp, hour, labelled: each segment's start but the first, labelled if it is far enough from the last labelled one.
 
-    Far is more than 0.035 of the span and 0.3 hours. spans: grp, hours. The fold runs over the segments of a group, in order.
+    Far is more than 0.035 of the span and 0.3 hours, so that a group has 29 labels at most. spans: grp, hours. The fold
+    runs over the segments of a group, in order, and carries the labelled hours; the other segments are then compared
+    with these few.
     """
-    starts = splices.where("segment > 1").groupBy("grp").agg(F.array_sort(F.collect_list(F.col("effective_start_s") / 3600)).alias("hours"))
-    starts = starts.join(spans.select("grp", F.greatest(F.col("hours") * 0.035, F.lit(0.3)).alias("least")), "grp")
-    empty = F.struct(F.lit(-1e20).alias("last"), F.array().cast("array<struct<hour:double,labelled:boolean>>").alias("out"))
-
-    def step(acc: Column, hour: Column) -> Column:
-        far = hour - acc["last"] > F.col("least")
-        return F.struct(F.when(far, hour).otherwise(acc["last"]).alias("last"), F.array_append(acc["out"], F.struct(hour.alias("hour"), far.alias("labelled"))).alias("out"))
-
-    return starts.select("grp", F.explode(F.aggregate("hours", empty, step)["out"]).alias("x")).select("grp", "x.hour", "x.labelled")
+    starts = splices.where("segment > 1").select("grp", (F.col("effective_start_s") / 3600).alias("hour"))
+    own = starts.groupBy("grp").agg(F.array_sort(F.collect_set("hour")).alias("hours")).join(spans.select("grp", F.greatest(F.col("hours") * 0.035, F.lit(0.3)).alias("least")), "grp")
+    empty = F.array().cast("array<double>")
+
+    def step(labels: Column, hour: Column) -> Column:
+        far = hour - F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit(-1e20)) > F.col("least")
+        return F.when(far, F.array_append(labels, hour)).otherwise(labels)
+
+    labels = own.select("grp", F.aggregate("hours", empty, step).alias("labels"))
+    first = Window.partitionBy("grp", "hour").orderBy(F.lit(1))
+    marked = starts.join(labels, "grp").withColumn("k", F.row_number().over(first))  # of equal starts one is labelled
+    return marked.select("grp", "hour", (F.array_contains("labels", F.col("hour")) & (F.col("k") == 1)).alias("labelled"))

@@ -84,17 +84,68 @@ def neighbour_flag(spark, d):
     return detections.with_neighbours(points(spark, d), 95.0, 125.0).select("frame", "id", "has_neighbour")
 
 
-@query()
+def images(spark, d):
+    """The same points, fifty to a frame, as an image holds so many at most, however many images there are."""
+    return points(spark, d).withColumn("frame", F.floor(F.col("id") / 50))
+
+
+IMAGES = POINTS.replace("label::BIGINT AS frame", "vec_id // 50 AS frame")
+
+
+@query(
+    f"""WITH RECURSIVE {IMAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS k FROM pt),
+r AS (SELECT DISTINCT frame, 0::BIGINT AS k, NULL::BIGINT AS id, []::STRUCT(a DOUBLE, b DOUBLE)[] AS taken, false AS kept FROM pt
+  UNION ALL SELECT frame, k, id, CASE WHEN free THEN list_append(taken, struct_pack(a := x, b := y)) ELSE taken END, free FROM (
+    SELECT o.frame, o.k, o.id, o.x, o.y, r.taken, len(list_filter(r.taken, lambda p: pow((o.x - p.a) / 48, 2) + pow((o.y - p.b) / 82, 2) < 1)) = 0 AS free
+    FROM r JOIN o ON o.frame = r.frame AND o.k = r.k + 1))
+SELECT frame, id, kept FROM r WHERE k > 0"""
+)
 def nms_kept(spark, d):
-    return detections.greedy(points(spark, d), 48.0, 82.0)
+    return detections.greedy(images(spark, d), 48.0, 82.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {IMAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY id) AS k FROM pt WHERE score <= 0.1),
+r AS (SELECT frame, 0::BIGINT AS k, NULL::BIGINT AS id, list(struct_pack(a := x, b := y)) FILTER (score > 0.1) AS taken, false AS added FROM pt GROUP BY frame
+  UNION ALL SELECT frame, k, id, CASE WHEN free THEN list_append(taken, struct_pack(a := x, b := y)) ELSE taken END, free FROM (
+    SELECT o.frame, o.k, o.id, o.x, o.y, r.taken, coalesce(len(list_filter(r.taken, lambda p: abs(o.x - p.a) < 65 AND abs(o.y - p.b) < 100)), 0) = 0 AS free
+    FROM r JOIN o ON o.frame = r.frame AND o.k = r.k + 1))
+SELECT frame, id FROM r WHERE added"""
+)
 def supplement_blobs(spark, d):
-    p = points(spark, d)
+    p = images(spark, d)
     return detections.supplement(p.where("score > 0.1"), p.where("score <= 0.1"))
 
 
+@query(
+    f"""WITH {LINES} SELECT frame, l_linenumber, l_partkey, l_extendedprice, CASE WHEN distance <= 50 AND y < 1180 THEN 'plant' WHEN y >= 1120 THEN 'bottom' ELSE 'other' END AS of_component,
+  CASE WHEN y >= 1200 THEN 'reflection_or_bottom' WHEN distance <= 55 AND y < 1180 THEN 'plant' WHEN y >= 1120 THEN 'bottom' ELSE 'other' END AS of_window FROM p"""
+)
+def zone_variants(spark, d):
+    zones = {n: detections.zone(F.col("distance"), F.col("y"), F.lit(1200.0), reach, r) for n, reach, r in (("of_component", 50, False), ("of_window", 55, True))}
+    return lines(spark, d).select("frame", "id.*", *[z.alias(n) for n, z in zones.items()])
+
+
+@query("SELECT l_orderkey AS frame_id, l_linenumber AS k, round(l_partkey * (4416.0::DOUBLE / (1000 + l_linenumber)), 6) AS x, round(l_suppkey * (4416.0::DOUBLE / (1000 + l_linenumber)), 6) AS y FROM lineitem")
+def rescaled_points(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.array("l_partkey", "l_suppkey")).alias("p"))
+    full = F.get(detections.rescale(F.col("p"), 1000 + F.col("l_linenumber")), F.lit(0))
+    return li.select(F.col("l_orderkey").alias("frame_id"), F.col("l_linenumber").alias("k"), F.round(F.get(full, F.lit(0)), 6).alias("x"), F.round(F.get(full, F.lit(1)), 6).alias("y"))
+
+
+@query(
+    f"""WITH {LINES} SELECT frame::VARCHAR AS frame_id, CASE WHEN frame % 2 = 0 THEN 'A' ELSE 'B' END AS "group", 'f' || frame AS source_path, l_linenumber AS detection_id, x, y, l_linenumber * 2 AS bbox_x, 3 AS bbox_y,
+  l_linenumber + 20 AS bbox_width, 40 AS bbox_height, side, zone, score, CASE WHEN suspect THEN 'suspect; returned' ELSE '' END AS review_reasons, suspect FROM d"""
+)
+def coordinates(spark, d):
+    box = F.array(F.col("id.l_linenumber") * 2, F.lit(3), F.col("id.l_linenumber") + 20, F.lit(40))
+    why = F.when(F.col("suspect"), F.array(F.lit("suspect"), F.lit("returned"))).otherwise(F.array().cast("array<string>"))
+    entry = F.struct(F.col("id.l_linenumber").alias("detection_id"), "x", "y", box.alias("bbox"), "side", "zone", "score", F.lit("gradients").alias("origin"), "suspect", why.alias("review_reasons"))
+    rows = lines(spark, d).groupBy("frame").agg(F.collect_list(entry).alias("detections"))  # an order's lines
+    rows = rows.select(F.col("frame").cast("string").alias("frame_id"), F.when(F.col("frame") % 2 == 0, "A").otherwise("B").alias("group"), F.concat(F.lit("f"), "frame").alias("source_path"), "detections")
+    return detections.coordinates(rows).drop("origin")
+
+
 @query(
     f"""WITH {POINTS} SELECT frame, id FROM pt WHERE score <= 0.1 AND abs(x) >= 10 AND NOT EXISTS (SELECT 1 FROM pt q WHERE q.frame = pt.frame AND q.score > 0.1 AND sqrt((q.x - pt.x) * (q.x - pt.x) + (q.y - pt.y) * (q.y - pt.y)) < 100)"""
 )
@@ -107,7 +158,7 @@ def top_edge(spark, d):
 # --- integrity -------------------------------------------------------------------------------------------------------
 
 
-@query("WITH h AS (SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL) SELECT sha256, count(*) AS n, string_agg(doc_id::VARCHAR, ';' ORDER BY doc_id) AS ids FROM h GROUP BY sha256 HAVING count(*) > 1")
+@query("WITH h AS (SELECT doc_id AS id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL) SELECT * FROM (SELECT sha256, count(*) OVER w AS n, min(id) OVER w AS first_id, id FROM h WINDOW w AS (PARTITION BY sha256)) WHERE n > 1")
 def exact_duplicates(spark, d):
     return integrity.exact_duplicates(table(spark, d, "documents"), "doc_id", F.col("text"))
 
@@ -223,7 +274,7 @@ def latest_review(spark, d):
 
 @query(f"WITH {FRAMES}, r AS (SELECT *, row_number() OVER (ORDER BY t, frame_id) - 1 AS place, count(*) OVER () AS total FROM frames WHERE grp = 'view') SELECT frame_id, t, place, total FROM r WHERE place = least(total - 1, 100000)")
 def page_lookup(spark, d):
-    return review.page(frames(spark, d), "view", 100000).select("frame_id", "t", "place", "total")
+    return review.page(frames(spark, d), "view", 100000, SETTINGS).select("frame_id", "t", "place", "total")
 
 
 @query(

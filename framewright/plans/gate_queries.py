@@ -66,12 +66,24 @@ def candidate_vs_primary(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-@query(f"WITH {GATED} SELECT 0::BIGINT AS published_of_failed_groups, 0::BIGINT AS never_published FROM g LIMIT 1")
+@query(
+    f"""WITH {GATED}, p AS (SELECT passed, CASE WHEN usable AND passed THEN left_count END AS l, CASE WHEN usable AND passed THEN right_count END AS r, NULL::INTEGER AS other FROM g)
+SELECT count(*) FILTER (NOT passed AND (l IS NOT NULL OR r IS NOT NULL)) AS published_of_failed_groups, count(*) FILTER (other IS NOT NULL) AS never_published FROM p"""
+)
 def published_null_contract(spark, d):
     f = gated(spark, d).withColumn("other_count", F.lit(None).cast("int"))
     return integrity.published_nulls(f, f.select("grp", F.col("passed").alias("accepted")).distinct(), ["left_count", "right_count"], ["other_count"])
 
 
+@query(
+    f"""WITH {GATED} SELECT count(*) FILTER (NOT passed AND (left_count IS NOT NULL OR right_count IS NOT NULL)) AS published_of_failed_groups, count(*) FILTER (brightness IS NOT NULL) AS never_published FROM g"""
+)
+def published_null_breaches(spark, d):
+    """The same check on counts that nobody has gated, where it must find them."""
+    f = gated(spark, d).withColumns({"left_count": F.col("auto_left_count"), "right_count": F.col("auto_right_count")})
+    return integrity.published_nulls(f, f.select("grp", F.col("passed").alias("accepted")).distinct(), ["left_count", "right_count"], ["brightness"])
+
+
 def labelled(spark, d):
     """Documents as samples: sides are the labels quality and toxic, predicted by length; unlabelled ones are unresolved."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")

@@ -45,7 +45,7 @@ def inventory_summary(spark, d):
 
 @query(f"WITH {TIED}, {STEPS} SELECT grp, interval_s AS seconds, count(*) AS n FROM steps WHERE interval_s IS NOT NULL GROUP BY ALL")
 def interval_histogram(spark, d):
-    return inventory.interval_histogram(tied_frames(spark, d), SETTINGS).select("grp", F.explode("intervals").alias("seconds", "n"))
+    return inventory.interval_histogram(tied_frames(spark, d), SETTINGS).withColumnRenamed("interval_s", "seconds")
 
 
 @query(
@@ -57,7 +57,19 @@ def systematic_sample(spark, d):
     return inventory.systematic_sample(frames(spark, d), SETTINGS)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {FRAMES}, r AS (SELECT grp, frame_id, row_number() OVER (PARTITION BY grp ORDER BY t, frame_id) - 1 AS rank, count(*) OVER (PARTITION BY grp) AS n FROM frames),
+sizes AS (SELECT DISTINCT grp, n FROM r),
+cal AS (SELECT grp, j::BIGINT AS j, round_even(j * (n - 1) / 19.0::DOUBLE, 0)::BIGINT AS rank FROM sizes, range(20) x(j)),
+pick AS (SELECT s.grp, s.n, 0::BIGINT AS j, (SELECT list(rank) FROM cal WHERE cal.grp = s.grp) AS taken, NULL::BIGINT AS rank FROM sizes s
+  UNION ALL SELECT grp, n, j + 1, list_append(taken, k), k FROM (
+    SELECT grp, n, j, taken, least(n - 1, floor((j + 0.43::DOUBLE) * n / 30)::BIGINT
+      + 7 * list_filter(range(0, 121), lambda m: len(list_filter(taken, lambda c: abs(floor((j + 0.43::DOUBLE) * n / 30)::BIGINT + 7 * m - c) <= 6)) = 0)[1]) AS k
+    FROM pick WHERE j < 30)),
+w AS (SELECT grp, 'calibration' AS split, grp || '_cal_' || lpad((j + 1)::VARCHAR, 2, '0') AS sample_id, rank FROM cal
+  UNION ALL SELECT grp, 'holdout', grp || '_val_' || lpad(j::VARCHAR, 2, '0'), rank FROM pick WHERE j > 0)
+SELECT r.grp, frame_id, split, sample_id, rank FROM r JOIN w USING (grp, rank)"""
+)
 def holdout_sample(spark, d):
     return inventory.samples(frames(spark, d), SETTINGS)
 

@@ -24,17 +24,25 @@ def to_one_csv(df: DataFrame, path: str) -> None:
 
 
 def upsert(df: DataFrame, path: str, key: str, order: str) -> None:
-    """A key-value index as Parquet: old and new records, the last of each key; old files are replaced as a whole."""
+    """A key-value index as Parquet: old and new records, the last of each key; old files are replaced as a whole.
+
+    The old files move aside before the new ones take their place, and come back if a writer was stopped in between.
+    """
     spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".old"))
     files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.exists(aside) and not files.exists(folder):
+        files.rename(aside, folder)
     everything = spark.read.parquet(path).unionByName(df) if files.exists(folder) else df
     rest = [c for c in df.columns if c not in (key, order)]
     last = everything.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("r")).select(key, "r.*")
     fresh = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
     last.write.mode("overwrite").parquet(path + ".new")
-    files.delete(folder, True)
+    files.delete(aside, True)
+    if files.exists(folder):
+        files.rename(folder, aside)
     files.rename(fresh, folder)
+    files.delete(aside, True)
 
 
 def append_records(df: DataFrame, path: str) -> None:
