@@ -16,6 +16,7 @@ from framewright.operators.review import KINDS
 from framewright.sources.readers import lookup
 
 LARGEST = 1_000_000
+LISTED = 1_000_000
 BOXES = 1000
 
 
@@ -43,7 +44,10 @@ def problem(record: dict, known: set[str], image: tuple[int, int] = (4416, 2488)
 
 
 def serve(spark: SparkSession, workspace: str, port: int, forever: bool = True) -> ThreadingHTTPServer:
-    """Serves on the local machine only. The listing (ids, groups, paths) is held in memory, one study's worth."""
+    """Serves on the local machine only. The listing (ids, groups, paths) is held in memory, LISTED images at most."""
+    n = spark.read.parquet(f"{workspace}/data/inventory").count()
+    if n > LISTED:
+        raise ValueError(f"{n} images are more than a reviewer's {LISTED}; review a study of a part of them")
     rows = [r.asDict() for r in spark.read.parquet(f"{workspace}/data/inventory").select("frame_id", "grp", "source_path", "source_sha256", F.col("t")).orderBy("grp", "t", "frame_id").collect()]
     by_id = {r["frame_id"]: r for r in rows}
     groups: dict[str, list[dict]] = {}

@@ -28,7 +28,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.operators import gates, integrity, inventory, occupancy, review
+from framewright.operators import gates, integrity, inventory, occupancy, review, validation
 from framewright.schemas import CHECKPOINT, SECOND, Settings
 from framewright.sources import readers, writers
 
@@ -249,8 +249,18 @@ def integrity_of_bins(tables: dict[str, DataFrame]) -> bool:
     return not occupancy.conservation(tables["bins"], tables["totals"]).where("not conserved").limit(1).count()
 
 
+def validated(spark: SparkSession, frames: DataFrame, workspace: str, settings: Settings) -> DataFrame | None:
+    """Metrics by group and side of data/reference.csv (sample_id, left_count, right_count), if there is one."""
+    if not (Path(workspace) / "data/reference.csv").exists():
+        return None
+    reference = readers.csv_table(spark, f"{workspace}/data/reference.csv", "sample_id string, left_count int, right_count int")
+    held = spark.read.parquet(f"{workspace}/data/samples").where("split = 'holdout'").join(frames.select("frame_id", "auto_left_count", "auto_right_count"), "frame_id")
+    return validation.metrics(validation.long_form(held.select("grp", "sample_id", "auto_left_count", "auto_right_count"), reference, "v1"), settings, "v1")
+
+
 def export(spark: SparkSession, workspace: str, accepted: list[str], settings: Settings | None = None) -> Path:
-    """Gated frames, coordinates, duplicates, priorities and both sets of statistics of a workspace whose records are complete."""
+    """Gated frames, coordinates, duplicates, priorities, both sets of statistics, sheets and the report of a workspace whose
+    records are complete. What the frames' sheet holds is read back and compared."""
     from framewright.operators.detections import coordinates, within
 
     settings = settings or Settings()
@@ -271,12 +281,27 @@ def export(spark: SparkSession, workspace: str, accepted: list[str], settings: S
         raise ValueError(f"a detection of {bad[0].frame_id} lies outside its image")
     writers.to_csv(points, f"{workspace}/data/coordinates", gzip=True)
     writers.write_json(audit(frames, points), f"{workspace}/qa/audit.json")
-    writers.to_csv(integrity.exact_duplicates(frames, "frame_id", F.col("source_sha256")), f"{workspace}/data/duplicates")
-    writers.to_csv(review.priority(frames, settings), f"{workspace}/data/priority")
+    copies, first = integrity.exact_duplicates(frames, "frame_id", F.col("source_sha256")), review.priority(frames, settings)
+    writers.to_csv(copies, f"{workspace}/data/duplicates")
+    writers.to_csv(first, f"{workspace}/data/priority")
     primary = statistics(frames.withColumn("valid", F.col("valid_primary")), settings)
     save_statistics(primary, f"{workspace}/data/primary", "accepted groups only")
     candidate = gates.candidate_view(frames, counts).withColumn("valid", F.col("valid_primary"))
-    save_statistics(statistics(candidate, settings), f"{workspace}/data/candidate", "automatic candidate, to be reviewed")
+    others = statistics(candidate, settings)
+    save_statistics(others, f"{workspace}/data/candidate", "automatic candidate, to be reviewed")
+    plain = frames.select("frame_id", "grp", "t", "auto_left_count", "auto_right_count", "left_count", "right_count", "primary_missing_reason")
+    listed = spark.read.parquet(f"{workspace}/data/inventory")
+    checks = validated(spark, frames, workspace, settings)
+    own = {"frames": plain, "inventory": listed.select("frame_id", "grp", "relative_path", "t", "width", "height", "metadata_error"), "samples": spark.read.parquet(f"{workspace}/data/samples"), "duplicates": copies, "priority": first}
+    own |= {"validation": checks} if checks is not None else {}
+    for name, df in writers.delivery_sheets(primary, others, own).items():
+        writers.to_csv(df, f"{workspace}/data/sheets/{name.replace(' ', '_')}")
+    if writers.sheet_differences(f"{workspace}/data/sheets/frames", plain, ["frame_id"]).limit(1).count():
+        raise ValueError("the sheet of frames, read back, differs from the frames")
+    rows = lambda df, *by: [r.asDict() for r in df.orderBy(*by).collect()] if df is not None else []  # noqa: E731  a row a group, or a group and side
+    text = writers.delivery_report(rows(inventory.summary(listed.select("grp", "frame_id", "t"), settings), "grp"), rows(checks, "grp", "side"), rows(primary["totals"], "grp"), accepted)
+    for name, body in {"report.md": text, "read_first.md": writers.READ_FIRST, "reproduce.md": writers.REPRODUCE}.items():
+        (Path(workspace) / name).write_text(body, encoding="utf-8")
     writers.to_one_csv(writers.manifest(spark, workspace), f"{workspace}/manifest.csv")
     return Path(workspace)
 

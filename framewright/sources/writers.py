@@ -8,6 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.operators.integrity import table_differences
+
+ONE_CSV_ROWS = 100_000
 # File endings that a delivery manifest lists.
 DELIVERED = ("csv", "gz", "json", "jsonl", "md", "parquet", "pdf", "png", "svg", "xlsx")
 
@@ -18,9 +21,12 @@ def to_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
 
 
 def to_one_csv(df: DataFrame, path: str) -> None:
-    """A small report table as one UTF-8 CSV with a byte order mark, for spreadsheets; the caller vouches for its size."""
+    """A small report table as one UTF-8 CSV with a byte order mark, for spreadsheets; more than ONE_CSV_ROWS are an error."""
+    rows = df.limit(ONE_CSV_ROWS + 1).toPandas()
+    if len(rows) > ONE_CSV_ROWS:
+        raise ValueError(f"{path} would have more than {ONE_CSV_ROWS} rows; write it with to_csv")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    df.toPandas().to_csv(path, index=False, encoding="utf-8-sig")
+    rows.to_csv(path, index=False, encoding="utf-8-sig")
 
 
 def upsert(df: DataFrame, path: str, key: str, order: str) -> None:
@@ -73,6 +79,15 @@ def labelled(df: DataFrame, names: dict[str, str], values: dict[str, dict[str, s
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
 
 
+def delivery_sheets(primary: dict[str, DataFrame], candidate: dict[str, DataFrame], others: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The sheets of a delivery's workbook, one table each: both sets of statistics, the others, and the fields of all."""
+    out = dict(others)
+    for status, own in (("primary", primary), ("candidate", candidate)):
+        out |= {f"{status} {name}": df for name, df in sheets(own["bins"], own["splices"], own["totals"], own["gaps"]).items()}
+    some = next(iter(out.values()))
+    return out | {"fields": some.sparkSession.createDataFrame(fields(out), "sheet string, field string, kind string")}
+
+
 def sheets(bins: DataFrame, splices: DataFrame, totals: DataFrame, gaps: DataFrame) -> dict[str, DataFrame]:
     """The sheets of a statistics workbook, one table each: bins by step and axis, splices, gaps and totals."""
     out = {"totals": totals, "splices": splices, "gaps": gaps}
@@ -100,6 +115,60 @@ def heatmap(bins: DataFrame) -> DataFrame:
     return own.select("grp", "start_hour", "end_hour", F.explode(cells).alias("c")).select("grp", "start_hour", "end_hour", "c.*")
 
 
+def fields(tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
+    """(table, column, kind) of every column: the dictionary of a delivery."""
+    return [(name, c, kind) for name, df in tables.items() for c, kind in df.dtypes]
+
+
+def sheet_differences(written: str, df: DataFrame, keys: list[str]) -> DataFrame:
+    """What a sheet, read back from its CSV, has other than the table that it shows; missing values must stay missing."""
+    again = df.sparkSession.read.schema(df.schema).option("header", "true").option("enforceSchema", "true").option("nullValue", "").csv(written)
+    return table_differences(again, df, keys)
+
+
+def markdown(rows: list[dict], columns: dict[str, str]) -> str:
+    """A Markdown table of a few rows; columns maps names to formats."""
+    show = lambda v, pattern: "-" if v is None else format(v, pattern)
+    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join([*lines, *["| " + " | ".join(show(r[c], f) for c, f in columns.items()) + " |" for r in rows]])
+
+
+def delivery_report(summary: list[dict], metrics: list[dict], totals: list[dict], accepted: list[str]) -> str:
+    """The report of a delivery: scope, validation, rules of time, totals and files."""
+    scope = {"grp": "", "n": ",", "elapsed_hours": ".3f", "potentially_observed_hours": ".3f", "timestamp_duplicates": ",", "metadata_errors": ","}
+    checks = {"grp": "", "side": "", "usable_reference_sides": ",", "mae": ".2f", "within_two_fraction": ".1%"}
+    sums = {"grp": "", "n_images": ",", "effective_hours": ".2f", "left_mean": ".3f", "right_mean": ".3f", "left_share": ".1%"}
+    return "\n\n".join(
+        [
+            "# Occupancy report",
+            f"Accepted groups: {', '.join(accepted) or 'none'}. Counts of all others are published as candidates only, and their primary counts are missing, not 0.",
+            "## Scope", markdown(summary, scope),
+            "## Validation", markdown(metrics, checks) if metrics else "No reference counts were given, so nothing is validated.",
+            "## Time", "Only steps between two adjacent usable images that are positive and short enough are integrated, by trapezoids. Gaps have no value and no integral crosses them.",
+            "## Totals of accepted groups", markdown(totals, sums),
+            "## Files", "`data/frames`: a row an image. `data/coordinates`: a row a detection. `data/primary`, `data/candidate`: statistics of accepted groups and of all. `data/sheets`: the tables of a workbook. `manifest.csv`: size and hash of every file.",
+        ]
+    ) + "\n"
+
+
+READ_FIRST = """# Read first
+
+Groups that haven't passed validation have candidates only: look at `data/candidate` for where counts change and what to
+review, and don't draw conclusions from it. A count that is missing is unknown; it is never 0 and never copied from
+another image. `report.md` says which groups were accepted. Original images are never changed.
+"""
+REPRODUCE = """# To reproduce
+
+    python -m framewright.plans.workflow run --workspace DIR --scenes SCENES.npz
+    python -m framewright.plans.workflow verify --workspace DIR
+    python -m framewright.plans.workflow export --workspace DIR --accepted A,B
+
+`run` counts what has no record yet and may be stopped at any time. All commands check the recorded hashes of the
+detector's files; other files are another detector and need a new workspace and a new validation. Statistics of stored
+counts alone: `replot --frames TABLE --output DIR`.
+"""
+
+
 def report(totals: list[dict]) -> str:
     """A Markdown report of the totals, a few rows."""
     lines = ["# Occupancy report", "", "| group | images | hours | left mean | right mean | left share |", "|---|---:|---:|---:|---:|---:|"]

@@ -125,6 +125,10 @@ def test_prepare_run_verify_export(spark, tmp_path):
     frames = {r.frame_id: r for r in spark.read.parquet(f"{out}/data/frames").collect()}
     assert frames["A/9.png"].left_count is None and frames["A/9.png"].primary_missing_reason == "image not usable"
     assert (out / "data/primary/report.md").exists() and (out / "manifest.csv").exists()
+    sheets = {p.name for p in (out / "data/sheets").iterdir()}
+    assert len(sheets) == 20 and {"frames", "inventory", "samples", "primary_totals", "candidate_gaps", "fields"} <= sheets
+    report = (out / "report.md").read_text()
+    assert "Accepted groups: A." in report and "| A | 4 |" in report and "No reference counts" in report and (out / "reproduce.md").exists() and (out / "read_first.md").exists()
     audit = json.loads((out / "qa/audit.json").read_text())
     assert audit["images"] == 4 and audit["groups"] == {"A": 4} and audit["coordinates"] == sum(r.auto_left_count + r.auto_right_count for k, r in got.items() if k != "A/9.png")
     (tmp_path / "scenes.npz").write_bytes(b"other")
