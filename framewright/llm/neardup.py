@@ -161,12 +161,12 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part in tk.pieces(batch, "text"):
                 row, own = shingles(*tk.raw(part.column("text")), size)
-                columns = {c: part.column(c) for c in ("rep", "cluster", "part", "parts", "n", "registers")}
+                columns = {c: part.column(c) for c in ("rep", "cluster", "part", "parts", "registers")}
                 own = own.view(np.int64)
-                order = np.lexsort((own, row))
-                yield pa.RecordBatch.from_pydict(columns | {"own": _lists(own[order], np.bincount(row, minlength=part.num_rows), pa.int64())})
+                order, sizes = np.lexsort((own, row)), np.bincount(row, minlength=part.num_rows)
+                yield pa.RecordBatch.from_pydict(columns | {"n": pa.array(sizes, pa.int64()), "own": _lists(own[order], sizes, pa.int64())})
 
-    return texts.select("rep", "cluster", "part", "parts", "n", "registers", "text").mapInArrow(run, "rep long, cluster long, part int, parts int, n long, registers binary, own array<long>")
+    return texts.select("rep", "cluster", "part", "parts", "registers", "text").mapInArrow(run, "rep long, cluster long, part int, parts int, registers binary, n long, own array<long>")
 
 
 def _differences(sets: DataFrame, common: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def links(docs: DataFrame, reps: DataFrame, work: Workspace, size: int, percent:
     number = hung.count()
     members = matched(hung.select("rep", "top", "central"), named, "top", F.col("own") > number / HUBS)
     members = work.keep(members.select("rep", "cluster", "central", "members", "parts", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("part")))
-    texts = docs.select("doc_id", "text").join(members.join(reps.select("rep", "n", "registers"), "rep"), F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
+    texts = docs.select("doc_id", "text").join(members.join(reps.select("rep", "registers"), "rep"), F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
     sets = work.keep(_sets(texts, size))
     pivots = members.groupBy("cluster").agg(F.max_by("rep", F.struct("central", (-F.col("rep")).alias("r"))).alias("pivot"), F.first("members").alias("members"), F.first("parts").alias("parts"))
     common = pivots.join(sets.select(F.col("rep").alias("pivot"), F.col("own").alias("common")), "pivot").select("cluster", "members", "parts", "common")

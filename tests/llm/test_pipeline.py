@@ -34,3 +34,26 @@ def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
     assert neardup.BANDS * neardup.ROWS <= neardup.REGISTERS
+
+
+def test_odd_rows_and_clashing_columns_pass_every_stage(spark, sf):
+    names = ["text__", "n_tokens", "p0__", "posterior_0", "copy", "copy__", "rep", "score", "quality", "kept", "same_text", "length", "part"]
+    some = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").collect()
+    long = " ".join(f"word{i}" for i in range(60_000)) + " " * 30_000 + "end"
+    rows = [tuple(r) for r in some] + [(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, long, "en", "s", len(long)), (None, "without an id this text of more than ten words stays as it is", "en", None, 1)]
+    rows += rows[:2]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], kind)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == columns, name
+        kept = [tuple(r) for r in out.collect()]
+        assert set(kept) <= set(map(tuple, docs.collect())) and {10**6 + 2, None} <= {r[0] for r in kept}, name
+        docs = spark.createDataFrame(kept, kind)
+    pieces = corpus_pipeline.packed(spark, docs, sf).collect()
+    assert {r.doc_id for r in pieces} == {r[0] for r in kept} and sum(r.piece == 0 for r in pieces) == len(kept)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, sf)
+        assert out.count() == 0 and (name == "packing" or out.columns == columns), name
