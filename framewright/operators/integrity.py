@@ -54,6 +54,16 @@ def mismatches(rows: DataFrame, reference: DataFrame, key: str, blocking: list[s
     return out.select(key, "x.*")
 
 
+def agreement(sample: DataFrame, full: DataFrame, key: str, compared: list[str]) -> DataFrame:
+    """One row: of the sample's records, how many the full log holds, agrees with in all compared columns (NULLs being equal), or lacks."""
+    other = full.select(key, *[F.col(c).alias(f"{c}_in_full") for c in compared], F.lit(True).alias("held"))
+    joined = sample.select(key, *compared).join(other, key, "left")
+    same = F.lit(True)
+    for c in compared:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_in_full"))
+    return joined.agg(F.count_if("held").alias("compared"), F.count_if(F.col("held") & same).alias("matched"), F.count_if(F.col("held").isNull()).alias("missing"))
+
+
 def not_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, and how often: empty if the keys are unique."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

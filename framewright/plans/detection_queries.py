@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framewright.operators import detections, integrity, occupancy, review
 from framewright.plans.bindings import FRAMES, INTERVALS, SETTINGS, TIED, frames, rounded, table, tied_frames
 from framewright.plans.registry import registry
+from framewright.sources import readers, writers
 
 QUERIES, SQL, query = registry()
 
@@ -169,6 +170,27 @@ def resume_anti(spark, d):
     return integrity.remaining(table(spark, d, "orders"), done, "o_orderkey").select("o_orderkey", "o_custkey")
 
 
+@query(
+    """SELECT count(*) FILTER (d.doc_id IS NOT NULL) AS compared, count(*) FILTER (l.quality = d.n_chars % 2 AND l.toxic = d.n_chars // 1000 % 2) AS matched, count(*) FILTER (d.doc_id IS NULL) AS missing
+FROM labels l LEFT JOIN documents d USING (doc_id)"""
+)
+def sample_agreement(spark, d):
+    full = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).alias("quality"), (F.floor(F.col("n_chars") / 1000) % 2).alias("toxic"))
+    return integrity.agreement(table(spark, d, "labels"), full, "doc_id", ["quality", "toxic"])
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY ts, event_id LIMIT 100")
+def first_rows(spark, d):
+    """The first hundred events: the limit is what the operator does."""
+    return readers.first_rows(table(spark, d, "events"), 100, "ts", "event_id").select("event_id", "event_type")
+
+
+@query("SELECT p_partkey::VARCHAR AS number, CASE WHEN p_size = 1 THEN 'one' WHEN p_size = 2 THEN 'two' ELSE p_size::VARCHAR END AS size, p_brand AS brand FROM part")
+def labelled_table(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("p_size"), "p_brand")
+    return writers.labelled(parts, {"p_partkey": "number", "p_size": "size", "p_brand": "brand", "p_none": "none"}, {"p_size": {"1": "one", "2": "two"}}, ("p_partkey",))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def sample_semi(spark, d):
     return integrity.sampled(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id", "lang")

@@ -62,7 +62,9 @@ def candidate_vs_primary(spark, d):
     f = gated(spark, d)
     primary = f.withColumn("valid", F.col("valid_primary"))
     candidate = gates.candidate_view(f, COUNTS, "usable").withColumn("valid", F.col("valid_primary"))
-    parts = [rounded(occupancy.overall(x, occupancy.intervals(x, GATES))).withColumn("status", F.lit(s)) for s, x in (("primary", primary), ("candidate", candidate))]
+    iv = occupancy.intervals(candidate, GATES)  # those of the groups that passed are the primary ones, too
+    passed = iv.join(f.where("passed").select("grp").distinct(), "grp", "left_semi")
+    parts = [rounded(occupancy.overall(x, own)).withColumn("status", F.lit(s)) for s, x, own in (("primary", primary, passed), ("candidate", candidate, iv))]
     return parts[0].unionByName(parts[1])
 
 

@@ -205,9 +205,9 @@ def verify(spark: SparkSession, workspace: str, baseline: DataFrame | None = Non
     return result
 
 
-def statistics(frames: DataFrame, settings: Settings, steps: tuple[int, ...] = (300, 3600)) -> dict[str, DataFrame]:
-    """bins, splices, totals, gaps and segment bins of frames with grp, frame_id, t, left_count, right_count, valid."""
-    iv = occupancy.intervals(frames, settings)
+def statistics(frames: DataFrame, settings: Settings, steps: tuple[int, ...] = (300, 3600), iv: DataFrame | None = None) -> dict[str, DataFrame]:
+    """bins, splices, totals, gaps and segment bins of frames with grp, frame_id, t, left_count, right_count, valid, and perhaps their intervals."""
+    iv = occupancy.intervals(frames, settings) if iv is None else iv
     return {
         "bins": occupancy.rebin(iv, frames, list(steps)),
         "splices": occupancy.splice_map(iv, frames),
@@ -284,10 +284,11 @@ def export(spark: SparkSession, workspace: str, accepted: list[str], settings: S
     copies, first = integrity.exact_duplicates(frames, "frame_id", F.col("source_sha256")), review.priority(frames, settings)
     writers.to_csv(copies, f"{workspace}/data/duplicates")
     writers.to_csv(first, f"{workspace}/data/priority")
-    primary = statistics(frames.withColumn("valid", F.col("valid_primary")), settings)
-    save_statistics(primary, f"{workspace}/data/primary", "accepted groups only")
     candidate = gates.candidate_view(frames, counts).withColumn("valid", F.col("valid_primary"))
-    others = statistics(candidate, settings)
+    iv = occupancy.intervals(candidate, settings)  # those of accepted groups are the primary ones, too
+    primary = statistics(frames.withColumn("valid", F.col("valid_primary")), settings, iv=iv.where(F.col("grp").isin(*accepted) if accepted else F.lit(False)))
+    save_statistics(primary, f"{workspace}/data/primary", "accepted groups only")
+    others = statistics(candidate, settings, iv=iv)
     save_statistics(others, f"{workspace}/data/candidate", "automatic candidate, to be reviewed")
     plain = frames.select("frame_id", "grp", "t", "auto_left_count", "auto_right_count", "left_count", "right_count", "primary_missing_reason")
     listed = spark.read.parquet(f"{workspace}/data/inventory")
