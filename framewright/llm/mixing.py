@@ -4,7 +4,8 @@ A classifier fitted on the labelled rows (a bounded sample of each domain) gives
 domains. Rates r >= 0 of the documents are fitted so that the expected tokens of the domains, the sums of rate times
 tokens times posterior, match the targets: projected-gradient least squares, started at rate 1, whose every step is one
 aggregation over all documents to as many numbers as there are domains. Steps are scaled by the documents' tokens, so a
-rate depends on the posteriors alone, and by the domains' Gram matrix, so few steps are needed. Posteriors are kept in
+rate depends on the posteriors alone, and squares are weighted by the inverse of the domains' Gram matrix, so that
+overlapping domains are told apart at once: one step meets targets that need no rate at its bound. Posteriors are kept in
 the shared folder; texts are read once. Tokens are the greedy pieces of a public vocabulary, counted by the automaton
 of wordpiece.
 """
@@ -114,20 +115,18 @@ def fit_rates(m: Membership, targets: list[float], least: float = 0.0) -> tuple[
     gram = np.zeros((k, k))
     for (i, j), g in zip(pairs, found, strict=True):
         gram[i, j] = gram[j, i] = g
-    weight = 1 / np.maximum(np.diag(gram), 1e-9 * total)  # domains count alike, whatever their size
-    root = np.sqrt(weight)
-    step = 1 / np.linalg.eigvalsh(root[:, None] * gram * root)[-1]
+    weight = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)  # of the squares: a step of length one can't overshoot
     moves, before = [], float("inf")
     while True:
         now = m.table.select(*[c.alias(f"p{i}") for i, c in enumerate(p)], (tokens * rate).alias("t"))
         sums = now.agg(*[F.sum(F.col("t") * F.col(f"p{i}")) for i in range(k)]).first()
         gap = np.array(sums, float) - share * total
         gaps.append(float(np.abs(gap).sum() / total))
-        square = float((weight * gap * gap).sum())
+        square = float(gap @ weight @ gap)
         if gaps[-1] < TOLERANCE or square > (1 - STAGNATION) * before:
             break
         before = square
-        moves.append(F.array(*[F.lit(float(x)) for x in step * weight * gap]))
+        moves.append(F.array(*[F.lit(float(x)) for x in weight @ gap]))
         # a loop within the expression, as nested ones would be too deep after many steps
         rate = F.aggregate(F.array(*moves), F.lit(1.0), lambda r, x: F.greatest(F.lit(least), r - sum((x[i] * c for i, c in enumerate(p)), F.lit(0.0))))
     return rate, gaps

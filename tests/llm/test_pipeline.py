@@ -1,3 +1,5 @@
+import public_tokenizers
+
 import corpus_pipeline
 from framewright.llm import mixing, neardup, quality, toxicity
 from tests.llm.test_neardup import brute
@@ -25,7 +27,7 @@ def test_stages_follow_their_operators(spark, sf):
     assert [x for x in rows(three) if x[0] is not None] == [x for x in rows(two) if x[0] in stay]
     four = corpus_pipeline.target_mix(spark, three, sf)
     assert four.columns == docs.columns and set(rows(four)) == set(rows(three))
-    assert rows(four) == rows(mixing.mixed(three, labels, corpus_pipeline.TARGETS))
+    assert rows(four) == rows(mixing.mixed(three, labels, corpus_pipeline.TARGETS, public_tokenizers.path("byte_bpe_50k.json")))
     five = corpus_pipeline.packed(spark, four, sf)
     assert sorted(r.doc_id or 0 for r in five.where("start + length > 0 and piece = 0").collect()) == sorted(r.doc_id or 0 for r in four.collect())
 
