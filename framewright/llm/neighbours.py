@@ -33,7 +33,7 @@ from framewright.llm.common import Workspace
 from framewright.llm.components import HUBS
 
 TABLES, FUNCTIONS, WIDTH, PROBES = 4, 8, 3.0, 30
-PART, HELD, BLOCK = 512, 1 << 20, 1000
+PART, HELD, BLOCK = 128, 1 << 20, 1000
 
 
 class Hashing:
