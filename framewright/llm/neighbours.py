@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import Workspace
 from framewright.llm.components import HUBS
 
-TABLES, FUNCTIONS, WIDTH, PROBES = 4, 8, 3.0, 30
+TABLES, FUNCTIONS, WIDTH, PROBES = 4, 8, 3.0, 50
 PART, HELD, BLOCK = 128, 1 << 20, 1000
 
 
