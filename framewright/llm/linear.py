@@ -72,16 +72,17 @@ def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bits: int
     return total
 
 
-def features(texts: list[str], bits: int, sizes: tuple = SIZES) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Per n-gram size: (row, bucket, frequency) of the distinct n-grams of each text."""
-    data, offsets = tk.raw(pa.array(texts, pa.string()))
-    out = []
-    for bucket, row in ngrams(data, offsets, bits, sizes):
-        key, count = np.unique(row.astype(np.int64) << bits | bucket, return_counts=True)
-        r = key >> bits
-        size = np.maximum(np.bincount(r, weights=count, minlength=len(texts)), 1)
-        out.append((r.astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32), (count / size[r]).astype(np.float32)))
-    return out
+def features(texts: list[str], bits: int, sizes: tuple = SIZES, step: int = 100) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Per n-gram size: (row, bucket, frequency) of the distinct n-grams of each text; step texts are cut at a time."""
+    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(len(sizes[0]) + len(sizes[1]))]
+    for lo in range(0, max(len(texts), 1), step):
+        part = texts[lo : lo + step]
+        for own, (bucket, row) in zip(found, ngrams(*tk.raw(pa.array(part, pa.string())), bits, sizes), strict=True):
+            key, count = np.unique(row.astype(np.int64) << bits | bucket, return_counts=True)
+            r = key >> bits
+            size = np.maximum(np.bincount(r, weights=count, minlength=len(part)), 1)
+            own.append(((r + lo).astype(np.int32), (key & ((1 << bits) - 1)).astype(np.int32), (count / size[r]).astype(np.float32)))
+    return [tuple(np.concatenate(x) for x in zip(*own, strict=True)) for own in found]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
