@@ -30,6 +30,8 @@ LOG = logging.getLogger(__name__)
 BITS, SIZES = 14, ((3,), ())
 SAMPLE_ROWS = 500  # labelled rows per domain at most
 TOLERANCE, STAGNATION = 1e-4, 1e-3  # share of tokens off target; least fall of the squared gaps in a step
+ROUNDING = 1e-9  # share of the first squared gap below which a fall is no fall
+ROUNDS = 200  # steps at most: a fall by STAGNATION each would have met any target long before
 
 
 @dataclass
@@ -56,16 +58,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], column: st
 
     At most SAMPLE_ROWS documents a domain, of at most linear.SAMPLE_BYTES, in the order of a hash of doc_id.
     """
-    domain = F.col(column).alias("domain")
-    keys = docs.select("doc_id", domain).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")  # reads no texts
-    ids = None
-    for name in names:
-        part = keys.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-        ids = part if ids is None else ids.unionByName(part)
-    texts = docs.select("doc_id", domain, "text").where(F.octet_length("text") <= linear.SAMPLE_BYTES)
-    found = texts.join(F.broadcast(ids), ["doc_id", "domain"]).collect()  # at most SAMPLE_ROWS ids a domain
-    sample = [(r.doc_id, r.domain, r.text) for r in found]
-    sample = sorted(set(sample))
+    sample = linear.domain_sample(docs, labels, names, column, SAMPLE_ROWS)
     if not sample:
         return Domains(names, np.zeros((1, 1 << BITS, len(names))), np.zeros(len(names)))
     y = np.array([names.index(d) for _, d, _ in sample])
@@ -101,7 +94,8 @@ def fit_rates(m: Membership, targets: list[float], least: float = 0.0) -> tuple[
     """The rate as an expression over the posteriors, and the share of tokens that is off target before each step.
 
     Of the tokens, targets (normalised) is the share that each domain gets. No rate falls below least. Steps end within
-    TOLERANCE, or when they no longer help; the last share is the rate's own.
+    TOLERANCE, or when they no longer help (the squares fall by too little, are 0 or aren't numbers), or after ROUNDS;
+    the last share is the rate's own. Posteriors that aren't numbers leave the rate at 1 and the share NaN.
     """
     k = len(targets)
     p, tokens = [F.col(c) for c in m.posteriors], F.col(m.tokens)
@@ -115,15 +109,19 @@ def fit_rates(m: Membership, targets: list[float], least: float = 0.0) -> tuple[
     gram = np.zeros((k, k))
     for (i, j), g in zip(pairs, found, strict=True):
         gram[i, j] = gram[j, i] = g
+    if not np.isfinite(gram).all():
+        return rate, [float("nan")]
     weight = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)  # of the squares: a step of length one can't overshoot
-    moves, before = [], float("inf")
+    moves, first, before = [], 0.0, float("inf")
     while True:
         now = m.table.select(*[c.alias(f"p{i}") for i, c in enumerate(p)], (tokens * rate).alias("t"))
         sums = now.agg(*[F.sum(F.col("t") * F.col(f"p{i}")) for i in range(k)]).first()
         gap = np.array(sums, float) - share * total
         gaps.append(float(np.abs(gap).sum() / total))
-        square = float(gap @ weight @ gap)
-        if gaps[-1] < TOLERANCE or square > (1 - STAGNATION) * before:
+        square = max(float(gap @ weight @ gap), 0.0)  # rounding makes it negative where the Gram matrix is singular
+        first = first if moves else square
+        falls = before - square > max(STAGNATION * min(before, square), ROUNDING * first)  # False where anything is NaN
+        if gaps[-1] < TOLERANCE or not square > 0 or not falls or len(moves) >= ROUNDS:
             break
         before = square
         moves.append(F.array(*[F.lit(float(x)) for x in weight @ gap]))

@@ -2,6 +2,7 @@ import logging
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from framewright.llm import mixing, wordpiece
@@ -111,3 +112,12 @@ def test_targets_out_of_reach_are_reported(spark, caplog):
     with caplog.at_level(logging.WARNING):
         out = mixing.mixed(german, labels, {"de": 0.01, "en": 0.99}, PATH)
     assert "off target" in caplog.text and out.select("doc_id").distinct().count() == german.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("tokens", [1, 2, 3, 7, 13, 50])
+def test_rates_end_where_posteriors_leave_no_choice(spark, tokens):
+    kinds = {"equal": [[0.25] * 4], "collinear": [[0.7, 0.1, 0.1, 0.1]] * 3, "two": [[0.5, 0.5, 0.0, 0.0], [0.0, 0.0, 0.5, 0.5]], "nan": [[float("nan")] * 4, [0.25] * 4]}
+    for name, posteriors in kinds.items():
+        table = spark.createDataFrame([(tokens, *p) for p in posteriors], "t long, a double, b double, c double, d double")
+        _, gaps = mixing.fit_rates(mixing.Membership(table, "t", ["a", "b", "c", "d"]), [0.4, 0.3, 0.2, 0.1])
+        assert 1 <= len(gaps) <= 5, (name, gaps)
