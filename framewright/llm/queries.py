@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import licenses, mixing, neardup, neighbours, packing, quality, toolcalls, toxicity, urlfilter, wordpiece
+from framewright.llm import filteraudit, licenses, mixing, neardup, neighbours, packing, quality, secretscan, toolcalls, toxicity, turnrepair, urlfilter, wordpiece
 
 # The rules of the URL query.
 URL_RULES = [
@@ -120,6 +120,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the five filters removes in every order, by source, over all documents."""
+    return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: the fixed patterns' and the models'."""
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.scan(docs, secretscan.model_for(docs))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after the damage of the query."""
+    return turnrepair.repair(turnrepair.damaged(table(spark, sf_dir, "conversations")))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE calls AS (
   SELECT conv_id, turn AS place, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id, conv_id::VARCHAR || ':' || (turn - 2)::VARCHAR AS after,
@@ -166,11 +182,46 @@ SELECT c.page_id, c.host, c.path, b.rule,
 FROM c LEFT JOIN best b ON c.page_id IS NOT DISTINCT FROM b.page_id AND c.url IS NOT DISTINCT FROM b.url
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    doc_id > min(doc_id) OVER (PARTITION BY text) AS e FROM d),
+l AS (
+  SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, {
+    'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), 'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(e, false)} AS f
+  FROM w LEFT JOIN l USING (doc_id)),
+p AS (
+  SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps AS (
+  SELECT filter_order, step::INT AS step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM orders, range(1, 6) r(step)),
+t AS (
+  SELECT *, CASE own WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END AS fails,
+    (f.A AND contains(before, 'A')) OR (f.B AND contains(before, 'B')) OR (f.C AND contains(before, 'C')) OR (f.D AND contains(before, 'D')) OR (f.E AND contains(before, 'E')) AS gone,
+    f.A::INT + f.B::INT + f.C::INT + f.D::INT + f.E::INT AS failed
+  FROM p, steps),
+c AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND failed = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM t GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM c
+"""
+
 
 def queries() -> dict:
     named = [op1_chat_format, op2_token_counts, op3_nearest_neighbours, op4_source_mixing, op5_packing, op6_url_filter, op7_quality_rules, op8_near_duplicates, op9_toxicity, op10_license_scan]
+    named += [op11_filter_audit, op12_secret_scan, op13_turn_repair]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op6_url_filter": OP6_SQL}
+    return {"op1_chat_format": OP1_SQL, "op6_url_filter": OP6_SQL, "op11_filter_audit": OP11_SQL}
