@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators import selection
+
 
 def zone(distance: Column, y: Column, floor: Column, reach: float, reflections: bool) -> Column:
     """plant, bottom or other, by distance to the plant and height over the floor line.
@@ -128,68 +127,19 @@ def rescale(points: Column, preview_width: Column, full_width: int = 4416) -> Co
     return F.transform(points, lambda p: F.transform(p, lambda v: v * (F.lit(float(full_width)) / preview_width)))
 
 
-def _typed(points: DataFrame, *columns: str) -> str:
-    """DDL of the columns, with their own types."""
-    return ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in columns)
-
-
-class Cells:
-    """Places dealt to cells of dx by dy, so that one only meets those of its own and the eight cells around."""
-
-    def __init__(self, dx: float, dy: float):
-        self.dx, self.dy, self.of = dx, dy, {}
-
-    def add(self, x: float, y: float) -> None:
-        self.of.setdefault((int(x // self.dx), int(y // self.dy)), []).append((x, y))
-
-    def around(self, x: float, y: float) -> Iterator[tuple[float, float]]:
-        cx, cy = int(x // self.dx), int(y // self.dy)
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                yield from self.of.get((cx + i, cy + j), ())
-
-
 def greedy(points: DataFrame, rx: float, ry: float) -> DataFrame:
-    """frame, id, kept: points in falling score (ties by id), each kept unless a kept one lies within its ellipse rx, ry.
-
-    The order decides, so a frame, which is one image's points, is handled as one by pandas; kept points are dealt to
-    cells of the radii, so that a point meets only those near it.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        taken, kept = Cells(rx, ry), []
-        for x, y in zip(pdf.x, pdf.y, strict=True):
-            free = all(((x - a) / rx) ** 2 + ((y - b) / ry) ** 2 >= 1 for a, b in taken.around(x, y))
-            if free:
-                taken.add(x, y)
-            kept.append(free)
-        return pd.DataFrame({"frame": pdf.frame, "id": pdf.id, "kept": kept})
-
-    return points.select("frame", "id", "x", "y", "score").groupBy("frame").applyInPandas(run, f"{_typed(points, 'frame', 'id')}, kept boolean")
+    """frame, id, kept: points in falling score (ties by id), each kept unless a kept one lies within its ellipse rx, ry."""
+    p = points.select("frame", "id", "x", "y", "score")
+    chosen = selection.independent(p, [F.col("score").isNull(), -F.col("score"), F.col("id")], *selection.ellipse(rx, ry))
+    chosen = chosen.withColumn("kept", F.lit(True))
+    return p.join(chosen, ["frame", "id"], "left").select("frame", "id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def supplement(selected: DataFrame, blobs: DataFrame, dx: float = 65.0, dy: float = 100.0) -> DataFrame:
-    """frame, id of the blobs that are added, in order of id: each unless a selected point or an earlier blob is near.
-
-    A frame is one image's points; places that are taken are dealt to cells, as in greedy().
-    """
-    kind = _typed(blobs, "frame", "id")
-
-    def run(own: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        taken, added = Cells(dx, dy), []
-        for x, y in zip(own.x2, own.y2, strict=True):
-            taken.add(x, y)
-        new = new.sort_values("id")
-        for x, y in zip(new.x, new.y, strict=True):
-            free = not any(abs(x - a) < dx and abs(y - b) < dy for a, b in taken.around(x, y))
-            if free:
-                taken.add(x, y)
-            added.append(free)
-        return new.loc[added, ["frame", "id"]]
-
-    own = selected.select(F.col("frame").alias("f2"), F.col("x").alias("x2"), F.col("y").alias("y2")).groupBy("f2")
-    return own.cogroup(blobs.select("frame", "id", "x", "y").groupBy("frame")).applyInPandas(run, kind)
+    """frame, id of the blobs that are added, in order of id: each unless a selected point or an earlier blob is near."""
+    near, cell = selection.box(dx, dy)
+    free = selection.beside(blobs.select("frame", "id", "x", "y"), selected.select("frame", "x", "y"), near, cell, "left_anti")
+    return selection.independent(free, [F.col("id")], near, cell)
 
 
 def top_edge(candidates: DataFrame, chosen: DataFrame, radius: float = 100.0) -> DataFrame:

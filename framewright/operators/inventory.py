@@ -9,13 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.operators.ordered import with_neighbours, with_running_sums
+from framewright.operators.ordered import ranged, with_neighbours, with_running_sums
 from framewright.schemas import SECOND, Settings
 
 
-def steps(frames: DataFrame, settings: Settings) -> DataFrame:
+def steps(frames: DataFrame) -> DataFrame:
     """grp, frame_id, t, interval_s: seconds since the frame before, NULL for a group's first frame."""
-    near = with_neighbours(frames.select("grp", "t", "frame_id"), ["grp"], ["t", "frame_id"], [], settings.chunk)
+    near = with_neighbours(ranged(frames.select("grp", "t", "frame_id"), ["grp"], ["t", "frame_id"]), ["grp"], ["t", "frame_id"], [])
     return near.select("grp", "frame_id", "t", ((F.col("t") - F.col("prev.t")) / SECOND).alias("interval_s"))
 
 
@@ -33,7 +33,7 @@ def duplicate_times(frames: DataFrame) -> DataFrame:
 
 def acquisition_gaps(frames: DataFrame, settings: Settings) -> DataFrame:
     """The frames that come more than the longest step after the one before."""
-    return steps(frames, settings).where(F.col("interval_s") > settings.max_gap / SECOND)
+    return steps(frames).where(F.col("interval_s") > settings.max_gap / SECOND)
 
 
 def summary(frames: DataFrame, settings: Settings) -> DataFrame:
@@ -43,7 +43,7 @@ def summary(frames: DataFrame, settings: Settings) -> DataFrame:
     """
     timed = frames.where("t is not null")
     gap = settings.max_gap / SECOND
-    observed = steps(timed, settings).groupBy("grp").agg(F.sum(F.when((F.col("interval_s") > 0) & (F.col("interval_s") <= gap), F.col("interval_s"))).alias("seconds"))
+    observed = steps(timed).groupBy("grp").agg(F.sum(F.when((F.col("interval_s") > 0) & (F.col("interval_s") <= gap), F.col("interval_s"))).alias("seconds"))
     twins = timed.groupBy("grp", "t").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("timestamp_duplicates"))
     base = frames.groupBy("grp").agg(
         F.count("*").alias("n"),
@@ -59,23 +59,24 @@ def summary(frames: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def interval_histogram(frames: DataFrame, settings: Settings) -> DataFrame:
+def interval_histogram(frames: DataFrame) -> DataFrame:
     """grp, interval_s, n: how often each step in seconds occurs; a row each, as a group may have very many."""
-    return steps(frames, settings).where("interval_s is not null").groupBy("grp", "interval_s").agg(F.count("*").alias("n"))
+    return steps(frames).where("interval_s is not null").groupBy("grp", "interval_s").agg(F.count("*").alias("n"))
 
 
-def ranks(frames: DataFrame, settings: Settings) -> DataFrame:
+def ranks(frames: DataFrame) -> DataFrame:
     """grp, frame_id, rank: the place in the group by time and id, from 0."""
-    out = with_running_sums(frames.select("grp", "t", "frame_id"), ["grp"], ["t", "frame_id"], {"place": F.lit(1)}, settings.chunk)
+    rows = ranged(frames.select("grp", "t", "frame_id"), ["grp"], ["t", "frame_id"])
+    out = with_running_sums(rows, ["grp"], ["t", "frame_id"], {"place": F.lit(1)})
     return out.select("grp", "frame_id", (F.col("place") - 1).cast("long").alias("rank"))
 
 
-def systematic_sample(frames: DataFrame, settings: Settings, number: int = 20) -> DataFrame:
+def systematic_sample(frames: DataFrame, number: int = 20) -> DataFrame:
     """grp, frame_id, rank, j: number evenly spaced frames of each group, j from 1; a small group repeats frames."""
     sizes = frames.groupBy("grp").agg(F.count("*").alias("n"))
     wanted = sizes.select("grp", F.explode(F.sequence(F.lit(1), F.lit(number))).alias("j"), "n")
     wanted = wanted.select("grp", "j", F.rint((F.col("j") - 1) * (F.col("n") - 1) / F.lit(float(number - 1))).cast("long").alias("rank"))
-    return ranks(frames, settings).join(wanted, ["grp", "rank"]).select("grp", "frame_id", "rank", "j")
+    return ranks(frames).join(wanted, ["grp", "rank"]).select("grp", "frame_id", "rank", "j")
 
 
 def holdout_ranks(n: int, calibration: list[int], number: int, away: int = 6, step: int = 7) -> list[int]:
@@ -109,4 +110,4 @@ def samples(frames: DataFrame, settings: Settings, calibration: int = 20) -> Dat
 
     sizes = frames.groupBy("grp").agg(F.count("*").alias("n"))
     wanted = sizes.mapInPandas(choose, "grp string, split string, sample_id string, rank long")
-    return ranks(frames, settings).join(wanted, ["grp", "rank"]).select("grp", "frame_id", "split", "sample_id", "rank")
+    return ranks(frames).join(wanted, ["grp", "rank"]).select("grp", "frame_id", "split", "sample_id", "rank")

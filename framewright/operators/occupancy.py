@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.operators.ordered import with_neighbours, with_running_sums
+from framewright.operators.ordered import RANGE, ranged, segmented, with_neighbours, with_running_sums
 from framewright.schemas import SECOND, Settings
 from framewright.staging import discard, stage
 
@@ -21,27 +21,23 @@ def finite(c: Column) -> Column:
 def intervals(frames: DataFrame, settings: Settings) -> DataFrame:
     """Pairs of adjacent frames, both valid and counted, whose step is positive and not over the longest one.
 
-    The result is staged: later steps read it several times. Returns grp, start_t, end_t, start_frame, end_frame, left0, left1, right0, right1, segment (from 1), eff_start and eff_end. A missing
-    validity counts as false; frames without group or time take no part.
+    Frames are ranged once and what is found in a range is staged once: later steps read it several times, with a small
+    table of what crosses the ranges. Returns grp, start_t, end_t, start_frame, end_frame, left0, left1, right0, right1,
+    segment (from 1), eff_start and eff_end. A missing validity counts as false; frames without group or time take no part.
     """
     series = frames.where("grp is not null and t is not null").select(
         "grp", "t", "frame_id", finite(F.col("left_count")).alias("l"), finite(F.col("right_count")).alias("r"), F.coalesce("valid", F.lit(False)).alias("valid")
     )
-    near = with_neighbours(series, ["grp"], ["t", "frame_id"], ["l", "r", "valid"], settings.chunk)
+    rows = ranged(series, ["grp"], ["t", "frame_id"])
+    near = with_neighbours(rows, ["grp"], ["t", "frame_id"], ["l", "r", "valid"])
     dt = F.col("next.t") - F.col("t")
     counted = F.col("l").isNotNull() & F.col("r").isNotNull() & F.col("next.l").isNotNull() & F.col("next.r").isNotNull()
     pairs = near.where(F.col("valid") & F.col("next.valid") & counted & (dt > 0) & (dt <= settings.max_gap)).select(
-        "grp", F.col("t").alias("start_t"), F.col("next.t").alias("end_t"), F.col("frame_id").alias("start_frame"), F.col("next.frame_id").alias("end_frame"),
+        "grp", RANGE, F.col("t").alias("start_t"), F.col("next.t").alias("end_t"), F.col("frame_id").alias("start_frame"), F.col("next.frame_id").alias("end_frame"),
         F.col("l").alias("left0"), F.col("next.l").alias("left1"), F.col("r").alias("right0"), F.col("next.r").alias("right1"),
     )
-    pairs = stage(pairs)
-    near = with_neighbours(pairs, ["grp"], ["start_t", "start_frame"], ["end_t"], settings.chunk)
-    breaks = F.when(F.col("prev.end_t") == F.col("start_t"), 0).otherwise(1)
-    length = F.col("end_t") - F.col("start_t")
-    near = stage(near.withColumn("break", breaks).drop("next", "prev"))
-    out = with_running_sums(near, ["grp"], ["start_t", "start_frame"], {"segment": F.col("break"), "eff_end": length}, settings.chunk)
-    done = stage(out.drop("break").withColumn("eff_start", F.col("eff_end") - length))
-    discard(pairs, near)
+    done = segmented(pairs, ["grp"], "start_t", "end_t", "start_frame")
+    discard(rows)
     return done
 
 
@@ -139,7 +135,7 @@ def splice_map(iv: DataFrame, frames: DataFrame) -> DataFrame:
 def gaps(frames: DataFrame, settings: Settings) -> DataFrame:
     """Adjacent frames that are too far apart (acquisition_gap) or of which one isn't valid (quality_gap)."""
     series = frames.where("grp is not null and t is not null").select("grp", "t", "frame_id", F.coalesce("valid", F.lit(False)).alias("valid"))
-    near = with_neighbours(series, ["grp"], ["t", "frame_id"], ["valid"], settings.chunk).where("prev is not null")
+    near = with_neighbours(ranged(series, ["grp"], ["t", "frame_id"]), ["grp"], ["t", "frame_id"], ["valid"]).where("prev is not null")
     far = F.col("t") - F.col("prev.t") > settings.max_gap
     near = near.where(far | ~F.col("valid") | ~F.col("prev.valid")).join(spans(frames), "grp")
     return near.select(
@@ -184,8 +180,11 @@ def valid_elapsed(frames: DataFrame, settings: Settings, flags: dict[str, str])
     Counts needn't be finite here, unlike in intervals().
     """
     series = frames.where("grp is not null and t is not null").select("grp", "t", "frame_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in flags.values()])
-    near = stage(with_neighbours(series, ["grp"], ["t", "frame_id"], list(flags.values()), settings.chunk))
+    rows = ranged(series, ["grp"], ["t", "frame_id"])
+    near = with_neighbours(rows, ["grp"], ["t", "frame_id"], list(flags.values()))
     dt = F.col("t") - F.col("prev.t")
-    sums = {n: F.when(F.col(c) & F.col(f"prev.{c}") & (dt > 0) & (dt <= settings.max_gap), dt).otherwise(0) for n, c in flags.items()}
-    out = with_running_sums(near.drop("next"), ["grp"], ["t", "frame_id"], sums, settings.chunk)
+    steps = {n: F.when(F.col(c) & F.col(f"prev.{c}") & (dt > 0) & (dt <= settings.max_gap), dt).otherwise(0) for n, c in flags.items()}
+    near = stage(near.select("grp", "t", "frame_id", RANGE, *[c.alias(f"{n}_step") for n, c in steps.items()]))
+    discard(rows)
+    out = with_running_sums(near, ["grp"], ["t", "frame_id"], {n: F.col(f"{n}_step") for n in flags})
     return out.select("grp", "frame_id", *[(F.col(n) / SECOND).alias(n) for n in flags])

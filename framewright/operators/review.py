@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.operators.inventory import ranks
-from framewright.operators.ordered import with_neighbours
+from framewright.operators.ordered import RANGE, range_sizes, ranged, with_neighbours
 from framewright.schemas import SECOND, Settings
+from framewright.staging import discard, stage
 
 KINDS = ("left", "right", "other", "suspect")
 
@@ -18,9 +18,10 @@ def top(df: DataFrame, by: Column, number: int, keys: tuple[str, ...] = ("t", "f
     return df.withColumn("by__", by).where("by__ is not null").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= number).drop("by__")
 
 
-def count_changes(frames: DataFrame, settings: Settings) -> DataFrame:
+def count_changes(frames: DataFrame) -> DataFrame:
     """grp, frame_id, t, interval_s and count_change: the larger change of the two sides since the frame before."""
-    near = with_neighbours(frames.select("grp", "t", "frame_id", "left_count", "right_count"), ["grp"], ["t", "frame_id"], ["left_count", "right_count"], settings.chunk)
+    rows = ranged(frames.select("grp", "t", "frame_id", "left_count", "right_count"), ["grp"], ["t", "frame_id"])
+    near = with_neighbours(rows, ["grp"], ["t", "frame_id"], ["left_count", "right_count"])
     change = F.greatest(F.abs(F.col("left_count") - F.col("prev.left_count")), F.abs(F.col("right_count") - F.col("prev.right_count")))
     return near.select("grp", "frame_id", "t", ((F.col("t") - F.col("prev.t")) / SECOND).alias("interval_s"), change.alias("count_change"))
 
@@ -28,12 +29,12 @@ def count_changes(frames: DataFrame, settings: Settings) -> DataFrame:
 def largest_changes(frames: DataFrame, settings: Settings, number: int = 3) -> DataFrame:
     """The frames of each group with the largest change over a step that is positive and short enough."""
     gap = settings.max_gap / SECOND
-    return top(count_changes(frames, settings).where((F.col("interval_s") > 0) & (F.col("interval_s") <= gap)), -F.col("count_change"), number)
+    return top(count_changes(frames).where((F.col("interval_s") > 0) & (F.col("interval_s") <= gap)), -F.col("count_change"), number)
 
 
 def gap_neighbours(frames: DataFrame, settings: Settings) -> DataFrame:
     """grp, frame_id of frames just before or after a step that is too long."""
-    near = with_neighbours(frames.select("grp", "t", "frame_id"), ["grp"], ["t", "frame_id"], [], settings.chunk)
+    near = with_neighbours(ranged(frames.select("grp", "t", "frame_id"), ["grp"], ["t", "frame_id"]), ["grp"], ["t", "frame_id"], [])
     far = (F.col("t") - F.col("prev.t") > settings.max_gap) | (F.col("next.t") - F.col("t") > settings.max_gap)
     return near.where(F.coalesce(far, F.lit(False))).select("grp", "frame_id")
 
@@ -95,35 +96,68 @@ def checked(records: DataFrame, known: DataFrame, image: tuple[int, int] = (4416
     return records.join(ids, "frame_id", "left").withColumn("problem", problem).withColumns(counts).drop("known__")
 
 
-def page(frames: DataFrame, group: str, index: int, settings: Settings) -> DataFrame:
+def write_pages(frames: DataFrame, path: str) -> None:
+    """The page index of frames (grp, t, frame_id and more): its rows in ranges of group, time and id, and the ranges' sizes.
+
+    rows holds a folder a range and ranges a row for each group and range, with the number of the group's rows before it.
+    """
+    rows = frames.where("grp is not null and t is not null").repartitionByRange("grp", "t", "frame_id").withColumn(RANGE, F.spark_partition_id())
+    rows.write.mode("overwrite").partitionBy(RANGE).parquet(f"{path}/rows")
+    range_sizes(frames.sparkSession.read.parquet(f"{path}/rows"), ["grp"]).write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def page(spark: SparkSession, path: str, group: str, index: int) -> DataFrame:
     """The frame at a place of its group by time and id, the place moved into the group's range, with place and total.
 
-    A point query of the review page: places are counted within chunks of time and the chunks before, so that the group
-    is never ordered as a whole, and one row comes back.
+    A point query on a page index: the ranges' table says which range holds the place, and only that one is read and
+    ordered. A group without frames gives no row.
+    """
+    ranges = spark.read.parquet(f"{path}/ranges").where(F.col("grp") == group)
+    total = ranges.agg(F.sum("n").alias("n")).first().n or 0
+    at = max(0, min(total - 1, index))
+    found = ranges.where((F.col("before") <= at) & (F.col("before") + F.col("n") > at)).first()
+    where, before = (found[RANGE], found.before) if found else (-1, 0)
+    own = spark.read.parquet(f"{path}/rows").where((F.col(RANGE) == where) & (F.col("grp") == group)).drop(RANGE)
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("t", "frame_id")) - 1 + F.lit(before))
+    return own.where(F.col("place") == at).withColumn("total", F.lit(total).cast("long"))
+
+
+def next_far(hours: DataFrame, least: DataFrame) -> DataFrame:
+    """grp, hour, to: for each distinct hour the first one of its group that is more than the group's least after it.
+
+    Hours and the places that lie least after them are ordered together, in ranges; the next hour after such a place is
+    found within its range, or is the first of a later range. The last hours have none.
     """
-    own = frames.where(F.col("grp") == group)
-    n = own.count()
-    at = max(0, min(n - 1, index))
-    here = ranks(own, settings).where(F.col("rank") == at).select("frame_id")
-    return own.join(here, "frame_id", "left_semi").withColumns({"place": F.lit(at).cast("long"), "total": F.lit(n).cast("long")})
+    hours = hours.join(least, "grp").select("grp", "hour", "least").distinct()
+    kinds = F.array(F.struct(F.col("hour").alias("at"), F.lit(0).alias("place")), F.struct((F.col("hour") + F.col("least")).alias("at"), F.lit(1).alias("place")))
+    rows = ranged(hours.select("grp", "hour", F.explode(kinds).alias("k")).select("grp", "hour", "k.*"), ["grp"], ["at", "place", "hour"])
+    point = F.when(F.col("place") == 0, F.col("hour"))
+    over = Window.partitionBy("grp").orderBy(RANGE).rowsBetween(1, Window.unboundedFollowing)
+    later = rows.groupBy("grp", RANGE).agg(F.min(point).alias("first")).select("grp", RANGE, F.min("first").over(over).alias("later"))
+    own = Window.partitionBy("grp", RANGE).orderBy("at", "place", "hour").rowsBetween(1, Window.unboundedFollowing)
+    found = rows.join(later, ["grp", RANGE]).withColumn("to", F.coalesce(F.min(point).over(own), "later"))
+    return found.where("place = 1").select("grp", "hour", "to")
 
 
 def splice_labels(splices: DataFrame, spans: DataFrame) -> DataFrame:
     """grp, hour, labelled: each segment's start but the first, labelled if it is far enough from the last labelled one.
 
-    Far is more than 0.035 of the span and 0.3 hours, so that a group has 29 labels at most. spans: grp, hours. The fold
-    runs over the segments of a group, in order, and carries the labelled hours; the other segments are then compared
-    with these few.
+    Far is more than 0.035 of the span and 0.3 hours; of equal starts one is labelled. spans: grp, hours. Each start
+    points to the next one that is far enough. Labelled is what the first start reaches: in each round the starts found
+    so far follow pointers that are twice as long as before, so that n labels take log2(n) rounds.
     """
     starts = splices.where("segment > 1").select("grp", (F.col("effective_start_s") / 3600).alias("hour"))
-    own = starts.groupBy("grp").agg(F.array_sort(F.collect_set("hour")).alias("hours")).join(spans.select("grp", F.greatest(F.col("hours") * 0.035, F.lit(0.3)).alias("least")), "grp")
-    empty = F.array().cast("array<double>")
-
-    def step(labels: Column, hour: Column) -> Column:
-        far = hour - F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit(-1e20)) > F.col("least")
-        return F.when(far, F.array_append(labels, hour)).otherwise(labels)
-
-    labels = own.select("grp", F.aggregate("hours", empty, step).alias("labels"))
+    least = spans.select("grp", F.greatest(F.col("hours") * 0.035, F.lit(0.3)).alias("least"))
+    jump = stage(next_far(starts, least).where("to is not null"))
+    labels = stage(starts.join(least, "grp", "left_semi").groupBy("grp").agg(F.min("hour").alias("hour")))
+    while True:
+        more = labels.join(jump, ["grp", "hour"]).select("grp", F.col("to").alias("hour"))
+        known, labels = labels, stage(labels.unionByName(more))
+        longer = jump.join(jump.select("grp", F.col("hour").alias("to"), F.col("to").alias("further")), ["grp", "to"]).select("grp", "hour", F.col("further").alias("to"))
+        old, jump = jump, stage(longer)
+        discard(old, known)
+        if jump.isEmpty():
+            break
     first = Window.partitionBy("grp", "hour").orderBy(F.lit(1))
-    marked = starts.join(labels, "grp").withColumn("k", F.row_number().over(first))  # of equal starts one is labelled
-    return marked.select("grp", "hour", (F.array_contains("labels", F.col("hour")) & (F.col("k") == 1)).alias("labelled"))
+    marked = starts.withColumn("k", F.row_number().over(first)).join(labels.withColumn("found", F.lit(True)), ["grp", "hour"], "left")
+    return marked.select("grp", "hour", (F.coalesce("found", F.lit(False)) & (F.col("k") == 1)).alias("labelled"))

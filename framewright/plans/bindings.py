@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from framewright.schemas import SECOND, Settings
 
 #: The frame binding uses a longer gap than photographs do, as its groups have minutes between rows.
-SETTINGS = Settings(max_gap=1800 * SECOND, chunk=30 * 24 * 3600 * SECOND)
+SETTINGS = Settings(max_gap=1800 * SECOND)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators import detections, integrity, occupancy, review
 from framewright.plans.bindings import FRAMES, INTERVALS, SETTINGS, TIED, frames, rounded, table, tied_frames
 from framewright.plans.registry import registry
 from framewright.sources import readers, writers
+from framewright.staging import shared_dir
 
 QUERIES, SQL, query = registry()
 
@@ -85,16 +90,8 @@ def neighbour_flag(spark, d):
     return detections.with_neighbours(points(spark, d), 95.0, 125.0).select("frame", "id", "has_neighbour")
 
 
-def images(spark, d):
-    """The same points, fifty to a frame, as an image holds so many at most, however many images there are."""
-    return points(spark, d).withColumn("frame", F.floor(F.col("id") / 50))
-
-
-IMAGES = POINTS.replace("label::BIGINT AS frame", "vec_id // 50 AS frame")
-
-
 @query(
-    f"""WITH RECURSIVE {IMAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS k FROM pt),
+    f"""WITH RECURSIVE {POINTS}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, id) AS k FROM pt),
 r AS (SELECT DISTINCT frame, 0::BIGINT AS k, NULL::BIGINT AS id, []::STRUCT(a DOUBLE, b DOUBLE)[] AS taken, false AS kept FROM pt
   UNION ALL SELECT frame, k, id, CASE WHEN free THEN list_append(taken, struct_pack(a := x, b := y)) ELSE taken END, free FROM (
     SELECT o.frame, o.k, o.id, o.x, o.y, r.taken, len(list_filter(r.taken, lambda p: pow((o.x - p.a) / 48, 2) + pow((o.y - p.b) / 82, 2) < 1)) = 0 AS free
@@ -102,11 +99,11 @@ r AS (SELECT DISTINCT frame, 0::BIGINT AS k, NULL::BIGINT AS id, []::STRUCT(a DO
 SELECT frame, id, kept FROM r WHERE k > 0"""
 )
 def nms_kept(spark, d):
-    return detections.greedy(images(spark, d), 48.0, 82.0)
+    return detections.greedy(points(spark, d), 48.0, 82.0)
 
 
 @query(
-    f"""WITH RECURSIVE {IMAGES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY id) AS k FROM pt WHERE score <= 0.1),
+    f"""WITH RECURSIVE {POINTS}, o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY id) AS k FROM pt WHERE score <= 0.1),
 r AS (SELECT frame, 0::BIGINT AS k, NULL::BIGINT AS id, list(struct_pack(a := x, b := y)) FILTER (score > 0.1) AS taken, false AS added FROM pt GROUP BY frame
   UNION ALL SELECT frame, k, id, CASE WHEN free THEN list_append(taken, struct_pack(a := x, b := y)) ELSE taken END, free FROM (
     SELECT o.frame, o.k, o.id, o.x, o.y, r.taken, coalesce(len(list_filter(r.taken, lambda p: abs(o.x - p.a) < 65 AND abs(o.y - p.b) < 100)), 0) = 0 AS free
@@ -114,7 +111,7 @@ r AS (SELECT frame, 0::BIGINT AS k, NULL::BIGINT AS id, list(struct_pack(a := x,
 SELECT frame, id FROM r WHERE added"""
 )
 def supplement_blobs(spark, d):
-    p = images(spark, d)
+    p = points(spark, d)
     return detections.supplement(p.where("score > 0.1"), p.where("score <= 0.1"))
 
 
@@ -294,9 +291,17 @@ def latest_review(spark, d):
     return review.latest(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
 
 
-@query(f"WITH {FRAMES}, r AS (SELECT *, row_number() OVER (ORDER BY t, frame_id) - 1 AS place, count(*) OVER () AS total FROM frames WHERE grp = 'view') SELECT frame_id, t, place, total FROM r WHERE place = least(total - 1, 100000)")
+@query(
+    f"""WITH {FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY t, frame_id) - 1 AS place, count(*) OVER (PARTITION BY grp) AS total FROM frames),
+w AS (SELECT DISTINCT grp, i, greatest(0, least(total - 1, i)) AS place FROM r, (VALUES (-5), (0), (41), (150), (10000000)) v(i))
+SELECT grp, i::INTEGER AS i, frame_id, t, place, total FROM w JOIN r USING (grp, place) WHERE grp IN ('view', 'error')"""
+)
 def page_lookup(spark, d):
-    return review.page(frames(spark, d), "view", 100000, SETTINGS).select("frame_id", "t", "place", "total")
+    """Pages of a stored index: before the first place, the first, two inside, and past the last."""
+    path = f"{shared_dir(spark)}/framewright-pages-{uuid.uuid4().hex}"
+    review.write_pages(frames(spark, d), path)
+    pages = [review.page(spark, path, g, i).select("grp", F.lit(i).alias("i"), "frame_id", "t", "place", "total") for g in ("view", "error") for i in (-5, 0, 41, 150, 10_000_000)]
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query(

@@ -15,7 +15,7 @@ STEPS = "steps AS (SELECT grp, frame_id, t, (t - lag(t) OVER (PARTITION BY grp O
 
 @query(f"WITH {TIED}, {STEPS} SELECT grp, frame_id, t, round(interval_s, 6) AS interval_s FROM steps")
 def interval_lag(spark, d):
-    return rounded(inventory.steps(tied_frames(spark, d), SETTINGS))
+    return rounded(inventory.steps(tied_frames(spark, d)))
 
 
 @query(f"WITH {FRAMES} SELECT grp, frame_id, round((t - min(t) OVER (PARTITION BY grp)) / 1e6, 6) AS elapsed_s FROM frames")
@@ -45,7 +45,7 @@ def inventory_summary(spark, d):
 
 @query(f"WITH {TIED}, {STEPS} SELECT grp, interval_s AS seconds, count(*) AS n FROM steps WHERE interval_s IS NOT NULL GROUP BY ALL")
 def interval_histogram(spark, d):
-    return inventory.interval_histogram(tied_frames(spark, d), SETTINGS).withColumnRenamed("interval_s", "seconds")
+    return inventory.interval_histogram(tied_frames(spark, d)).withColumnRenamed("interval_s", "seconds")
 
 
 @query(
@@ -54,7 +54,7 @@ w AS (SELECT DISTINCT grp, j::INTEGER AS j, round_even((j - 1) * (n - 1) / 19.0:
 SELECT grp, frame_id, rank, j FROM r JOIN w USING (grp, rank)"""
 )
 def systematic_sample(spark, d):
-    return inventory.systematic_sample(frames(spark, d), SETTINGS)
+    return inventory.systematic_sample(frames(spark, d))
 
 
 @query(

@@ -95,7 +95,7 @@ def prepare(spark: SparkSession, images: str, output: str, settings: Settings |
     rows.write.mode("overwrite").parquet(f"{path}/data/inventory_plain")
     plain = spark.read.parquet(f"{path}/data/inventory_plain")
     timed = plain.where("t is not null")
-    rows = plain.join(inventory.ranks(timed, settings).select("frame_id", "rank"), "frame_id", "left")
+    rows = plain.join(inventory.ranks(timed).select("frame_id", "rank"), "frame_id", "left")
     rows.write.mode("overwrite").parquet(f"{path}/data/inventory")
     inventory.samples(timed, settings).write.mode("overwrite").parquet(f"{path}/data/samples")
     marker = json.loads((path / MARKER).read_text())

@@ -12,7 +12,6 @@ class Settings:
     """Parameters of a study. Times are in microseconds unless their name says otherwise."""
 
     max_gap: int = 15 * SECOND  # longest step between frames that still counts as observed
-    chunk: int = 24 * 3600 * SECOND  # time that one task orders on its own
     brightness: tuple[float, float] = (45.0, 235.0)
     sharpness: float = 20.0
     overlap: float = 0.35

@@ -5,10 +5,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framewright.operators import inventory, occupancy
-from framewright.operators.ordered import with_neighbours, with_running_sums
+from framewright.operators.ordered import RANGE, ranged, with_neighbours, with_running_sums
 from framewright.schemas import FRAMES, SECOND, Settings
 
-S = Settings(chunk=60 * SECOND)
+S = Settings()
 T, LEFT, RIGHT = (0, 10, 20, 100, 110, 120), (1, 3, 5, 7, 9, 11), (3, 1, 0, 1, 3, 5)
 
 
@@ -53,10 +53,48 @@ def test_ordered_operators_equal_plain_windows(spark):
     df = spark.createDataFrame(rows, "g string, t long, id long, v int")
     w = Window.partitionBy("g").orderBy("t", "id")
     plain = df.select("*", F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("n"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    for chunk in (1, 37, 10**9):
-        out = with_running_sums(with_neighbours(df, ["g"], ["t", "id"], ["v"], chunk), ["g"], ["t", "id"], {"s": F.col("v")}, chunk)
-        got = out.select("g", "t", "id", "v", F.col("prev.v").alias("p"), F.col("next.v").alias("n"), "s")
-        assert sorted(got.collect()) == sorted(plain.collect())
+    out = with_running_sums(with_neighbours(ranged(df, ["g"], ["t", "id"]), ["g"], ["t", "id"], ["v"]), ["g"], ["t", "id"], {"s": F.col("v")})
+    got = out.select("g", "t", "id", "v", F.col("prev.v").alias("p"), F.col("next.v").alias("n"), "s")
+    assert sorted(got.collect()) == sorted(plain.collect())
+
+
+@pytest.fixture
+def many_ranges(spark):
+    """Sixteen ranges, however few the rows."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_ranges_follow_the_rows_not_the_time(spark, many_ranges):
+    crowded = spark.range(20000).selectExpr("'a' g", "if(id < 15000, 7L, id) t", "id")  # three quarters in one moment
+    sizes = [r["count"] for r in ranged(crowded, ["g"], ["t", "id"]).groupBy(RANGE).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * 20000 / 16
+    rows = with_running_sums(with_neighbours(ranged(crowded, ["g"], ["t", "id"]), ["g"], ["t", "id"], []), ["g"], ["t", "id"], {"s": F.lit(1)})
+    assert rows.where("s <> id + 1 or coalesce(prev.id, -1) <> id - 1 or (next.id is null) <> (id = 19999)").count() == 0
+
+
+def test_intervals_across_ranges(spark, many_ranges):
+    rng = random.Random(4)
+    rows, t = [], {"A": 0, "B": 0}
+    for i in range(900):
+        g = rng.choice("AAB")
+        t[g] += rng.choice([0, 3, 10, 15, 16, 400])
+        rows.append((g, i, t[g] * SECOND, rng.randrange(6), rng.randrange(6), rng.random() < 0.9))
+    got = [(r.grp, r.start_t, r.end_t, r.segment, r.eff_start, r.eff_end) for r in occupancy.intervals(spark.createDataFrame(rows, FRAMES), S).collect()]
+    want = []
+    for g in "AB":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1]))
+        last, segment, filled = None, 0, 0
+        for a, b in zip(own, own[1:], strict=False):
+            if a[5] and b[5] and 0 < b[2] - a[2] <= 15 * SECOND:
+                segment += a[2] != last
+                want.append((g, a[2], b[2], segment, filled, filled + b[2] - a[2]))
+                last, filled = b[2], filled + b[2] - a[2]
+    assert sorted(got) == sorted(want)
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
