@@ -116,31 +116,40 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], y: np.ndarray, classes: int, bits: int, steps: int = 60, rate: float = 40.0, decay: float = 1e-5, sizes: tuple = SIZES) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax regression by gradient steps with momentum: weights (sizes, buckets, classes) and bias (classes)."""
+    """Softmax regression by gradient steps with momentum: weights (sizes, buckets, classes) and bias (classes).
+
+    Of two classes only the second is stepped: from 0 on, the first one's weights are its negatives.
+    """
     parts = features(texts, bits, sizes)
-    w = np.zeros((len(parts), 1 << bits, classes), np.float64)
-    v, bias, bv = np.zeros_like(w), np.zeros(classes), np.zeros(classes)
-    onehot = np.eye(classes)[y]
-    balance = (1 / np.maximum(onehot.sum(axis=0), 1))[y][:, None] / classes
+    own = range(1, 2) if classes == 2 else range(classes)
+    w = np.zeros((len(parts), len(own), 1 << bits))
+    v, bias, bv = np.zeros_like(w), np.zeros(len(own)), np.zeros(len(own))
+    onehot = np.eye(classes)[y][:, own]
+    balance = (1 / np.maximum(np.eye(classes)[y].sum(axis=0), 1))[y][:, None] / classes
     # frequencies are small; scale each bucket by its root mean square so that rare and common n-grams learn alike
-    scale = []
+    scale, rows = [], []
     for r, b, f in parts:
         rms = np.sqrt(np.bincount(b, weights=f * f, minlength=1 << bits) / len(texts))
         scale.append(1 / (rms + 1e-4))
+        rows.append(np.flatnonzero(np.diff(r, prepend=-1)))  # where each text with n-grams begins, as parts go by text
     for _ in range(steps):
         z = np.tile(bias, (len(texts), 1))
         for i, (r, b, f) in enumerate(parts):
-            for c in range(classes):
-                z[:, c] += np.bincount(r, weights=f * w[i, b, c], minlength=len(texts))
-        g = (softmax(z) - onehot) * balance
+            for c in range(len(own)):
+                if len(r):
+                    z[r[rows[i]], c] += np.add.reduceat(f * w[i, c][b], rows[i])
+        p = softmax(np.hstack((-z, z))) if classes == 2 else softmax(z)
+        g = (p[:, own] - onehot) * balance
         for i, (r, b, f) in enumerate(parts):
-            for c in range(classes):
-                grad = np.bincount(b, weights=f * g[r, c], minlength=1 << bits) * scale[i] + decay * w[i, :, c]
-                v[i, :, c] = 0.9 * v[i, :, c] - rate * grad * scale[i] / 1e3
-                w[i, :, c] += v[i, :, c]
+            for c in range(len(own)):
+                grad = np.bincount(b, weights=f * g[r, c], minlength=1 << bits) * scale[i] + decay * w[i, c]
+                v[i, c] = 0.9 * v[i, c] - rate * grad * scale[i] / 1e3
+                w[i, c] += v[i, c]
         bv = 0.9 * bv - 0.5 * g.sum(axis=0)
         bias = bias + bv
-    return w, bias
+    if classes == 2:
+        w, bias = np.concatenate((-w, w), axis=1), np.concatenate((-bias, bias))
+    return np.ascontiguousarray(w.transpose(0, 2, 1)), bias
 
 
 def platt(s: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:

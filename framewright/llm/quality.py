@@ -1,6 +1,6 @@
 """Quality rules: exact base rules, then a calibrated logistic regression on hashed word and character n-grams.
 
-The model is fitted on a bounded sample of labelled rows (linear.SAMPLE_ROWS per class, linear.SAMPLE_BYTES a text);
+The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS per class, linear.SAMPLE_BYTES a text);
 a hashed fifth of the sample is left out of the fit and calibrates the probability. Every text is then scored whole,
 in Arrow batches, against fixed thresholds. No shuffle: the documents are read once more than the sample is.
 """
@@ -19,6 +19,7 @@ from framewright.llm import linear
 from framewright.llm import textkit as tk
 
 BITS = 16
+SAMPLE_ROWS = 1000  # labelled rows a class at most
 LEAST_WORDS = 10
 REPEAT_PERCENT = 20
 THRESHOLD = 0.1  # rejects only what is clearly poor
@@ -124,7 +125,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def model_for(docs: DataFrame, labels: DataFrame) -> Model:
     """Fitted on the labelled rows of docs."""
-    return fit(linear.labelled_sample(docs, labels, "quality"))
+    return fit(linear.labelled_sample(docs, labels, "quality", SAMPLE_ROWS))
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
