@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.plans import detection_queries, gate_queries, series_queries, stream_queries
+from framewright.plans import detection_queries, figure_queries, gate_queries, series_queries, stream_queries
 
-MODULES = [series_queries, gate_queries, detection_queries, stream_queries]
+MODULES = [series_queries, gate_queries, detection_queries, figure_queries, stream_queries]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
