@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,45 +16,56 @@ SAMPLE_ROWS = 1500  # labelled rows per class at most
 SAMPLE_BYTES = 1 << 15  # longest text of a sampled row
 
 
-def _bounded(docs: DataFrame, ids: DataFrame, keys: list[str], size: int) -> list:
+def _bounded(docs: DataFrame, ids: DataFrame, keys: list[str], size: int) -> DataFrame:
     """The rows of ids, each with one text, the least, of the documents of these keys of at most size bytes.
 
-    Documents of one key meet before they reach the driver, so it gets no more rows than ids has.
+    Documents of one key meet in an aggregation, so there are no more rows than ids has.
     """
     texts = docs.where(F.octet_length("text") <= size).select(*keys, "text")
-    return texts.join(F.broadcast(ids), keys).groupBy(*ids.columns).agg(F.min("text").alias("text")).collect()
+    return texts.join(F.broadcast(ids), keys).groupBy(*ids.columns).agg(F.min("text").alias("text"))
 
 
-def bounded_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[int, str]]:
-    """(doc_id, text) of at most rows documents, by a hash of doc_id; one text a doc_id, however often it repeats."""
+def bounded_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text of at most rows documents, by a hash of doc_id; one text a doc_id, however often it repeats."""
     ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return sorted((r.doc_id, r.text) for r in _bounded(docs, ids, ["doc_id"], size))
+    return _bounded(docs, ids, ["doc_id"], size).select("doc_id", "text")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[int, int, str]]:
-    """(doc_id, label, text) of at most rows labelled documents of each class, in the order of a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, label, text of at most rows labelled documents of each class, in the order of a hash of doc_id.
 
-    The sample is bounded by rows per class and by size bytes a text, both parameters, so it fits the driver whatever
-    the corpus's size and however often a doc_id repeats in either table: one text, the least, stands for a doc_id. A
-    label is 0 or 1; other labels, NULLs and longer texts are not sampled.
+    The sample is bounded by rows per class and by size bytes a text, both parameters, so it fits one task whatever the
+    corpus's size and however often a doc_id repeats in either table: one text, the least, stands for a doc_id. A label
+    is 0 or 1; other labels, NULLs and longer texts are not sampled.
     """
     ids = None
     for label in (0, 1):
         own = labels.where((F.col(target) == label) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(label).alias("label")).distinct()
         own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         ids = own if ids is None else ids.unionByName(own)
-    return sorted((r.doc_id, r.label, r.text) for r in _bounded(docs, ids, ["doc_id"], size))
+    return _bounded(docs, ids, ["doc_id"], size).select("doc_id", "label", "text")
 
 
-def domain_sample(docs: DataFrame, labels: DataFrame, names: list[str], column: str, rows: int, size: int = SAMPLE_BYTES) -> list[tuple[int, str, str]]:
-    """(doc_id, domain, text) of at most rows labelled documents of each named domain, bounded as labelled_sample."""
+def domain_sample(docs: DataFrame, labels: DataFrame, names: list[str], column: str, rows: int, size: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, domain, text of at most rows labelled documents of each named domain, bounded as labelled_sample."""
     docs = docs.select("doc_id", F.col(column).alias("domain"), "text")
     keys = docs.select("doc_id", "domain").join(labels.select("doc_id").distinct(), "doc_id", "left_semi").distinct()  # reads no texts
     ids = None
     for name in names:
         part = keys.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         ids = part if ids is None else ids.unionByName(part)
-    return sorted((r.doc_id, r.domain, r.text) for r in _bounded(docs, ids, ["doc_id", "domain"], size))
+    return _bounded(docs, ids, ["doc_id", "domain"], size).select("doc_id", "domain", "text")
+
+
+def fitted(sample: DataFrame, fit_rows: Callable[[list[tuple]], object]) -> object:
+    """What fit_rows makes of the sorted rows of a bounded sample, in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(tuple(r.values()) for batch in batches for r in batch.to_pylist())
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit_rows(rows))], pa.binary())})
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(found[0].model) if found else fit_rows([])  # a plan without any partition has no task
 
 
 SIZES = ((4,), (1, 2))  # sizes of character and of word n-grams

@@ -58,12 +58,15 @@ def fit_domains(docs: DataFrame, labels: DataFrame, names: list[str], column: st
 
     At most SAMPLE_ROWS documents a domain, of at most linear.SAMPLE_BYTES, in the order of a hash of doc_id.
     """
-    sample = linear.domain_sample(docs, labels, names, column, SAMPLE_ROWS)
-    if not sample:
-        return Domains(names, np.zeros((1, 1 << BITS, len(names))), np.zeros(len(names)))
-    y = np.array([names.index(d) for _, d, _ in sample])
-    w, bias = linear.fit([t for _, _, t in sample], y, len(names), BITS, sizes=SIZES)
-    return Domains(names, w.astype(np.float32), bias)
+
+    def fit(sample: list[tuple[int, str, str]]) -> Domains:
+        if not sample:
+            return Domains(names, np.zeros((1, 1 << BITS, len(names))), np.zeros(len(names)))
+        y = np.array([names.index(d) for _, d, _ in sample])
+        w, bias = linear.fit([t for _, _, t in sample], y, len(names), BITS, sizes=SIZES)
+        return Domains(names, w.astype(np.float32), bias)
+
+    return linear.fitted(linear.domain_sample(docs, labels, names, column, SAMPLE_ROWS), fit)
 
 
 def with_posteriors(docs: DataFrame, domains: Domains, path: str) -> Membership:

@@ -125,7 +125,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def model_for(docs: DataFrame, labels: DataFrame) -> Model:
     """Fitted on the labelled rows of docs."""
-    return fit(linear.labelled_sample(docs, labels, "quality", SAMPLE_ROWS))
+    return linear.fitted(linear.labelled_sample(docs, labels, "quality", SAMPLE_ROWS), fit)
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

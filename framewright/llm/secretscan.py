@@ -63,6 +63,7 @@ def uncovered(text: str, spans: list[Span], least: int) -> Iterator[re.Match]:
 
 
 def _codes(string: str) -> np.ndarray:
+    """The places of characters in ALPHABET; its length for a line break, which stands before a first character."""
     table = np.full(128, len(ALPHABET), np.int64)
     table[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
     return table[np.frombuffer(string.encode("ascii"), np.uint8)]
@@ -75,17 +76,15 @@ class Models:
     ratio: np.ndarray
 
     def score(self, string: str) -> float:
-        own = _codes(string)
-        return float(self.ratio[np.concatenate(([len(ALPHABET)], own[:-1])), own].mean())
+        own = _codes("\n" + string)
+        return float(self.ratio[own[:-1], own[1:]].mean())
 
 
 def chain(strings: list[str], smoothing: float = 0.5) -> np.ndarray:
     """Log probabilities of a first-order chain; the last row is the start's."""
     n = len(ALPHABET)
-    count = np.full((n + 1, n), smoothing)
-    for s in strings:
-        own = _codes(s)
-        np.add.at(count, (np.concatenate(([n], own[:-1])), own), 1)
+    own = _codes("\n" + "\n".join(strings))
+    count = np.bincount(own[:-1] * (n + 1) + own[1:], minlength=(n + 1) ** 2).reshape(n + 1, n + 1)[:, :n] + smoothing
     return np.log(count / count.sum(axis=1, keepdims=True))
 
 
@@ -109,7 +108,7 @@ def train(texts: list[str]) -> Models:
 
 def model_for(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = linear.SAMPLE_BYTES) -> Models:
     """Trained on at most rows documents of at most size bytes, one text a doc_id, in the order of a hash of doc_id."""
-    return train([text for _, text in linear.bounded_texts(docs, rows, size)])
+    return linear.fitted(linear.bounded_texts(docs, rows, size), lambda sample: train([text for _, text in sample]))
 
 
 def all_spans(text: str, models: Models, threshold: float = THRESHOLD) -> list[Span]:

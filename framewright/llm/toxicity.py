@@ -311,7 +311,7 @@ def held_out(doc_id) -> F.Column:
 
 def model_for(docs: DataFrame, labels: DataFrame) -> Model:
     """Fitted on a bounded sample of the labelled rows that aren't held out."""
-    return fit(linear.labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic"))
+    return linear.fitted(linear.labelled_sample(docs, labels.where(~held_out(F.col("doc_id"))), "toxic"), fit)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
