@@ -103,7 +103,7 @@ def write_pages(frames: DataFrame, path: str) -> None:
     """
     rows = frames.where("grp is not null and t is not null").repartitionByRange("grp", "t", "frame_id").withColumn(RANGE, F.spark_partition_id())
     rows.write.mode("overwrite").partitionBy(RANGE).parquet(f"{path}/rows")
-    range_sizes(frames.sparkSession.read.parquet(f"{path}/rows"), ["grp"]).write.mode("overwrite").parquet(f"{path}/ranges")
+    range_sizes(frames.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows"), ["grp"]).write.mode("overwrite").parquet(f"{path}/ranges")
 
 
 def page(spark: SparkSession, path: str, group: str, index: int) -> DataFrame:
@@ -116,9 +116,10 @@ def page(spark: SparkSession, path: str, group: str, index: int) -> DataFrame:
     total = ranges.agg(F.sum("n").alias("n")).first().n or 0
     at = max(0, min(total - 1, index))
     found = ranges.where((F.col("before") <= at) & (F.col("before") + F.col("n") > at)).first()
-    where, before = (found[RANGE], found.before) if found else (-1, 0)
-    own = spark.read.parquet(f"{path}/rows").where((F.col(RANGE) == where) & (F.col("grp") == group)).drop(RANGE)
-    own = own.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("t", "frame_id")) - 1 + F.lit(before))
+    if not found:
+        return ranges.where(F.lit(False))
+    own = spark.read.parquet(f"{path}/rows/{RANGE}={found[RANGE]}").where(F.col("grp") == group)  # no other range is listed or read
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy("t", "frame_id")) - 1 + F.lit(found.before))
     return own.where(F.col("place") == at).withColumn("total", F.lit(total).cast("long"))
 
 

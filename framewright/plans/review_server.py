@@ -9,53 +9,34 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
 from urllib.parse import parse_qs, urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.operators.review import KINDS
-from framewright.sources.readers import lookup
+from framewright.operators.review import KINDS, checked, page
+from framewright.schemas import REVIEW
+from framewright.sources.readers import index_lookup
 
 LARGEST = 1_000_000
-LISTED = 1_000_000
-BOXES = 1000
 
 
-def problem(record: dict, known: set[str], image: tuple[int, int] = (4416, 2488)) -> str | None:
-    """What is wrong with a review, or None."""
-    if record.get("frame_id") not in known:
-        return "unknown frame"
-    if not str(record.get("reviewer") or "").strip():
-        return "no reviewer"
-    if record.get("confirmed") is not True:
-        return "not confirmed"
-    boxes = record.get("boxes")
-    if not isinstance(boxes, list) or len(boxes) > BOXES:
-        return "no valid boxes"
-    for b in boxes:
-        if not isinstance(b, dict) or b.get("kind") not in KINDS:
-            return "unknown kind"
-        try:
-            x, y, w, h = map(float, b["bbox"])
-        except (KeyError, TypeError, ValueError):
-            return "box outside the image"
-        if not (0 <= x < image[0] and 0 <= y < image[1] and 0 < w <= image[0] - x and 0 < h <= image[1] - y):
-            return "box outside the image"
-    return None
+def accepted(spark: SparkSession, body: str, known: DataFrame) -> tuple[str | None, Row | None]:
+    """What is wrong with a review (a JSON text), by the rule of review.checked(), and the record with its counts."""
+    found = spark.createDataFrame([(body,)], "body string").select(F.from_json("body", REVIEW).alias("r")).where("r is not null").select("r.*")
+    rows = checked(found, known.select("frame_id")).collect()
+    return (rows[0].problem, rows[0]) if rows else ("no record", None)
 
 
 def serve(spark: SparkSession, workspace: str, port: int, forever: bool = True) -> ThreadingHTTPServer:
-    """Serves on the local machine only. The listing (ids, groups, paths) is held in memory, LISTED images at most."""
-    n = spark.read.parquet(f"{workspace}/data/inventory").count()
-    if n > LISTED:
-        raise ValueError(f"{n} images are more than a reviewer's {LISTED}; review a study of a part of them")
-    rows = [r.asDict() for r in spark.read.parquet(f"{workspace}/data/inventory").select("frame_id", "grp", "source_path", "source_sha256", F.col("t")).orderBy("grp", "t", "frame_id").collect()]
-    by_id = {r["frame_id"]: r for r in rows}
-    groups: dict[str, list[dict]] = {}
-    for r in rows:
-        groups.setdefault(r["grp"], []).append(r)
+    """Serves on the local machine only. Pages and frames are point queries on the indexes that prepare wrote, so that
+    nothing of the inventory is held here; corrections, which people make, are."""
+    pages, frames, records = (f"{workspace}/data/{x}" for x in ("pages", "frames_index", "index"))
     log, lock = Path(workspace) / "review/corrections.jsonl", threading.Lock()
     reviews = {r["frame_id"]: r for r in map(json.loads, log.read_text(encoding="utf-8").splitlines())} if log.exists() else {}
 
+    def one(path: str, frame_id: str) -> dict | None:
+        found = index_lookup(spark, path, "frame_id", frame_id).limit(1).toJSON().collect() if Path(path).exists() else []
+        return json.loads(found[0]) if found else None
+
     class Handler(BaseHTTPRequestHandler):
         def reply(self, body: object, status: int = 200, kind: str = "application/json; charset=utf-8") -> None:
             data = body if isinstance(body, bytes) else json.dumps(body, ensure_ascii=False).encode()
@@ -71,14 +52,15 @@ def serve(spark: SparkSession, workspace: str, port: int, forever: bool = True)
             if url.path == "/":
                 return self.reply(b"<!doctype html><title>Review</title><p>GET /api/frame?group=&amp;index=, GET /image?frame_id=, POST /api/review", kind="text/html; charset=utf-8")
             if url.path == "/api/frame":
-                own = groups.get(q.get("group", ""), [])
-                if not own or not q.get("index", "0").lstrip("-").isdigit():
+                number = q.get("index", "0")
+                found = page(spark, pages, q.get("group", ""), int(number)).toJSON().collect() if number.lstrip("-").isdigit() else []
+                if not found:
                     return self.reply({"error": "no such group or place"}, 400)
-                at = max(0, min(len(own) - 1, int(q.get("index", "0"))))
-                found = lookup(spark.read.parquet(f"{workspace}/data/index"), "frame_id", own[at]["frame_id"]).limit(1).toJSON().collect() if (Path(workspace) / "data/index").exists() else []
-                return self.reply({"row": own[at], "index": at, "total": len(own), "record": json.loads(found[0]) if found else None, "review": reviews.get(own[at]["frame_id"])})
-            if url.path == "/image" and q.get("frame_id") in by_id:
-                path = Path(urlparse(by_id[q["frame_id"]]["source_path"]).path)
+                row = json.loads(found[0])
+                at, total = row.pop("place"), row.pop("total")
+                return self.reply({"row": row, "index": at, "total": total, "record": one(records, row["frame_id"]), "review": reviews.get(row["frame_id"])})
+            if url.path == "/image" and (row := one(frames, q.get("frame_id", ""))):
+                path = Path(urlparse(row["source_path"]).path)
                 return self.reply(path.read_bytes(), kind="application/octet-stream") if path.exists() else self.reply({"error": "the image can't be read"}, 404)
             return self.reply({"error": "not found"}, 404)
 
@@ -91,16 +73,17 @@ def serve(spark: SparkSession, workspace: str, port: int, forever: bool = True)
             size = int(self.headers.get("Content-Length") or 0)
             if not 0 < size < LARGEST:
                 return self.reply({"error": "size of the request"}, 400)
+            body = self.rfile.read(size).decode("utf-8", "replace")
             try:
-                record = json.loads(self.rfile.read(size))
+                record = json.loads(body)
             except ValueError:
                 return self.reply({"error": "no JSON"}, 400)
-            wrong = problem(record, set(by_id)) if isinstance(record, dict) else "no record"
+            row = one(frames, str(record.get("frame_id"))) if isinstance(record, dict) else None
+            wrong, judged = accepted(spark, body, spark.createDataFrame([(row["frame_id"],)] if row else [], "frame_id string")) if isinstance(record, dict) else ("no record", None)
             if wrong:
                 return self.reply({"error": wrong}, 400)
-            row = by_id[record["frame_id"]]
             record |= {"saved_at": datetime.now(UTC).isoformat(), "source_path": row["source_path"], "source_sha256": row["source_sha256"]}
-            record |= {f"{k}_count": sum(b["kind"] == k for b in record["boxes"]) for k in KINDS}
+            record |= {f"{k}_count": judged[f"{k}_count"] for k in KINDS}
             with lock:
                 log.parent.mkdir(parents=True, exist_ok=True)
                 with log.open("a", encoding="utf-8") as f:

@@ -20,20 +20,25 @@ import hashlib
 import importlib.metadata
 import importlib.util
 import json
+import logging
 import platform
 import sys
+from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators import gates, integrity, inventory, occupancy, review, validation
 from framewright.schemas import CHECKPOINT, SECOND, Settings
-from framewright.sources import readers, writers
+from framewright.sources import figures, readers, workbook, writers
+from framewright.staging import discard, stage
 
 TOOL = Path(__file__).resolve().parents[2]
 MARKER = "study.json"
+LOG = logging.getLogger(__name__)
 CODE = [TOOL / "framewright" / f for f in ("functions/vision.py", "operators/counting.py", "operators/detections.py")]  # what a count depends on
 
 
@@ -103,6 +108,8 @@ def prepare(spark: SparkSession, images: str, output: str, settings: Settings |
     rows = spark.read.parquet(f"{path}/data/inventory")
     if integrity.not_unique(rows, ["frame_id"]).limit(1).count():
         raise ValueError("frame identifiers repeat")
+    review.write_pages(rows.select("grp", "t", "frame_id", "source_path", "source_sha256", "rank"), f"{path}/data/pages")
+    writers.upsert(rows.select("frame_id", "grp", "source_path", "source_sha256", "modified"), f"{path}/data/frames_index", "frame_id", "modified")
     writers.to_one_csv(inventory.summary(rows, settings), f"{path}/data/inventory_summary.csv")
     writers.to_csv(inventory.acquisition_gaps(rows.where("t is not null"), settings), f"{path}/data/acquisition_gaps")
     return path
@@ -138,7 +145,8 @@ def assets(spark: SparkSession, workspace: str, scenes: str | None = None) -> di
 def run(spark: SparkSession, workspace: str, scenes: dict[str, dict], machine=None, limit: int | None = None, strategies=None) -> int:
     """Counts images without a record and appends their records; an error record counts as done. Returns how many.
 
-    Only paths and sizes are joined; each task reads the images of its rows itself.
+    Only paths and sizes are joined; each task reads the images of its rows itself. A log that an interrupted run left torn
+    is cut before its first broken byte, with a copy of the rest, and what has no record any longer is counted again.
     """
     from framewright.operators.counting import count_images
 
@@ -147,8 +155,9 @@ def run(spark: SparkSession, workspace: str, scenes: dict[str, dict], machine=No
     log = Path(workspace) / "data/records"
     rows = spark.read.parquet(f"{workspace}/data/inventory")
     if log.exists():
-        done = spark.read.schema(CHECKPOINT).json(str(log))
-        rows = integrity.remaining(rows, done, "frame_id")
+        for file, offset, size in readers.recover_log(spark, str(log), CHECKPOINT, f"{workspace}/data/records_torn"):
+            LOG.warning("%s was cut at byte %d; its last %d bytes are in data/records_torn", file, offset, size)
+        rows = integrity.remaining(rows, readers.strict_log(spark, str(log), CHECKPOINT, "frame_id"), "frame_id")
     if limit is not None:
         rows = readers.first_rows(rows, limit, "grp", "t", "frame_id")
     n = rows.count()
@@ -160,10 +169,31 @@ def run(spark: SparkSession, workspace: str, scenes: dict[str, dict], machine=No
     same = F.coalesce((F.col("size_now") == F.col("size_bytes")) & (F.col("modified_now") == F.col("modified")), F.lit(False))
     images = todo.select("frame_id", F.col("grp").alias("group"), "source_path", F.col("rank").cast("int").alias("sequence_index"), "sample_id", same.alias("source_unchanged"))
     images = images.repartition(min(n, 16 * spark.sparkContext.defaultParallelism), "frame_id")  # some seconds an image: many small tasks
-    writers.append_records(count_images(images, scenes, strategies, machine), str(log))
+    counted = stage(count_images(images, scenes, strategies, machine))
+    writers.append_records(counted, str(log))
+    annotate(counted.where("sample_id is not null and status = 'processed'"), {g: int(s["floor"]) for g, s in scenes.items()}, f"{workspace}/evidence")
+    discard(counted)
     return n
 
 
+def annotate(records_: DataFrame, floors: dict[str, int], folder: str) -> None:
+    """The samples' images with their detections drawn, as folder/<sample>.png, each by the task that reads the image."""
+    from framewright.functions import vision
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for sample, group, source, found in zip(pdf.sample_id, pdf.group, pdf.source_path, pdf.detections, strict=True):
+                image = vision.overlay(vision.decode(readers.file_bytes(source)), [dict(d) if isinstance(d, dict) else d.asDict() for d in found], floors[group])
+                where, path = readers.file_system(f"{folder}/{sample}.png")
+                where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(path) as f:
+                    f.write(vision.png_bytes(image))
+            yield pd.DataFrame({"sample_id": pdf.sample_id})
+
+    rows = records_.select("sample_id", "group", "source_path", F.transform("detections", lambda d: F.struct(d["bbox"].alias("bbox"), d["side"].alias("side"))).alias("detections"))
+    rows.mapInPandas(run, "sample_id string").agg(F.count("*")).collect()
+
+
 def annotation_paths(spark: SparkSession, workspace: str, annotations: DataFrame) -> DataFrame:
     """annotations, which have sample_id, with the source_path of their samples' frames; an unknown sample is an error."""
     inventory_ = spark.read.parquet(f"{workspace}/data/inventory").select("frame_id", "source_path")
@@ -181,7 +211,8 @@ def audit(frames: DataFrame, coordinates: DataFrame) -> dict:
 
 
 def records(spark: SparkSession, workspace: str) -> DataFrame:
-    return spark.read.schema(CHECKPOINT).json(f"{workspace}/data/records")
+    """The record log, read strictly: a broken line or a repeated frame is an error."""
+    return readers.strict_log(spark, f"{workspace}/data/records", CHECKPOINT, "frame_id")
 
 
 def verify(spark: SparkSession, workspace: str, baseline: DataFrame | None = None, complete: bool = True) -> dict:
@@ -189,8 +220,6 @@ def verify(spark: SparkSession, workspace: str, baseline: DataFrame | None = Non
     project(workspace, "replay")
     assets(spark, workspace)
     got, rows = records(spark, workspace), spark.read.parquet(f"{workspace}/data/inventory")
-    if integrity.not_unique(got, ["frame_id"]).limit(1).count():
-        raise ValueError("a record is repeated")
     sets = integrity.completeness(rows, got, "frame_id").first()
     if sets.extra:
         raise ValueError(f"{sets.extra} records are of unknown frames")
@@ -225,9 +254,23 @@ def save_statistics(tables: dict[str, DataFrame], folder: str, status: str) -> N
     for axis in ("effective", "actual"):
         writers.to_csv(writers.curve(tables["bins"], axis, 300), f"{folder}/curves/{axis}")
     writers.to_csv(writers.heatmap(tables["bins"]), f"{folder}/curves/heatmap")
+    draw(tables, f"{folder}/figures", status)
     Path(f"{folder}/report.md").write_text(writers.report([r.asDict() for r in tables["totals"].orderBy("grp").collect()]), encoding="utf-8")
 
 
+def draw(tables: dict[str, DataFrame], folder: str, note: str) -> None:
+    """The three figures of each group as SVG, read back and inspected; what is wrong with one is an error."""
+    if tables["totals"].isEmpty():  # no group has frames with a time
+        return
+    groups, spans = tables["totals"].select("grp"), tables["totals"].select("grp", F.col("effective_hours").alias("hours"))
+    labels = stage(review.splice_labels(tables["splices"], spans))
+    bins = stage(tables["bins"].where("axis = 'effective'"))
+    drawn = figures.curves(bins.where("window_seconds = 300"), groups, note, "effective", labels).unionByName(figures.heatmap(bins.where("window_seconds = 3600"), groups, note, labels))
+    figures.write_figures(drawn.unionByName(figures.curves(tables["segment_bins"], groups, note, "actual")), folder)
+    if wrong := figures.problems(figures.inspected(figures.read_figures(groups.sparkSession, folder))).orderBy("figure", "grp").limit(20).collect():
+        raise ValueError("figures: " + "; ".join(f"{r.figure} of {r.grp}: {r.problem}" for r in wrong))
+
+
 def replot(spark: SparkSession, table: str, output: str, settings: Settings | None = None) -> Path:
     """Statistics of stored counts, and whether bins hold what the intervals do."""
     settings = settings or Settings()
@@ -295,10 +338,17 @@ def export(spark: SparkSession, workspace: str, accepted: list[str], settings: S
     checks = validated(spark, frames, workspace, settings)
     own = {"frames": plain, "inventory": listed.select("frame_id", "grp", "relative_path", "t", "width", "height", "metadata_error"), "samples": spark.read.parquet(f"{workspace}/data/samples"), "duplicates": copies, "priority": first}
     own |= {"validation": checks} if checks is not None else {}
-    for name, df in writers.delivery_sheets(primary, others, own).items():
+    tables = {name: stage(df) for name, df in writers.delivery_sheets(primary, others, own).items()}
+    for name, df in tables.items():
         writers.to_csv(df, f"{workspace}/data/sheets/{name.replace(' ', '_')}")
-    if writers.sheet_differences(f"{workspace}/data/sheets/frames", plain, ["frame_id"]).limit(1).count():
-        raise ValueError("the sheet of frames, read back, differs from the frames")
+    book = {name: (writers.spreadsheet(df), df.columns[:3]) for name, df in tables.items()}
+    workbook.write_workbook(spark, book, f"{workspace}/report.xlsx")
+    cells = stage(workbook.read_sheets(spark, f"{workspace}/report.xlsx"))
+    for name, (df, _) in book.items():  # every sheet, read back; rows are compared by their content and number
+        if workbook.unequal(cells, name, df).limit(1).count():
+            raise ValueError(f"the sheet {name}, read back, differs from its table")
+    discard(cells, *tables.values())
+    writers.upsert(got, f"{workspace}/data/index", "frame_id", "processed_at")
     rows = lambda df, *by: [r.asDict() for r in df.orderBy(*by).collect()] if df is not None else []  # noqa: E731  a row a group, or a group and side
     text = writers.delivery_report(rows(inventory.summary(listed.select("grp", "frame_id", "t"), settings), "grp"), rows(checks, "grp", "side"), rows(primary["totals"], "grp"), accepted)
     for name, body in {"report.md": text, "read_first.md": writers.READ_FIRST, "reproduce.md": writers.REPRODUCE}.items():

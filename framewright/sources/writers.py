@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.operators.integrity import table_differences
+from framewright.sources.readers import bucket_of
+from framewright.staging import discard, stage
 
 ONE_CSV_ROWS = 100_000
 # File endings that a delivery manifest lists.
@@ -30,25 +32,24 @@ def to_one_csv(df: DataFrame, path: str) -> None:
 
 
 def upsert(df: DataFrame, path: str, key: str, order: str) -> None:
-    """A key-value index as Parquet: old and new records, the last of each key; old files are replaced as a whole.
+    """A key-value index as Parquet in buckets of the key's hash: the last record of each key, by order.
 
-    The old files move aside before the new ones take their place, and come back if a writer was stopped in between.
+    Only the buckets that df touches are read, merged and replaced, each as a whole when the job commits; all others stay.
     """
     spark = df.sparkSession
-    folder, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + ".old"))
-    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if files.exists(aside) and not files.exists(folder):
-        files.rename(aside, folder)
-    everything = spark.read.parquet(path).unionByName(df) if files.exists(folder) else df
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+    new = df.withColumn("bucket__", bucket_of(key))
+    everything = new
+    if there:
+        touched = new.select("bucket__").distinct()  # INDEX_BUCKETS numbers at most
+        old = spark.read.schema(new.schema).parquet(path).join(F.broadcast(touched), "bucket__", "left_semi")
+        everything = old.unionByName(new)
     rest = [c for c in df.columns if c not in (key, order)]
-    last = everything.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("r")).select(key, "r.*")
-    fresh = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
-    last.write.mode("overwrite").parquet(path + ".new")
-    files.delete(aside, True)
-    if files.exists(folder):
-        files.rename(folder, aside)
-    files.rename(fresh, folder)
-    files.delete(aside, True)
+    last = everything.groupBy("bucket__", key).agg(F.max_by(F.struct(order, *rest), order).alias("r")).select(key, "r.*", "bucket__")
+    merged = stage(last)  # read to its end before anything is replaced
+    merged.repartition("bucket__").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket__").parquet(path)
+    discard(merged)
 
 
 def append_records(df: DataFrame, path: str) -> None:
@@ -79,6 +80,12 @@ def labelled(df: DataFrame, names: dict[str, str], values: dict[str, dict[str, s
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
 
 
+def spreadsheet(df: DataFrame) -> DataFrame:
+    """A table as a sheet can hold it: what is neither a number, a text nor a truth value becomes text."""
+    simple = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "string"}
+    return df.select(*[F.col(f"`{c}`") if kind in simple else F.col(f"`{c}`").cast("string").alias(c) for c, kind in df.dtypes])
+
+
 def delivery_sheets(primary: dict[str, DataFrame], candidate: dict[str, DataFrame], others: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The sheets of a delivery's workbook, one table each: both sets of statistics, the others, and the fields of all."""
     out = dict(others)

@@ -11,6 +11,7 @@ from framewright.functions import vision
 from framewright.operators import counting, review
 from framewright.plans import review_server, workflow
 from framewright.schemas import CANDIDATE, SECOND, Settings
+from framewright.sources import workbook, writers
 
 NAMES = [f.split(":")[0] for f in CANDIDATE.split(", ")]
 
@@ -114,7 +115,11 @@ def test_prepare_run_verify_export(spark, tmp_path):
     assert workflow.run(spark, str(out), *plan, 1, PLANS) == 1
     with pytest.raises(ValueError):
         workflow.verify(spark, str(out))
+    torn = next((out / "data/records").glob("*.json"))
+    torn.write_bytes(torn.read_bytes() + b'{"frame_id":"A/2.png","sta')
+    (torn.parent / f".{torn.name}.crc").unlink(missing_ok=True)
     assert workflow.run(spark, str(out), *plan, None, PLANS) == 3 and workflow.run(spark, str(out), *plan, None, PLANS) == 0
+    assert len(list((out / "data/records_torn").iterdir())) == 1
     got = {r.frame_id: r for r in workflow.records(spark, str(out)).collect()}
     assert [got[f"A/{i}.png"].auto_left_count for i in range(3)] == [1, 1, 1] and got["A/9.png"].status == "error"
     assert all(r.source_unchanged for k, r in got.items() if k != "A/9.png")
@@ -127,6 +132,7 @@ def test_prepare_run_verify_export(spark, tmp_path):
     assert (out / "data/primary/report.md").exists() and (out / "manifest.csv").exists()
     sheets = {p.name for p in (out / "data/sheets").iterdir()}
     assert len(sheets) == 20 and {"frames", "inventory", "samples", "primary_totals", "candidate_gaps", "fields"} <= sheets
+    assert len(workbook.sheet_names(f"{out}/report.xlsx")) == 20 and (out / "data/index").exists()
     report = (out / "report.md").read_text()
     assert "Accepted groups: A." in report and "| A | 4 |" in report and "No reference counts" in report and (out / "reproduce.md").exists() and (out / "read_first.md").exists()
     audit = json.loads((out / "qa/audit.json").read_text())
@@ -168,6 +174,7 @@ def test_replot(spark, tmp_path):
     spark.createDataFrame(rows, "grp string, frame_id string, t long, left_count int, right_count int, valid boolean").write.parquet(str(tmp_path / "frames"))
     out = workflow.replot(spark, str(tmp_path / "frames"), str(tmp_path / "out"), Settings())
     assert json.loads((out / "qa/statistics.json").read_text()) == {"conserved": True} and "| A |" in (out / "data/report.md").read_text()
+    assert sorted(p.name for p in (out / "data/figures").glob("*.svg")) == ["curve_actual_A.svg", "curve_effective_A.svg", "heatmap_A.svg"]
 
 
 def test_review_records_and_server(spark, tmp_path):
@@ -177,9 +184,13 @@ def test_review_records_and_server(spark, tmp_path):
     df = spark.createDataFrame(rows, "frame_id string, reviewer string, confirmed boolean, boxes array<struct<kind: string, bbox: array<double>>>")
     got = [r.problem for r in review.checked(df, known).collect()]
     assert sorted(got, key=str) == sorted([None, "unknown frame", "no reviewer", "not confirmed", "no valid boxes", "unknown kind", "box outside the image"], key=str)
-    for f, who, ok, boxes in rows:
-        assert review_server.problem({"frame_id": f, "reviewer": who, "confirmed": ok, "boxes": boxes}, {"a", "b"}) in got
-    spark.createDataFrame([("a", "A", "file:/x", "00", 1), ("b", "A", "file:/y", "11", 2)], "frame_id string, grp string, source_path string, source_sha256 string, t long").write.parquet(str(tmp_path / "data/inventory"))
+    for (f, who, ok, boxes), want in zip(rows, [None, "unknown frame", "no reviewer", "not confirmed", "no valid boxes", "unknown kind", "box outside the image"], strict=True):
+        assert review_server.accepted(spark, json.dumps({"frame_id": f, "reviewer": who, "confirmed": ok, "boxes": boxes}), known)[0] == want
+    for odd in ("[1]", '{"frame_id": "a", "reviewer": "me", "confirmed": true, "boxes": 7}', '{"frame_id": "a", "reviewer": "me", "confirmed": true, "boxes": [{"kind": "left", "bbox": ["x", 0, 1, 1]}]}'):
+        assert review_server.accepted(spark, odd, known)[0]
+    inventory_ = spark.createDataFrame([("a", "A", "file:/x", "00", 1), ("b", "A", "file:/y", "11", 2)], "frame_id string, grp string, source_path string, source_sha256 string, t long")
+    review.write_pages(inventory_, str(tmp_path / "data/pages"))
+    writers.upsert(inventory_, str(tmp_path / "data/frames_index"), "frame_id", "t")
     server = review_server.serve(spark, str(tmp_path), 0, forever=False)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
