@@ -3,6 +3,7 @@
     python -m framewright.plans.workflow doctor
     ... init-new --config study.json --output DIR      a new study: configuration and reference template only
     ... prepare --images DIR --output DIR              inventory of images with groups by folder, and samples
+    ... scenes --workspace DIR --places FILE --output FILE.npz   what the calibration images of each group show
     ... run --workspace DIR                            counts images that have no record yet
     ... smoke --workspace DIR --limit N                counts the first N only
     ... verify --workspace DIR [--baseline TABLE]      completeness and agreement of the records
@@ -115,6 +116,17 @@ def prepare(spark: SparkSession, images: str, output: str, settings: Settings |
     return path
 
 
+def make_scenes(spark: SparkSession, workspace: str, places: str, output: str) -> str:
+    """The scenes file of a workspace's calibration samples; places is a JSON file of each group's floor, divider and bounds."""
+    from framewright.operators import scenes
+
+    project(workspace, "replay")
+    chosen = spark.read.parquet(f"{workspace}/data/samples").where("split = 'calibration'").select("frame_id").distinct()
+    images = spark.read.parquet(f"{workspace}/data/inventory").join(chosen, "frame_id", "left_semi").select(F.col("grp").alias("group"), "source_path")
+    scenes.save(scenes.prepare(images, json.loads(Path(places).read_text())), output)
+    return output
+
+
 def assets(spark: SparkSession, workspace: str, scenes: str | None = None) -> dict:
     """The detector's recorded assets: hashes of its files and the software's versions. Written by the first run.
 
@@ -365,7 +377,7 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__.split("\n")[0])
     sub = parser.add_subparsers(dest="command", required=True)
     sub.add_parser("doctor")
-    for name, needed in {"init-new": ("config", "output"), "prepare": ("images", "output"), "replot": ("frames", "output"), "run": ("workspace",), "smoke": ("workspace",), "verify": ("workspace",), "export": ("workspace",), "review": ("workspace",)}.items():
+    for name, needed in {"init-new": ("config", "output"), "prepare": ("images", "output"), "scenes": ("workspace", "places", "output"), "replot": ("frames", "output"), "run": ("workspace",), "smoke": ("workspace",), "verify": ("workspace",), "export": ("workspace",), "review": ("workspace",)}.items():
         p = sub.add_parser(name)
         for option in needed:
             p.add_argument(f"--{option}", required=True)
@@ -389,6 +401,8 @@ def main(args: list[str] | None = None) -> int:
             print(init_new(a.config, a.output))
         elif a.command == "prepare":
             print(prepare(session(), a.images, a.output, settings))
+        elif a.command == "scenes":
+            print(make_scenes(session(), a.workspace, a.places, a.output))
         elif a.command == "replot":
             print(replot(session(), a.frames, a.output, settings))
         elif a.command in ("run", "smoke"):

@@ -27,7 +27,8 @@ def scene(spots=((60, 40), (60, 150)), size=(240, 300)):
 
 def scenes():
     empty = scene(())
-    return {"A": counting.prepare_scene([empty] * 3, 210, 100, [(0, 300)], 500) | {"calm": vision.contrast(empty, 12)} | {"colour": None}}
+    plant = vision.plant_mask(empty, 210, [(0, 300)], 500)
+    return {"A": {"calm": vision.contrast(empty, 12), "colour": None, "plant": plant, "distance": vision.distance(plant), "floor": 210, "divider": 100}}
 
 
 SMALL = vision.Params(min_area=200, blur=12)
@@ -68,6 +69,30 @@ def test_gradient_machine_separates():
     assert all(vision.hog(window(True)) @ w + b > vision.hog(window(False)) @ w + b for _ in range(10))
 
 
+def test_windows_are_scored_on_one_grid_a_scale():
+    rng = np.random.default_rng(4)
+    g, w, b = rng.uniform(0, 255, (150, 131)), rng.normal(size=3 * 7 * 36), 0.2
+    passes, real = [], vision.hog_blocks
+    vision.hog_blocks = lambda image, *a: passes.append(image.shape) or real(image, *a)
+    try:
+        found = dict((tuple(box), score) for box, score in vision.windows(g, w, b, -1e9, (32, 64)))
+    finally:
+        vision.hog_blocks = real
+    factors = list(vision.scales(g, (32, 64), 1.06))
+    assert len(passes) == len(factors) > 10
+    for factor, small in factors[::4]:
+        blocks = vision.hog_blocks(small)
+        for y in range(0, small.shape[0] - 63, 8):
+            for x in range(0, small.shape[1] - 31, 8):
+                score = blocks[y // 8 : y // 8 + 7, x // 8 : x // 8 + 3].ravel() @ w + b
+                assert abs(found[tuple(round(v * factor) for v in (x, y, 32, 64))] - score) < 1e-9
+    alone = vision.hog_blocks(g[16:80, 16:64])  # away from its border a window alone has the grid's blocks
+    assert np.allclose(alone[1:-1, 1:-1], vision.hog_blocks(g)[3:8, 3:6])
+    hard = vision.hardest_windows(g, w, b, 5, (64, 32), -1e9)
+    top = sorted((s for k, s in found.items() if k[2:] == (32, 64)), reverse=True)[:5]
+    assert np.allclose([h @ w + b for h in hard], top)
+
+
 def test_regions_equal_sums_over_each():
     rng = np.random.default_rng(5)
     labels, n = vision.components(rng.random((60, 70)) < 0.3)
@@ -142,6 +167,29 @@ def test_prepare_run_verify_export(spark, tmp_path):
         workflow.verify(spark, str(out))
 
 
+def test_scenes_by_tiles_equal_whole_stacks(spark, tmp_path):
+    from framewright.operators import scenes as tiled
+
+    rng = np.random.default_rng(7)
+    images = [np.clip(scene(((60, 40 + 20 * i),), (300, 520)).astype(int) + rng.integers(-9, 9, (300, 520, 3)), 0, 255).astype(np.uint8) for i in range(4)]
+    for i, im in enumerate(images):
+        (tmp_path / f"{i}.png").write_bytes(vision.png_bytes(im))
+    rows = [(g, str(tmp_path / f"{i}.png")) for i in range(4) for g in ("A", "B") if g == "A" or i < 3]
+    cut = tiled.tiles(spark.createDataFrame(rows, "group string, source_path string"))
+    assert cut.where("layer = 'calm'").count() == 7 * 6 and cut.groupBy("group", "layer", "row", "column").count().agg(F.max("count")).first()[0] == 4
+    got = tiled.prepare(spark.createDataFrame(rows, "group string, source_path string"), {g: {"floor": 210, "divider": 100, "bounds": [[0, 520]], "least": 500} for g in ("A", "B")})
+    for g, own in (("A", images), ("B", images[:3])):
+        calm = np.quantile(np.stack([vision.contrast(i) for i in own]).astype(np.float32), 0.15, axis=0)
+        colour = np.quantile(np.stack([vision.chromatic(i)[0] for i in own]).astype(np.float32), 0.15, axis=0)
+        plant = vision.plant_mask(np.median(np.stack(own), axis=0).astype(np.uint8), 210, [(0, 520)], 500)
+        assert np.allclose(got[g]["calm"], calm, atol=1e-6) and np.allclose(got[g]["colour"], colour, atol=1e-6) and (got[g]["plant"] == plant).all() and plant.any()
+    tiled.save(got, str(tmp_path / "scenes.npz"))
+    read, _ = counting.load_scenes(str(tmp_path / "scenes.npz"))
+    assert read["B"]["floor"] == 210 and (read["A"]["calm"] == got["A"]["calm"]).all()
+    with pytest.raises(ValueError, match="no calibration"):
+        tiled.prepare(spark.createDataFrame(rows, "group string, source_path string"), {"C": {"floor": 1, "divider": 1, "bounds": []}})
+
+
 def test_annotations_find_their_images(spark, tmp_path):
     spark.createDataFrame([("a", "file:/x"), ("b", "file:/y")], "frame_id string, source_path string").write.parquet(str(tmp_path / "data/inventory"))
     spark.createDataFrame([("A_cal_01", "b")], "sample_id string, frame_id string").write.parquet(str(tmp_path / "data/samples"))
@@ -216,7 +264,7 @@ def test_hybrid_detector(spark):
     patch = lambda y, x: vision.grey(base)[y - 32 : y + 32, x - 16 : x + 16]
     w, b = vision.train([patch(60, 40), patch(60, 150), patch(165, 40)], [np.clip(rng.normal(150, 3, (64, 32)), 0, 255) for _ in range(10)] + [patch(200, 250)], [vision.grey(scene(()))], rounds=1, copies=4)
     # the machine's windows are small here, so they are measured by hand
-    sc, hits = scenes()["A"], vision.windows(vision.grey(base), w, b, 0.3, (32, 64), 4, 3.0)
+    sc, hits = scenes()["A"], vision.windows(vision.grey(base), w, b, 0.3, (32, 64), 8, 3.0)
     sure = vision.measured_windows.__globals__
     real = sure["windows"]
     sure["windows"] = lambda g, weights, bias, least: hits
