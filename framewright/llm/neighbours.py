@@ -190,20 +190,21 @@ def search(table: DataFrame, every: int = 100, count: int = 10, functions: int =
 
     table has vec_id and embedding. Rows whose vector is NULL, empty, zero, or has NULL or non-finite components take
     no part, nor do those whose vec_id is NULL; vectors of another dimension than the query's are no candidates. Of
-    rows at the same distance those of smaller vec_id come first. Rows that repeat a vec_id with its vector count once;
+    rows at the same distance those of smaller vec_id come first. Rows that repeat a vec_id with its vector count once; of
+    a query's vectors that differ the least by its bytes asks;
     an empty table gives an empty result; other columns are not read, whatever their names. A query always gets count
     rows, or all others of its dimension if there are fewer.
     """
     spark = table.sparkSession
     work = Workspace(spark, "neighbours")
     kind = "<f4" if table.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
-    rows = work.keep(_usable(table, kind))
+    rows = work.keep(_usable(table, kind).select("vec_id", "v").distinct())  # repeated rows meet in their tasks first
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(BLOCK).collect()  # bounded, for the scale only
     scale = float(np.median([np.linalg.norm(np.frombuffer(r.v, kind).astype(float)) for r in sample])) if sample else 1.0
     copies = Window.partitionBy("v").orderBy("vec_id")
     candidates = work.keep(rows.withColumn("copy", F.dense_rank().over(copies)).where(F.col("copy") <= count + 1).select("vec_id", "v"))
-    queries = work.keep(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).repartition(partitions, "vec_id"))
+    queries = work.keep(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).repartition(partitions, "vec_id"))
     work.drop(rows)
     made: dict[int, Hashing] = {}
 

@@ -45,7 +45,8 @@ def canonical(url: Column) -> Column:
     """The form in which URLs are compared: host without www. or m., path without closing slash or .html, and the
     query without utm_ parameters; scheme and fragment go. NULL where the url has no host."""
     host = F.regexp_replace(host_of(url), r"^(www|m)\.", "")
-    path = F.regexp_replace(path_of(url), r"(\.html|/+)$", "")
+    path = path_of(url)
+    path = F.when(path.endswith(".html"), F.left(path, F.length(path) - 5)).otherwise(F.rtrim(path, F.lit("/")))
     query = F.regexp_extract(url, r"^(?s:.*?)://[^?#]*\?([^#]*)", 1)
     query = F.regexp_replace(F.regexp_replace(query, r"(^|&)utm_[^&]*", ""), r"^&", "")
     return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))

@@ -84,3 +84,16 @@ def test_dimensions_keep_apart_and_crowded_buckets_split(spark, monkeypatch):
     assert set(got) == set(want) and all(len(own) == 10 for own in got.values())
     assert sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
     assert all(v >= 1000 for v, _ in got[1000])
+
+
+def test_repeated_rows_count_once_before_they_are_dealt(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(40, 8)).tolist()
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    schema = "vec_id long, embedding array<double>"
+    hot = spark.createDataFrame(rows, schema).unionByName(spark.createDataFrame(rows[7:8], schema).join(spark.range(3000), how="cross").drop("id"))
+    twice = hot.unionByName(spark.createDataFrame([(0, vectors[39])], schema))  # a query with two vectors
+    got = neighbours.search(hot, every=10).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, neighbours.search(spark.createDataFrame(rows, schema), every=10).collect()))
+    once = [sorted(map(tuple, neighbours.search(twice.repartition(n), every=10).collect())) for n in (1, 7)]
+    assert once[0] == once[1]

@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from framewright.llm import licenses, queries, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -148,3 +150,9 @@ def test_license_finds_every_notice_of_a_file(spark):
     assert set(names) <= got[0]
     assert all({names[i], names[j]} <= got[1 + k] for k, (i, j) in enumerate(pairs))
     assert all(names[k] in got[1000 + k] for k in range(len(names)))
+
+
+def test_canonical_urls_of_many_slashes(spark):
+    urls = {"http://www.a.com/x.html": "a.com/x", "http://m.a.com/x///": "a.com/x", "http://a.com/x.html/": "a.com/x.html", "http://a.com/.html": "a.com/", "http://a.com": "a.com", "http://a.com" + "/" * 200000 + "b": "a.com" + "/" * 200000 + "b", "http://a.com/" + "/" * 200000: "a.com"}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", urlfilter.canonical(F.col("url")).alias("c")).collect()
+    assert {r.url: r.c for r in rows} == urls
