@@ -122,9 +122,10 @@ def coordinates(frames: DataFrame) -> DataFrame:
     )
 
 
-def rescale(points: Column, preview_width: Column, full_width: int = 4416) -> Column:
+def rescale(points: Column, preview_width: Column, full_width: int | Column = 4416) -> Column:
     """Annotation points from preview to full resolution."""
-    return F.transform(points, lambda p: F.transform(p, lambda v: v * (F.lit(float(full_width)) / preview_width)))
+    full = full_width.cast("double") if isinstance(full_width, Column) else F.lit(float(full_width))
+    return F.transform(points, lambda p: F.transform(p, lambda v: v * (full / preview_width)))
 
 
 def greedy(points: DataFrame, rx: float, ry: float) -> DataFrame:

@@ -178,8 +178,8 @@ def overall(spark, d):
 
 @query(
     f"""WITH {FRAMES}, {INTERVALS}, w AS (SELECT grp, sum(end_t - start_t) / 1e6 AS obs, sum((l0 + l1) / 2 * (end_t - start_t) / 1e6) / 60 AS ls, sum((r0 + r1) / 2 * (end_t - start_t) / 1e6) / 60 AS rs FROM iv GROUP BY grp)
-SELECT grp, axis, window_seconds::INTEGER AS window_seconds, round(obs, 4) AS bin_seconds, round(ls, 4) AS bin_left, round(rs, 4) AS bin_right, true AS conserved
-FROM w, (VALUES ('effective'), ('actual')) a(axis), (VALUES (600), (3600)) s(window_seconds)"""
+SELECT grp, axis, window_seconds::INTEGER AS window_seconds, round(obs, 4) AS bin_seconds, round(ls, 4) AS bin_left, round(rs, 4) AS bin_right, abs(s - obs) < 1e-2 AND abs(l - ls) < 1e-2 AND abs(r - rs) < 1e-2 AS conserved
+FROM w JOIN ({" UNION ALL ".join(f"SELECT grp, axis, window_seconds, sum(observed_seconds) AS s, sum(left_insect_minutes) AS l, sum(right_insect_minutes) AS r FROM ({SQL[f'rebin_{n}_{a}']}) GROUP BY ALL" for n in (600, 3600) for a in ("effective", "actual"))}) USING (grp)"""
 )
 def conservation_check(spark, d):
     f = frames(spark, d)

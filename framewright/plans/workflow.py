@@ -4,6 +4,7 @@
     ... init-new --config study.json --output DIR      a new study: configuration and reference template only
     ... prepare --images DIR --output DIR              inventory of images with groups by folder, and samples
     ... scenes --workspace DIR --places FILE --output FILE.npz   what the calibration images of each group show
+    ... train --workspace DIR --points FILE --scenes FILE.npz    the machine of windows, from annotated samples
     ... run --workspace DIR                            counts images that have no record yet
     ... smoke --workspace DIR --limit N                counts the first N only
     ... verify --workspace DIR [--baseline TABLE]      completeness and agreement of the records
@@ -127,6 +128,26 @@ def make_scenes(spark: SparkSession, workspace: str, places: str, output: str) -
     return output
 
 
+def train(spark: SparkSession, workspace: str, points: str, boxes: str | None, scenes_file: str) -> str:
+    """Trains the window machine from annotated samples and adds it to a scenes file.
+
+    points is {"samples": {sample: {"width": pixels, "points": [[x, y]]}}}, boxes an array of {"sample_id", "bbox"}.
+    """
+    from framewright.operators import counting, detections, scenes, training
+
+    project(workspace, "replay")
+    notes = [(k, float(v["width"]), [[float(c) for c in p] for p in v["points"]]) for k, v in json.loads(Path(points).read_text())["samples"].items()]
+    found = annotation_paths(spark, workspace, spark.createDataFrame(notes, "sample_id string, preview double, points array<array<double>>"))
+    width = spark.read.parquet(f"{workspace}/data/inventory").select("frame_id", F.col("width").alias("full"))
+    found = found.join(width, "frame_id").withColumn("points", detections.rescale(F.col("points"), F.col("preview"), F.col("full")))
+    kind = "sample_id string, bbox array<double>"
+    reviewed = readers.json_array(spark, boxes, kind) if boxes else spark.createDataFrame([], kind)
+    weights, bias = training.train(training.annotated(found, reviewed))
+    own, _ = counting.load_scenes(scenes_file)
+    scenes.save(own | {"machine": {"weights": weights, "bias": bias}}, scenes_file)
+    return scenes_file
+
+
 def assets(spark: SparkSession, workspace: str, scenes: str | None = None) -> dict:
     """The detector's recorded assets: hashes of its files and the software's versions. Written by the first run.
 
@@ -377,13 +398,15 @@ def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__.split("\n")[0])
     sub = parser.add_subparsers(dest="command", required=True)
     sub.add_parser("doctor")
-    for name, needed in {"init-new": ("config", "output"), "prepare": ("images", "output"), "scenes": ("workspace", "places", "output"), "replot": ("frames", "output"), "run": ("workspace",), "smoke": ("workspace",), "verify": ("workspace",), "export": ("workspace",), "review": ("workspace",)}.items():
+    for name, needed in {"init-new": ("config", "output"), "prepare": ("images", "output"), "scenes": ("workspace", "places", "output"), "train": ("workspace", "points", "scenes"), "replot": ("frames", "output"), "run": ("workspace",), "smoke": ("workspace",), "verify": ("workspace",), "export": ("workspace",), "review": ("workspace",)}.items():
         p = sub.add_parser(name)
         for option in needed:
             p.add_argument(f"--{option}", required=True)
         if name in ("run", "smoke"):
             p.add_argument("--scenes", required=True, help="npz file: for each group, group/calm, group/plant, group/floor, group/divider; for windows, machine/weights and machine/bias")
             p.add_argument("--limit", type=int, default=7 if name == "smoke" else None)
+        if name == "train":
+            p.add_argument("--boxes", help="JSON array of reviewed boxes without an insect")
         if name == "verify":
             p.add_argument("--baseline")
         if name in ("prepare", "replot", "export"):
@@ -403,6 +426,8 @@ def main(args: list[str] | None = None) -> int:
             print(prepare(session(), a.images, a.output, settings))
         elif a.command == "scenes":
             print(make_scenes(session(), a.workspace, a.places, a.output))
+        elif a.command == "train":
+            print(train(session(), a.workspace, a.points, a.boxes, a.scenes))
         elif a.command == "replot":
             print(replot(session(), a.frames, a.output, settings))
         elif a.command in ("run", "smoke"):
