@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -57,12 +59,23 @@ def domain_sample(docs: DataFrame, labels: DataFrame, names: list[str], column:
     return _bounded(docs, ids, ["doc_id", "domain"], size).select("doc_id", "domain", "text")
 
 
+def _hand_back() -> None:
+    """Gives memory that a fit has freed back to the system, where its C library can, as the worker goes on to other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def fitted(sample: DataFrame, fit_rows: Callable[[list[tuple]], object]) -> object:
     """What fit_rows makes of the sorted rows of a bounded sample, in one task; only the model comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(tuple(r.values()) for batch in batches for r in batch.to_pylist())
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit_rows(rows))], pa.binary())})
+        model = pickle.dumps(fit_rows(rows))
+        del rows
+        _hand_back()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.binary())})
 
     found = sample.repartition(1).mapInArrow(run, "model binary").collect()  # one row
     return pickle.loads(found[0].model) if found else fit_rows([])  # a plan without any partition has no task
