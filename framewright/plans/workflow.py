@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,11 +113,45 @@ def prepare(spark: SparkSession, images: str, output: str, settings: Settings |
         raise ValueError("frame identifiers repeat")
     review.write_pages(rows.select("grp", "t", "frame_id", "source_path", "source_sha256", "rank"), f"{path}/data/pages")
     writers.upsert(rows.select("frame_id", "grp", "source_path", "source_sha256", "modified"), f"{path}/data/frames_index", "frame_id", "modified")
+    contact_sheets(spark, str(path))
     writers.to_one_csv(inventory.summary(rows, settings), f"{path}/data/inventory_summary.csv")
     writers.to_csv(inventory.acquisition_gaps(rows.where("t is not null"), settings), f"{path}/data/acquisition_gaps")
     return path
 
 
+def contact_sheets(spark: SparkSession, workspace: str, size: tuple[int, int] = (180, 320), columns: int = 5) -> None:
+    """An overview of each group's samples as evidence/contact_<group>.png, in the order of their names.
+
+    Every image is read and shrunk by its own task; a group's samples, a few dozen, then make one sheet. Images that can't
+    be read are left out.
+    """
+    from framewright.functions import vision
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for group, sample, source in zip(pdf.grp, pdf.sample_id, pdf.source_path, strict=True):
+                try:
+                    rows.append((group, sample, vision.contact_sheet([vision.decode(readers.file_bytes(source))], 1, size).tobytes()))
+                except Exception as e:  # noqa: BLE001  whatever an image does to a decoder, the overview goes on without it
+                    LOG.warning("%s isn't in the overview: %s", source, e)
+            yield pd.DataFrame(rows, columns=["grp", "sample_id", "small"])
+
+    def sheet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_id")
+        images = [np.frombuffer(b, np.uint8).reshape(*size, 3) for b in pdf.small]
+        where, path = readers.file_system(f"{workspace}/evidence/contact_{pdf.grp.iloc[0]}.png")
+        where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with where.open_output_stream(path) as f:
+            f.write(vision.png_bytes(vision.contact_sheet(images, columns, size)))
+        return pd.DataFrame({"grp": [pdf.grp.iloc[0]]})
+
+    sources = spark.read.parquet(f"{workspace}/data/inventory").select("frame_id", "source_path")
+    chosen = spark.read.parquet(f"{workspace}/data/samples").select("grp", "sample_id", "frame_id").join(sources, "frame_id")
+    chosen = chosen.repartition(16 * spark.sparkContext.defaultParallelism)
+    chosen.mapInPandas(shrink, "grp string, sample_id string, small binary").groupBy("grp").applyInPandas(sheet, "grp string").collect()  # a row a group
+
+
 def make_scenes(spark: SparkSession, workspace: str, places: str, output: str) -> str:
     """The scenes file of a workspace's calibration samples; places is a JSON file of each group's floor, divider and bounds."""
     from framewright.operators import scenes

@@ -190,6 +190,17 @@ def test_scenes_by_tiles_equal_whole_stacks(spark, tmp_path):
         tiled.prepare(spark.createDataFrame(rows, "group string, source_path string"), {"C": {"floor": 1, "divider": 1, "bounds": []}})
 
 
+def test_contact_sheets(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.png").write_bytes(vision.png_bytes(scene()))
+    (tmp_path / "3.png").write_bytes(b"broken")
+    spark.createDataFrame([(str(i), str(tmp_path / f"{i}.png")) for i in range(4)], "frame_id string, source_path string").write.parquet(str(tmp_path / "data/inventory"))
+    spark.createDataFrame([("A" if i else "B", f"s{i}", str(i)) for i in range(4)], "grp string, sample_id string, frame_id string").write.parquet(str(tmp_path / "data/samples"))
+    workflow.contact_sheets(spark, str(tmp_path), (20, 30), 2)
+    shapes = {p.name: vision.decode(p.read_bytes()).shape for p in (tmp_path / "evidence").iterdir()}
+    assert shapes == {"contact_A.png": vision.contact_sheet([scene()] * 2, 2, (20, 30)).shape, "contact_B.png": vision.contact_sheet([scene()], 2, (20, 30)).shape}
+
+
 def test_annotations_find_their_images(spark, tmp_path):
     spark.createDataFrame([("a", "file:/x"), ("b", "file:/y")], "frame_id string, source_path string").write.parquet(str(tmp_path / "data/inventory"))
     spark.createDataFrame([("A_cal_01", "b")], "sample_id string, frame_id string").write.parquet(str(tmp_path / "data/samples"))
