@@ -19,13 +19,16 @@ P, two members x and y link if and only if
 
 Writing a for the left terms of one member, a_x + a_y <= 0 links without anything in common, so all such members hang
 together through the member of least a: one comparison each. All other links need elements of E in common, and enough
-of them that most members are ruled out by counting elements that two members hold; the rest meet through a prefix of
-their rarest elements, are estimated from their registers and verified on their full differences.
+of them that most members are ruled out by counting elements that members of two components hold; the rest meet through
+a prefix of their rarest elements, are estimated from their registers and verified on their full differences. Where many
+meet under one element they are compared with one of them first, which makes a component of each further dense family
+without listing its pairs; what is listed in the end are pairs of different components only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ from framewright.llm.components import HUBS, connected, matched
 
 REGISTERS, BANDS, ROWS, MANTISSA = 125, 25, 5, 10
 PART = 128  # members of a cluster that are handled together
+PAIRS = 4  # pairs a row from which on members are compared with leaders first
 TIGHT, MARGIN = 0.7, 0.25  # a close resemblance; what estimates may err by, six to eight of their standard deviations
 _rng = np.random.default_rng(20)
 _SEEDS = _rng.integers(1, 1 << 63, 2, dtype=np.uint64) | tk.U64(1)
@@ -222,6 +226,83 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "xn", "yn", "xr", "yr", "xe", "ye").mapInArrow(run, "a long, b long")
 
 
+def _meetings(e: DataFrame, lows: DataFrame, links_found: DataFrame | None, work: Workspace, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (rep, cluster, comp, a, u, s): members by the elements under which they can meet one of another component.
+
+    The first table has members that hang to no star, the second whatever may link with one of these. Only elements that
+    members of several components hold count: links are sought between components alone.
+    """
+    double = 2 * (100 + percent)
+    place = ["cluster", "part"]
+    beyond = lows.where("hub.a + most > 0").select("cluster", "hub", "parts")
+    hub = F.col("hub.a")
+    held = e.join(_for_parts(beyond), place).withColumn("comp", F.when(F.col("a") + hub <= 0, F.col("hub.rep")).otherwise(F.col("rep")))
+    if links_found is not None:
+        held = held.join(links_found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "comp"))
+    table = work.keep(held.select("rep", *place, "parts", "comp", "a", hub.alias("least")))
+    items = held.select("rep", "cluster", "comp", F.explode("e").alias("s"))
+    df = items.groupBy("cluster", "s").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("cluster", "s", "df")
+    shared = items.drop("comp").join(df, ["cluster", "s"]).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))  # part of one set
+    known = work.keep(table.join(shared, "rep").withColumn("u", F.size("shared")))
+    most = known.groupBy("cluster").agg(F.max(F.lit(double) * F.col("u") - F.col("a")).alias("most"), F.first("parts").alias("parts"))
+    x = known.where("a + least > 0").join(_for_parts(most), place).where((F.col("a") <= F.col("most")) & (F.lit(double) * F.col("u") >= F.col("a") + F.col("least")))
+    need = x.groupBy("cluster").agg(F.min("a").alias("need"), F.first("parts").alias("parts"))
+    y = known.join(_for_parts(need), place).where(F.lit(double) * F.col("u") >= F.col("a") + F.col("need"))
+
+    def listed(side: DataFrame, other: str) -> DataFrame:
+        common = F.greatest(F.ceil((F.col("a") + F.col(other)) / double).cast("int"), F.lit(1))
+        prefix = F.slice("shared", F.lit(1), F.greatest(F.col("u") - common + 1, F.lit(0)))
+        return work.keep(side.select("rep", "cluster", "comp", "a", "u", F.explode(prefix["s"]).alias("s")))
+
+    met = listed(x, "least"), listed(y, "need")
+    work.drop(table, known)
+    return met
+
+
+def _number_of_pairs(xs: DataFrame, ys: DataFrame) -> tuple[int, int]:
+    """How many rows meet one of another component under one element, and how many rows there are."""
+    both = xs.select("cluster", "s", "comp", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(ys.select("cluster", "s", "comp", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    own = both.groupBy("cluster", "s", "comp").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    of_s = own.groupBy("cluster", "s").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("inner"))
+    found = of_s.agg(F.sum((F.col("x") * F.col("y") - F.col("inner")).cast("decimal(38,0)")).alias("pairs"), F.sum(F.col("x") + F.col("y")).alias("rows")).first()
+    return int(found.pairs or 0), found.rows or 0
+
+
+def _beyond_stars(e: DataFrame, lows: DataFrame, star: DataFrame, work: Workspace, percent: int) -> list[DataFrame]:
+    """Tables of links (a, b) between members that the stars leave in different components, enough to connect all that link.
+
+    Where many would meet under an element, as in further dense families of a cluster, all of them are first compared
+    with one, the same of a family for nearly all its elements, so that families become components without listing
+    their pairs. Elements that only one component holds then rule their members out. This is repeated while a fifth of
+    the pairs goes each time; those left are listed and verified.
+    """
+    double = 2 * (100 + percent)
+    side = e.select("rep", "n", "registers", "e")
+
+    def verified(some: DataFrame) -> DataFrame:
+        met = some.join(ys.withColumnRenamed("rep", "y"), ["cluster", "s"]).where((F.col("comp") != F.col("xc")) & (F.lit(double) * F.least("u", "xu") >= F.col("a") + F.col("xa")))
+        met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return work.keep(_verified(met.join(side.toDF("a", "xn", "xr", "xe"), "a").join(side.toDF("b", "yn", "yr", "ye"), "b"), percent))
+
+    own = [F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("a").alias("xa"), F.col("u").alias("xu")]
+    found: list[DataFrame] = []
+    xs, ys = _meetings(e, lows, None, work, percent)
+    pairs, rows = _number_of_pairs(xs, ys)
+    before = 2 * pairs + 1
+    while pairs > PAIRS * rows and 5 * pairs <= 4 * before:
+        by = F.struct(F.xxhash64("rep", F.lit(len(found))).alias("h"), *own)
+        leaders = xs.groupBy("cluster", "s").agg(F.min(by).alias("first")).select("cluster", "s", "first.*").drop("h")
+        found.append(verified(leaders))
+        work.drop(xs, ys)
+        labels = connected(reduce(DataFrame.unionByName, found, star), work)
+        xs, ys = _meetings(e, lows, labels, work, percent)
+        before = pairs
+        pairs, rows = _number_of_pairs(xs, ys)
+    if pairs:
+        found.append(verified(xs.select("cluster", "s", *own)))
+    return found
+
+
 def links(docs: DataFrame, reps: DataFrame, work: Workspace, size: int, percent: int) -> DataFrame:
     """Edges (a, b) between class representatives, enough to connect all that link.
 
@@ -265,31 +346,12 @@ def links(docs: DataFrame, reps: DataFrame, work: Workspace, size: int, percent:
     work.drop(first, sets)
     low, high = 100 - percent, 100 + percent
     e = e.withColumn("a", F.lit(high) * F.size("e") - F.lit(low) * F.col("n"))
-    lows = e.groupBy("cluster").agg(F.min(F.struct("a", "rep")).alias("hub"), F.first("parts").alias("parts"))
-    place = ["cluster", "part"]
-    table = work.keep(e.join(_for_parts(lows), place).select("rep", *place, "parts", "n", "a", F.col("hub.a").alias("least"), F.col("hub.rep").alias("hub")))
-    star = table.where("a + least <= 0 and rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    # whoever hangs to no hub: only in clusters that have some
-    open_clusters = table.where("a + least > 0").groupBy("cluster").agg(F.first("parts").alias("parts"))
-    items = e.join(_for_parts(open_clusters), place, "left_semi").select("rep", "cluster", F.explode("e").alias("s"))
-    df = items.groupBy("cluster", "s").agg(F.count("*").alias("df")).where("df > 1")
-    items = items.join(df, ["cluster", "s"])
-    shared = work.keep(items.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared")))  # part of one set
-    double = 2 * high
-    known = table.join(shared, "rep").withColumn("u", F.size("shared"))
-    bound = known.groupBy("cluster").agg(F.max(F.lit(double) * F.col("u") - F.col("a")).alias("most"), F.first("parts").alias("parts"))
-    x = known.where("a + least > 0").join(_for_parts(bound), place).where((F.col("a") <= F.col("most")) & (F.lit(double) * F.col("u") >= F.col("a") + F.col("least")))
-    x = x.select("rep", "cluster", "parts", "a", F.slice("shared", F.lit(1), F.greatest(F.col("u") - F.ceil((F.col("a") + F.col("least")) / double).cast("int") + 1, F.lit(0))).alias("prefix"))
-    x = work.keep(x)
-    need = x.groupBy("cluster").agg(F.min("a").alias("need"), F.first("parts").alias("parts"))
-    y = known.join(_for_parts(need), place).where(F.lit(double) * F.col("u") >= F.col("a") + F.col("need"))
-    y = y.select("rep", "cluster", F.slice("shared", F.lit(1), F.greatest(F.col("u") - F.greatest(F.ceil((F.col("a") + F.col("need")) / double).cast("int"), F.lit(1)) + 1, F.lit(0))).alias("prefix"))
-    xs = x.select(F.col("rep").alias("x"), "cluster", F.explode("prefix.s").alias("s"))
-    ys = y.select(F.col("rep").alias("y"), "cluster", F.explode("prefix.s").alias("s"))
-    pairs = xs.join(ys, ["cluster", "s"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = e.select("rep", "n", "registers", "e")
-    pairs = pairs.join(side.toDF("a", "xn", "xr", "xe"), "a").join(side.toDF("b", "yn", "yr", "ye"), "b")
-    return work.keep(star.unionByName(_verified(pairs, percent)))
+    lows = e.groupBy("cluster").agg(F.min(F.struct("a", "rep")).alias("hub"), F.max("a").alias("most"), F.first("parts").alias("parts"))
+    lows = work.keep(lows)
+    star = e.drop("parts").join(_for_parts(lows), ["cluster", "part"]).where("a + hub.a <= 0 and rep <> hub.rep")
+    star = work.keep(star.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")))
+    others = _beyond_stars(e, lows, star, work, percent)
+    return work.keep(reduce(DataFrame.unionByName, others, star))
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:

@@ -115,6 +115,27 @@ def test_families_that_share_a_long_passage_stay_apart(spark):
     assert got == brute(table) and sum(k for *_, k in got) == 30
 
 
+def test_pairs_of_dense_families_of_a_cluster_grow_with_the_documents(spark, monkeypatch):
+    # one long passage and one of three, or texts near the threshold: the common set leans to one family only
+    verified, seen = neardup._verified, []
+    monkeypatch.setattr(neardup, "_verified", lambda pairs, percent: seen.append(pairs.count()) or verified(pairs, percent))
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(9000)]
+    passage = [rng.choice(words) for _ in range(160)]
+    three = [[rng.choice(words) for _ in range(40)] for _ in range(3)]
+    rows = []
+    for i in range(360):
+        own = [rng.choice(words), rng.choice(words)]
+        text = passage + three[i % 3] + own
+        if i % 9 == 8:  # some miss part of their family
+            at = rng.randrange(160, 190)
+            text = text[:at] + own + text[at + 8 :]
+        rows.append((i, " ".join(text)))
+    got = result(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows)
+    assert sum(seen) < 10 * len(rows)  # a family alone has 7,140 pairs
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(3)
     for n in (16, 60, 2000):
