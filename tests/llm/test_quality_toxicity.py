@@ -75,6 +75,86 @@ def test_toxicity_held_out_accuracy(spark):
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.015 * len(clean)
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(h):
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        h = (h ^ (h >> shift)) * factor & MASK
+    return h ^ (h >> 32)
+
+
+def word_hash(word):
+    return mixed((sum(int(tk._table[b]) * pow(tk._MUL, k, 1 << 64) for k, b in enumerate(word)) + len(word)) & MASK)
+
+
+def direct_quality(text, model):
+    """The probability of one text, n-gram by n-gram in whole numbers."""
+    data = (text or "").encode()
+    own = {w: word_hash(w) for w in set(re.findall(rb"[^\x20\x09-\x0D]+", data))}
+    words = [own[w] for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    shift, odd = 64 - quality.BITS, int(tk.ODD)
+    single = [((w * odd + 1) & MASK) >> shift for w in words]
+    double = [((mixed((a * tk._MUL + b) & MASK) * odd + 2) & MASK) >> shift for a, b in zip(words, words[1:])]
+    four = [(int.from_bytes(data[i : i + 4], "big") * odd * 0xBF58476D1CE4E5B9 & MASK) >> shift for i in range(len(data) - 3)]
+    total = sum(sum(float(w[b]) for b in buckets) / len(buckets) for w, buckets in zip(model.weights, (single, double, four), strict=True) if buckets)
+    return 1 / (1 + np.exp(-(model.a * total + model.b)))
+
+
+def test_quality_equals_a_sum_n_gram_by_n_gram(spark, sf):
+    docs, labels = tables(spark, sf)
+    model = quality.model_for(docs, labels)
+    assert model.weights.any()
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(ODD_TEXTS, 10**6)), "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in some.collect()}
+    found = quality.judge(some, model).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        want = direct_quality(texts[r.doc_id], model)
+        assert abs(r.quality - want) < 1e-6
+        if abs(want - quality.THRESHOLD) > 1e-6:
+            n_words, *_, n_repeat = brute(texts[r.doc_id])
+            assert r.kept == (want >= quality.THRESHOLD and n_words >= 10 and 100 * n_repeat <= 20 * n_words)
+
+
+def direct_toxicity(text, model):
+    """The score of one text: its words one by one, each by its subsequences of three characters within a span of five."""
+    words: list[bytes] = []
+    joins = False
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        if joins and len(w) == 1:
+            words[-1] += w
+        else:
+            words.append(w)
+        joins = len(w) == 1
+    values = {}
+    for w in set(words):
+        code = toxicity.CODES[np.frombuffer(w, np.uint8)].tolist()
+        held = Counter()
+        for i in range(len(code)):
+            for j in range(i + 1, min(i + 5, len(code))):
+                for k in range(j + 1, min(i + 5, len(code))):
+                    held[code[i] << 12 | code[j] << 6 | code[k]] += toxicity.DECAY ** (k - i - 2)
+        values[w] = sum(v * float(model.table[x]) for x, v in held.items()) / max(1.0, sum(v * v for v in held.values())) ** 0.5
+    highest = sorted((values[w] for w in words), reverse=True)[:2]
+    return 1 / (1 + np.exp(-(model.a * (sum(highest) / len(highest) if highest else model.floor) + model.b)))
+
+
+def test_toxicity_equals_a_sum_word_by_word(spark, sf):
+    docs, labels = tables(spark, sf)
+    model = toxicity.model_for(docs, labels)
+    assert model.table.any()
+    odd = [*ODD_TEXTS, "s t u p i d one", "STUPID stupid", "a", "ab ab", "x é y", "i d i o t\ti d i o t"]
+    some = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(odd, 10**6)), "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in some.collect()}
+    found = toxicity.score(some, model).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        want = direct_toxicity(texts[r.doc_id], model)
+        assert abs(r.score - want) < 1e-4
+        assert abs(want - 0.5) <= 1e-4 or r.predicted == (want >= 0.5)
+
+
 def test_kernel_table_equals_direct_sum():
     words = [b"stupid", b"st-upid", b"ab", b"", "é".encode() * 3, b"abcdefghij", b"aaaaaa"]
     used, phi = toxicity.explicit(words[:2])
