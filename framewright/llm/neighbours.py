@@ -14,7 +14,8 @@ query at the end. Queries whose probes found too few rows are compared with all
 
 Every row is indexed, but of exact copies of a vector only the count + 1 of smallest id: no other can be among a
 query's nearest. Recall depends on the distances, not on the number of rows, so the parameters are the same for every
-size; they are arguments of search(), as structured vectors do with fewer and smaller buckets.
+size; they are arguments of search(), as structured vectors do with fewer and smaller buckets: settings() measures some on
+a bounded sample of the vectors.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm import linear
 from framewright.llm.common import Workspace
 from framewright.llm.components import HUBS
 
 TABLES, FUNCTIONS, WIDTH, PROBES = 4, 8, 3.0, 50
 PART, HELD, BLOCK = 128, 1 << 20, 1000
+# Functions, width and probes that settings() measures.
+CHOICES = [(k, width, number) for k in (6, 8, 12, 16) for width in (1.0, 2.0, 3.0) for number in (20, 50)]
+SAMPLE_ROWS, SAMPLE_QUERIES = 4000, 100  # distinct vectors that settings() measures on at most
 
 
 class Hashing:
@@ -185,6 +190,53 @@ def _merged(found: DataFrame, count: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= count)
 
 
+def measured(v: np.ndarray, count: int = 10, choices: list[tuple[int, float, int]] | None = None) -> list[tuple[float, float, tuple[int, float, int]]]:
+    """(share of rows that become candidates, recall, choice) of each choice, the first SAMPLE_QUERIES of the rows asking."""
+    asked = min(len(v), SAMPLE_QUERIES)
+    if len(v) < 2:
+        return [(1.0, 1.0, c) for c in choices or CHOICES]
+    own = np.arange(asked)
+    d = _distances(v[:asked], v)
+    d[own, own] = np.inf
+    nearest = np.argsort(d, axis=1, kind="stable")[:, : min(count, len(v) - 1)]
+    scale = float(np.median(np.linalg.norm(v, axis=1)))
+    out = []
+    for functions, width, number in choices or CHOICES:
+        h = Hashing(v.shape[1], functions, width, scale)
+        places = h.project(v)
+        cells = np.floor(places)
+        reached = np.zeros((asked, len(v)), bool)
+        for t in range(TABLES):
+            codes = h.codes(cells[:, t], t)
+            for i in range(asked):
+                reached[i] |= np.isin(codes, h.codes(cells[i, t] + probes(places[i, t] - cells[i, t], number), t))
+        recall = float(np.take_along_axis(reached, nearest, axis=1).mean())
+        reached[own, own] = False
+        out.append((float(reached.sum() / (asked * (len(v) - 1))), recall, (functions, width, number)))
+    return out
+
+
+def settings(table: DataFrame, recall: float = 0.95, count: int = 10) -> dict[str, float]:
+    """functions, width and number for search(): the choice with the fewest candidates that reaches recall on a sample.
+
+    The sample has SAMPLE_ROWS distinct vectors at most, by hash of their bytes, whatever the table's size, and is
+    measured in one task. Its nearest rows are farther off than the whole table's, so that recall there is rather
+    higher. If no choice reaches recall, that of the highest one is taken. Of several dimensions the most frequent one
+    of the sample is measured. Unusable vectors and NULL ids take no part, repeated ones count once; of a table without
+    two usable vectors the first choice is taken; other columns are not read, whatever their names.
+    """
+    kind = "<f4" if table.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+    sample = _usable(table, kind).select("v").distinct().withColumn("h", F.xxhash64("v")).orderBy("h", "v").limit(SAMPLE_ROWS).select("h", "v")
+
+    def choose(rows: list[tuple]) -> tuple[int, float, int]:
+        groups = [v for _, v in _groups(pa.array([v for _, v in rows], pa.binary()), kind)]
+        found = measured(max(groups, key=len) if groups else np.zeros((0, 1)), count)
+        enough = [x for x in found if x[1] >= recall]
+        return min(enough)[2] if enough else max(found, key=lambda x: (x[1], -x[0]))[2]
+
+    return dict(zip(("functions", "width", "number"), linear.fitted(sample, choose), strict=True))
+
+
 def search(table: DataFrame, every: int = 100, count: int = 10, functions: int = FUNCTIONS, width: float = WIDTH, number: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: the count nearest rows found for each row whose vec_id is divisible by every.
 

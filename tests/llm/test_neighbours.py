@@ -97,3 +97,32 @@ def test_repeated_rows_count_once_before_they_are_dealt(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, neighbours.search(spark.createDataFrame(rows, schema), every=10).collect()))
     once = [sorted(map(tuple, neighbours.search(twice.repartition(n), every=10).collect())) for n in (1, 7)]
     assert once[0] == once[1]
+
+
+def test_settings_measured_on_structured_vectors(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(100, 32))
+    vectors = centres[rng.integers(0, 100, 6000)] + 0.2 * rng.normal(size=(6000, 32))
+    rows = list(enumerate(vectors.tolist()))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).selectExpr("*", "1 v", "2 h")
+    chosen = neighbours.settings(table)
+    assert chosen == neighbours.settings(table.repartition(3))
+    want, got = brute(rows), result(neighbours.search(table, **chosen))
+    assert set(want) == set(got)
+    assert sum(len({v for v, _ in want[q]} & {v for v, _ in got[q]}) for q in want) >= 0.9 * 10 * len(want)
+    order = np.concatenate((np.arange(0, 6000, 100), np.flatnonzero(np.arange(6000) % 100)))  # the queries first
+    ((share, recall, _),) = neighbours.measured(vectors[order], choices=[tuple(chosen.values())])
+    assert share < 0.1 and recall >= 0.9  # among all rows
+
+
+def test_settings_of_odd_tables(spark):
+    rng = np.random.default_rng(13)
+    schema = "vec_id long, embedding array<float>"
+    first = dict(zip(("functions", "width", "number"), neighbours.CHOICES[0], strict=True))
+    for rows in ([], [(1, None), (None, [1.0]), (3, [0.0]), (4, [float("nan")])], [(1, [1.0, 2.0])] * 50):
+        assert neighbours.settings(spark.createDataFrame(rows, schema)) == first
+    mixed = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(i, rng.normal(size=3).tolist()) for i in range(300, 340)]
+    chosen = neighbours.settings(spark.createDataFrame(mixed, schema), recall=0.9)
+    assert tuple(chosen.values()) in neighbours.CHOICES
+    hopeless = neighbours.settings(spark.createDataFrame(mixed, schema), recall=1.1)
+    assert tuple(hopeless.values()) in neighbours.CHOICES
