@@ -127,15 +127,16 @@ def next_far(hours: DataFrame, least: DataFrame) -> DataFrame:
     """grp, hour, to: for each distinct hour the first one of its group that is more than the group's least after it.
 
     Hours and the places that lie least after them are ordered together, in ranges; the next hour after such a place is
-    found within its range, or is the first of a later range. The last hours have none.
+    found within its range, or is the first of a later range. The last hours have none. Windows run from the end, as one
+    that reaches forward to the end of its rows is evaluated anew at each row.
     """
     hours = hours.join(least, "grp").select("grp", "hour", "least").distinct()
     kinds = F.array(F.struct(F.col("hour").alias("at"), F.lit(0).alias("place")), F.struct((F.col("hour") + F.col("least")).alias("at"), F.lit(1).alias("place")))
     rows = ranged(hours.select("grp", "hour", F.explode(kinds).alias("k")).select("grp", "hour", "k.*"), ["grp"], ["at", "place", "hour"])
     point = F.when(F.col("place") == 0, F.col("hour"))
-    over = Window.partitionBy("grp").orderBy(RANGE).rowsBetween(1, Window.unboundedFollowing)
+    over = Window.partitionBy("grp").orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     later = rows.groupBy("grp", RANGE).agg(F.min(point).alias("first")).select("grp", RANGE, F.min("first").over(over).alias("later"))
-    own = Window.partitionBy("grp", RANGE).orderBy("at", "place", "hour").rowsBetween(1, Window.unboundedFollowing)
+    own = Window.partitionBy("grp", RANGE).orderBy(F.desc("at"), F.desc("place"), F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
     found = rows.join(later, ["grp", RANGE]).withColumn("to", F.coalesce(F.min(point).over(own), "later"))
     return found.where("place = 1").select("grp", "hour", "to")
 

@@ -1,4 +1,6 @@
+import bisect
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,22 @@ def test_labels_of_many_segments_in_one_group(spark):
     assert found.count() == len(rows)
 
 
+def test_next_far_hours_of_one_range(spark):
+    """Thirty thousand hours of one group and range: the time grows with them, not with their square."""
+    rng = random.Random(4)
+    hours = sorted({rng.randrange(10**7) / 1024 for _ in range(30000)})
+    least = {"a": 350.5, "b": 0.25}  # exact in binary, so that some places fall on hours
+    df = spark.createDataFrame([("a", h) for h in hours] + [("b", h / 4) for h in range(12)], "grp string, hour double").repartition(4)
+    far = spark.createDataFrame(list(least.items()), "grp string, least double")
+    began = time.monotonic()
+    got = {(r.grp, r.hour): r.to for r in review.next_far(df.unionByName(df), far).collect()}
+    assert time.monotonic() - began < 30
+    for grp, own in (("a", hours), ("b", [h / 4 for h in range(12)])):
+        places = [bisect.bisect_right(own, h + least[grp]) for h in own]
+        assert [got.pop((grp, h)) for h in own] == [own[i] if i < len(own) else None for i in places]
+    assert not got
+
+
 def test_pages(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("grp"), F.col("id").alias("frame_id"), (F.col("id") * 37 % 1000 + 5).alias("t"))
     review.write_pages(df.unionByName(spark.createDataFrame([("0", 5000, None)], df.schema)), str(tmp_path / "pages"))
