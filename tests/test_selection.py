@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.operators import detections, review
+from framewright.plans import catalogue
 
 
 def points(rng, n, frames, spread):
@@ -80,6 +81,21 @@ def test_next_far_hours_of_one_range(spark):
     assert not got
 
 
+def test_splice_labels_of_a_long_group(spark, tmp_path):
+    """Two hundred thousand events of one type, every third invalid, so that segments are of a minute each: the time does not grow with their square."""
+    events = spark.range(199998).selectExpr("id event_id", "timestampadd(SECOND, 60 * id, TIMESTAMP_NTZ'2024-01-01') ts", "0L user_id", "'view' event_type", "if(id % 3 = 2, 1.0D, 9.0D) value", "'{\"k\": 1}' props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    began = time.monotonic()
+    got = sorted((r.hour, r.labelled) for r in catalogue.queries()["splice_labels"](spark, str(tmp_path)).collect())
+    assert time.monotonic() - began < 150
+    want, last = [], None
+    for k in range(1, 66666):
+        far = last is None or k - last > 66666 * 0.035
+        last = k if far else last
+        want.append((round(k / 60, 6), far))
+    assert got == want
+
+
 def test_pages(spark, tmp_path):
     df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("grp"), F.col("id").alias("frame_id"), (F.col("id") * 37 % 1000 + 5).alias("t"))
     review.write_pages(df.unionByName(spark.createDataFrame([("0", 5000, None)], df.schema)), str(tmp_path / "pages"))
